@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from offerlens.functions.text import all_matches, ascii_digits, first_match, head
+from offerlens.functions.text import all_matches, ascii_digits, first_match, head, let
 
 # Labels that announce a validity period.
 PERIOD_LABELS = (
@@ -54,23 +54,37 @@ def build_date(year: Column, month: Column, day: Column) -> Column:
     return F.concat_ws("-", year, month, day).try_cast("date")
 
 
+def _parts(hit: Column, pattern: str, groups: int) -> Column:
+    """All groups of a match as one struct of strings, digits normalised."""
+    return F.struct(*[ascii_digits(first_match(hit, pattern, g)).alias(f"g{g}") for g in range(1, groups + 1)])
+
+
 def _ymd(hit: Column, pattern: str, offset: int) -> Column:
-    part = lambda g: ascii_digits(first_match(hit, pattern, g))
-    year = part(1).try_cast("int") + offset
-    return F.when(hit != "", build_date(year.cast("string"), part(2), part(3)))
+    return let(
+        _parts(hit, pattern, 3),
+        lambda p: build_date((p["g1"].try_cast("int") + offset).cast("string"), p["g2"], p["g3"]),
+    )
 
 
 def _range_of(hit: Column, pattern: str, offset: int) -> Column:
     """``struct<start,end>`` from a matched range; a missing end year rolls over New Year."""
-    part = lambda g: ascii_digits(first_match(hit, pattern, g))
-    start_year = part(1).try_cast("int") + offset
-    end_year = F.coalesce(part(4).try_cast("int") + offset, start_year)
-    start = build_date(start_year.cast("string"), part(2), part(3))
-    end = build_date(end_year.cast("string"), part(5), part(6))
-    next_end = build_date((end_year + 1).cast("string"), part(5), part(6))
-    return F.struct(
-        start.alias("start"),
-        F.when((part(4) == "") & (end < start), next_end).otherwise(end).alias("end"),
+
+    def dated(p: Column) -> Column:
+        start_year = p["g1"].try_cast("int") + offset
+        end_year = F.coalesce(p["g4"].try_cast("int") + offset, start_year)
+        return F.struct(
+            build_date(start_year.cast("string"), p["g2"], p["g3"]).alias("start"),
+            build_date(end_year.cast("string"), p["g5"], p["g6"]).alias("end"),
+            build_date((end_year + 1).cast("string"), p["g5"], p["g6"]).alias("next"),
+            (p["g4"] == "").alias("open"),
+        )
+
+    return let(
+        let(_parts(hit, pattern, 6), dated),
+        lambda d: F.struct(
+            d["start"].alias("start"),
+            F.when(d["open"] & (d["end"] < d["start"]), d["next"]).otherwise(d["end"]).alias("end"),
+        ),
     )
 
 
@@ -82,16 +96,20 @@ _ROC_DATE = _date_pattern(ROC_YEAR, ROC_WORD)
 
 def parse_range(window: Column) -> Column:
     """First range of a window. A Gregorian hit, even an impossible one, ends the search."""
-    western, roc = first_match(window, _GREGORIAN_RANGE), first_match(window, _ROC_RANGE)
-    return F.when(western != "", _range_of(western, _GREGORIAN_RANGE, 0)).when(
-        roc != "", _range_of(roc, _ROC_RANGE, ROC_OFFSET)
+    roc = let(
+        first_match(window, _ROC_RANGE), lambda h: F.when(h != "", _range_of(h, _ROC_RANGE, ROC_OFFSET))
+    )
+    return let(
+        first_match(window, _GREGORIAN_RANGE),
+        lambda h: F.when(h != "", _range_of(h, _GREGORIAN_RANGE, 0)).otherwise(roc),
     )
 
 
 def single_date(window: Column) -> Column:
-    western, roc = first_match(window, _GREGORIAN_DATE), first_match(window, _ROC_DATE)
-    return F.when(western != "", _ymd(western, _GREGORIAN_DATE, 0)).when(
-        roc != "", _ymd(roc, _ROC_DATE, ROC_OFFSET)
+    roc = let(first_match(window, _ROC_DATE), lambda h: F.when(h != "", _ymd(h, _ROC_DATE, ROC_OFFSET)))
+    return let(
+        first_match(window, _GREGORIAN_DATE),
+        lambda h: F.when(h != "", _ymd(h, _GREGORIAN_DATE, 0)).otherwise(roc),
     )
 
 
@@ -123,27 +141,42 @@ def _period(start: Column, end: Column, confidence, excerpt: Column) -> Column:
 def _labelled_pair(text: Column, start_names: str, end_names: str) -> Column:
     start_pat = rf"(?iUd)(?:{start_names})\s*:\s*([^\n]{{0,60}})"
     end_pat = rf"(?iUd)(?:{end_names})\s*:\s*([^\n]{{0,60}})"
-    start, end = single_date(first_match(text, start_pat, 1)), single_date(first_match(text, end_pat, 1))
+    dated = F.struct(
+        single_date(first_match(text, start_pat, 1)).alias("start"),
+        single_date(first_match(text, end_pat, 1)).alias("end"),
+    )
     note = F.concat(first_match(text, start_pat), F.lit("; "), first_match(text, end_pat))
-    return F.when(start.isNotNull() & end.isNotNull(), _period(start, end, "high", note))
+    return F.when(
+        text.rlike(start_pat) & text.rlike(end_pat),
+        let(
+            dated,
+            lambda d: F.when(
+                d["start"].isNotNull() & d["end"].isNotNull(), _period(d["start"], d["end"], "high", note)
+            ),
+        ),
+    )
 
 
 def _range_in(window: Column, confidence: str) -> Column:
-    found = parse_range(window)
-    return F.when(
-        found["start"].isNotNull() & found["end"].isNotNull(),
-        _period(found["start"], found["end"], confidence, F.substring(window, 1, EXCERPT_CHARS)),
+    return let(
+        parse_range(window),
+        lambda found: F.when(
+            found["start"].isNotNull() & found["end"].isNotNull(),
+            _period(found["start"], found["end"], confidence, F.substring(window, 1, EXCERPT_CHARS)),
+        ),
     )
 
 
 def _single_in(window: Column) -> Column:
-    day = single_date(window)
     one_day = window.rlike("(?Ud)" + "|".join(f"(?:{p})" for p in ONE_DAY))
     excerpt = F.substring(window, 1, EXCERPT_CHARS)
-    return F.when(
-        day.isNotNull(),
-        F.when(one_day, _period(day, day, "medium", excerpt)).otherwise(
-            _period(day, F.lit(None).cast("date"), "low", excerpt)
+    return let(
+        single_date(window),
+        lambda day: F.when(
+            day.isNotNull(),
+            F.when(one_day, _period(day, day, "medium", excerpt)).otherwise(
+                _period(day, F.lit(None).cast("date"), "low", excerpt)
+            ),
         ),
     )
 
@@ -155,13 +188,19 @@ def resolve_period(text: Column) -> Column:
     top, a single date near a label. ``coalesce`` stops at the first hit, so the
     wide window is only searched when nothing better was found.
     """
-    windows = period_windows(text)
+    found = lambda items: head(F.filter(items, lambda p: p.isNotNull()))
+    in_windows = let(
+        period_windows(text),
+        lambda windows: F.coalesce(
+            found(F.transform(windows, lambda w: _range_in(w, "high"))),
+            let(low_window(text), lambda w: _range_in(w, "low")),
+            found(F.transform(windows, _single_in)),
+        ),
+    )
     return F.coalesce(
         _labelled_pair(text, "startDate|start_date", "endDate|end_date"),
         _labelled_pair(text, "activity_start_time", "activity_end_time"),
-        head(F.filter(F.transform(windows, lambda w: _range_in(w, "high")), lambda p: p.isNotNull())),
-        _range_in(low_window(text), "low"),
-        head(F.filter(F.transform(windows, _single_in), lambda p: p.isNotNull())),
+        in_windows,
         _period(F.lit(None).cast("date"), F.lit(None).cast("date"), "none", F.lit("")),
     )
 

@@ -1,11 +1,11 @@
-"""Reward mentions in prose. Context is captured in the same regex pass, so no offsets are needed."""
+"""Reward mentions in prose, found with their context in one walk over the text."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from offerlens.functions.text import all_matches, compact
+from offerlens.functions.text import all_matches, compact, let
 
 # Number forms and the words around a number that make it a reward.
 CURRENCY = r"(?:新臺幣|新台幣|臺幣|台幣|NTD|NT\$)"
@@ -29,41 +29,58 @@ PERCENT_LEFT, PERCENT_RIGHT, FIXED_LEFT, FIXED_RIGHT, FIXED_NEAR = 24, 20, 32, 2
 HIGH_PERCENT, HIGH_AMOUNT, UPCOMING_DAYS, EXPIRING_DAYS = 10.0, 100.0, 14, 7
 
 
-def _left(n: int) -> str:
-    """Captures up to ``n`` characters before the current position."""
-    return rf"(?<=(\A[\s\S]{{0,{n - 1}}}|[\s\S]{{{n}}}))"
+# One pass walks the text from mention to mention: "\G" keeps it linear, and the
+# stretch before each mention is part of the match, so left context needs no
+# look-behind (whose cost is quadratic in its width).
+_WALK = r"(?U)\G(?s:.*?)"
+_PERCENT = r"(?<![\d.])(\d{1,3}(?:\.\d+)?)\s*[%％]"
+_YUAN = rf"(?:{CURRENCY}\s*)?(?<![\d.])({AMOUNT})\s*元"
+_NT = rf"(?i:NTD|NT\$)\s*({AMOUNT})"
 
 
-def _right(n: int) -> str:
-    return rf"(?=([\s\S]{{0,{n}}}))"
+def _mentions(text: Column, pattern: str, left: int, right: int, shortest: int, extra: str = "") -> Column:
+    """``array<struct<before,number,after,extra,hit>>`` of a pattern's matches with raw context.
 
-
-# The cheap look-ahead rejects most positions before the look-behind runs.
-_PERCENT = (
-    rf"(?U)(?<![\d.])(?=\d){_left(PERCENT_LEFT)}(\d{{1,3}}(?:\.\d+)?)\s*[%％]{_right(PERCENT_RIGHT)}"
-)
-_YUAN = (
-    rf"(?U)(?=[新臺台N0-9]){_left(FIXED_LEFT)}(?:{CURRENCY}\s*)?(?<![\d.])({AMOUNT})\s*元{_right(FIXED_RIGHT)}"
-)
-# Group 4 is what follows the same amount written with the currency word at its end.
-_NT = (
-    rf"(?U)(?=[Nn]){_left(FIXED_LEFT)}(?=(?:(?:NTD|NT\$)\s*{AMOUNT}\s*元([\s\S]{{0,{FIXED_RIGHT}}}))?)"
-    rf"(?i:NTD|NT\$)\s*({AMOUNT}){_right(FIXED_RIGHT)}"
-)
-_NT_YUAN_HERE = rf"(?U)(?=[Nn])(?=((?:NTD|NT\$)\s*{AMOUNT}\s*元)?)(?i:NTD|NT\$)\s*{AMOUNT}"
+    ``shortest`` is the least length of a match: it bounds how many earlier
+    matches the left context can reach into.
+    """
+    walk = _WALK + pattern
+    steps = F.arrays_zip(
+        all_matches(text, walk, 0).alias("step"),
+        all_matches(text, walk + rf"(?=((?s:.{{0,{right}}}))){extra}", 2).alias("after"),
+        (all_matches(text, walk + extra, 2) if extra else all_matches(text, walk, 1)).alias("extra"),
+    )
+    reach = -(-left // shortest)
+
+    def shaped(steps: Column, m: Column, i: Column) -> Column:
+        first = F.greatest(i - (reach - 1), F.lit(1))
+        upto = F.array_join(F.transform(F.slice(steps, first, i + 2 - first), lambda s: s["step"]), "")
+        hit = F.regexp_extract(m["step"], "(?U)" + pattern + r"\z", 0)
+        row = F.struct(upto.alias("upto"), hit.alias("hit"))
+        return let(
+            row,
+            lambda r: F.struct(
+                F.right(
+                    F.substring(r["upto"], F.lit(1), F.length(r["upto"]) - F.length(r["hit"])), F.lit(left)
+                ).alias("before"),
+                F.regexp_extract(r["hit"], "(?U)" + pattern, 1).alias("number"),
+                m["after"].alias("after"),
+                m["extra"].alias("extra"),
+                r["hit"].alias("hit"),
+            ),
+        )
+
+    return let(steps, lambda all_: F.transform(all_, lambda m, i: shaped(all_, m, i)))
 
 
 def percent_mentions(text: Column) -> Column:
     """``array<struct<before,value,after>>`` of every percentage, rewards or not."""
-    zipped = F.arrays_zip(
-        all_matches(text, _PERCENT, 1).alias("b"),
-        all_matches(text, _PERCENT, 2).alias("v"),
-        all_matches(text, _PERCENT, 3).alias("a"),
-    )
     return F.transform(
-        zipped,
+        _mentions(text, _PERCENT, PERCENT_LEFT, PERCENT_RIGHT, 2),
         lambda m: F.struct(
-            compact(m["b"]).alias("before"), m["v"].cast("double").alias("value"), compact(m["a"]).alias("after")
+            compact(m["before"]).alias("before"),
+            m["number"].cast("double").alias("value"),
+            compact(m["after"]).alias("after"),
         ),
     )
 
@@ -87,12 +104,13 @@ def reward_percents(text: Column) -> Column:
 
 
 def _fixed_context(before: Column, after: Column) -> Column:
-    before, after = compact(before), compact(after)
-    return (
-        ~after.rlike(FIXED_NOT_AFTER)
-        & ~F.right(before, F.lit(FIXED_NEAR)).rlike(FIXED_NOT_BEFORE)
-        & before.rlike(FIXED_BEFORE)
-        & after.rlike(FIXED_AFTER)
+    near = F.struct(compact(before).alias("b"), compact(after).alias("a"))
+    return let(
+        near,
+        lambda c: c["a"].rlike(FIXED_AFTER)
+        & c["b"].rlike(FIXED_BEFORE)
+        & ~c["a"].rlike(FIXED_NOT_AFTER)
+        & ~F.right(c["b"], F.lit(FIXED_NEAR)).rlike(FIXED_NOT_BEFORE),
     )
 
 
@@ -102,26 +120,21 @@ def fixed_rewards(text: Column) -> Column:
     An NT$ hit can only lie inside an accepted 元 hit when both start at the
     same currency word, so the overlap is decided locally at that position.
     """
-    number = lambda s: F.replace(s, F.lit(","), F.lit("")).cast("double")
-    yuan = F.arrays_zip(
-        all_matches(text, _YUAN, 1).alias("b"), all_matches(text, _YUAN, 2).alias("v"), all_matches(text, _YUAN, 3).alias("a")
-    )
-    nt = F.arrays_zip(
-        all_matches(text, _NT, 1).alias("b"),
-        all_matches(text, _NT_YUAN_HERE, 1).alias("y"),
-        all_matches(text, _NT, 2).alias("ya"),
-        all_matches(text, _NT, 3).alias("v"),
-        all_matches(text, _NT, 4).alias("a"),
-    )
-    counted = lambda m: (F.coalesce(m["y"], F.lit("")) != "") & _fixed_context(
-        m["b"], F.coalesce(m["ya"], F.lit(""))
+    number = lambda m: F.replace(m["number"], F.lit(","), F.lit("")).cast("double")
+    accepted = lambda m: _fixed_context(m["before"], m["after"])
+    yuan = _mentions(text, _YUAN, FIXED_LEFT, FIXED_RIGHT, 2)
+    nt = _mentions(
+        text, _NT, FIXED_LEFT, FIXED_RIGHT, 4, rf"(?=(\s*元(?s:.{{0,{FIXED_RIGHT}}}))?)"
     )
-    from_yuan = F.transform(F.filter(yuan, lambda m: _fixed_context(m["b"], m["a"])), lambda m: number(m["v"]))
-    from_nt = F.transform(
-        F.filter(nt, lambda m: ~counted(m) & _fixed_context(m["b"], m["a"])), lambda m: number(m["v"])
+    counted = lambda m: (
+        (m["extra"] != "")
+        & m["hit"].rlike(r"\A(?:NTD|NT\$)")
+        & _fixed_context(m["before"], F.regexp_replace(m["extra"], r"(?U)\A\s*元", ""))
     )
     none = F.array().cast("array<double>")
     return F.concat(
-        F.when(text.contains("元"), from_yuan).otherwise(none),
-        F.when(text.rlike(r"(?i)NTD|NT\$"), from_nt).otherwise(none),
+        F.when(text.contains("元"), F.transform(F.filter(yuan, accepted), number)).otherwise(none),
+        F.when(
+            text.rlike(r"(?i)NTD|NT\$"), F.transform(F.filter(nt, lambda m: accepted(m) & ~counted(m)), number)
+        ).otherwise(none),
     )

@@ -64,3 +64,12 @@ def number_text(value: Column) -> Column:
     return F.when(value == F.floor(value), F.floor(value).cast("bigint").cast("string")).otherwise(
         value.cast("string")
     )
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    Lambda bodies are interpreted without common-subexpression elimination, so
+    an expression used several times there would run several times.
+    """
+    return F.get(F.transform(F.array(value), body), 0)

@@ -144,9 +144,8 @@ def host_suffixes(host: Column) -> Column:
 def external_id(url: Column) -> Column:
     """Offer id from the query, else a last path part that looks like one, else NULL."""
     params = query_params(url, keep_blank=False)
-    from_query = [
-        F.get(F.filter(params, lambda p, k=key: p["k"] == k), 0)["v"] for key in EXTERNAL_ID_KEYS
-    ]
+    named = lambda key: F.get(F.filter(params, lambda p: p["k"] == key), 0)["v"]
+    from_query = [named(key) for key in EXTERNAL_ID_KEYS]
     last = F.regexp_extract(url_path(url), r"([^/]*)/*\z", 1)
     return F.coalesce(*from_query, F.when(last.rlike(r"\A[A-Za-z0-9_-]{8,}\z"), last))
 
