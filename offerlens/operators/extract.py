@@ -423,7 +423,7 @@ def condition_sections(title: Column, summary: Column, entries: int = 5) -> Colu
     """Labelled, de-duplicated sections of a summary as display strings."""
     text = squash(F.coalesce(summary, F.lit("")))
     marker = rf"(?iU)(?:^|\s)(?:{SECTION_NAMES}):\s*"
-    bodies = F.transform(F.split(text, marker), F.trim)
+    bodies = F.transform(F.split(text, marker), lambda b: F.trim(b))
     names = F.transform(all_matches(text, rf"(?iU)(?:^|\s)({SECTION_NAMES}):\s*", 1), F.lower)
     leading = F.get(bodies, 0)
     parts = F.transform(
