@@ -1 +1,139 @@
-"""Queries."""
+"""Queries over announcement linkage."""
+
+from pyspark.sql import functions as F
+
+from offerlens.functions import titles
+from offerlens.operators import linkage, quota
+from offerlens.plans.base import STATUS_SQL, Tables, offer_status, query, text
+
+SOLD, PART, NONE = "本活動回饋已全數額滿。", "7月份回饋已額滿。", "若額滿則停止回饋。"
+
+
+def linked_offers(t: Tables):
+    """Orders as offers of 25 providers; settled ones name their event id, all have a URL of their own."""
+    k = F.col("o_orderkey")
+    df = t.orders.select(
+        k.cast("string").alias("activity_id"),
+        text("p", k % 25).alias("provider_id"),
+        text("https://s.example.com/offer?b=2&utm_source=x&a=", k).alias("url"),
+        F.lit("").alias("title"),
+        F.when(F.col("o_orderstatus") == "P", "no id").otherwise(text("EventId=E", k)).alias("text"),
+        offer_status().alias("quota_status"),
+    )
+    return linkage.keyed_activities(df)
+
+
+def notices(t: Tables):
+    """lineitem as announcements about its order, by id or by URL, some for another provider or on the offer's own page."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    verdict = F.when(F.col("l_returnflag") == "N", NONE).when(F.col("l_linestatus") == "F", SOLD).otherwise(PART)
+    named = F.when(n % 2 == 0, text(" EventId=E", k)).otherwise(text(" 見 https://S.example.com/offer?a=", k, "&b=2#x."))
+    own = (n == 1) & (F.col("l_returnflag") == "A")
+    df = t.lineitem.select(
+        text(k, "-", n).alias("announcement_id"),
+        text("p", F.when(n == 7, (k + 1) % 25).otherwise(k % 25)).alias("provider_id"),
+        F.when(own, text("https://s.example.com/offer?a=", k, "&b=2")).otherwise(text("https://s.example.com/news/", k, "-", n)).alias("url"),
+        F.lit("").alias("title"),
+        F.concat(verdict, named).alias("text"),
+    )
+    return linkage.keyed_announcements(quota.assess(df, "text"))
+
+
+NOTICES_SQL = f"""n AS (SELECT l_orderkey AS k, l_linenumber AS n, l_linestatus = 'F' AS sold, CASE WHEN l_linenumber = 7 THEN (l_orderkey + 1) % 25 ELSE l_orderkey % 25 END AS pid,
+  l_linenumber = 1 AND l_returnflag = 'A' AS own, l_linenumber % 2 = 0 AS by_id FROM lineitem WHERE l_returnflag <> 'N'),
+o AS (SELECT o_orderkey AS k, o_orderkey % 25 AS pid, o_orderstatus <> 'P' AS has_id, {STATUS_SQL} AS quota_status FROM orders)"""
+
+
+@query(
+    "apply_matches",
+    f"""WITH {NOTICES_SQL},
+m AS (SELECT o.k, bool_or(sold) AS sold FROM o JOIN n ON n.k = o.k AND n.pid = o.pid AND NOT own AND (NOT by_id OR has_id) GROUP BY o.k)
+SELECT CAST(o.k AS VARCHAR) AS activity_id, m.k IS NOT NULL AS matched,
+  CASE WHEN coalesce(sold, false) OR quota_status = 'sold_out' THEN 'sold_out' WHEN m.k IS NOT NULL THEN 'partial_sold_out' ELSE quota_status END AS new_status
+FROM o LEFT JOIN m ON m.k = o.k""",
+)
+def apply_matches(t: Tables):
+    return linkage.apply_matches(linked_offers(t), notices(t), with_titles=False).select("activity_id", "matched", "new_status")
+
+
+@query(
+    "evidence_links",
+    f"""WITH {NOTICES_SQL}, a AS (SELECT 'id' || chr(1) || 'p' || pid || chr(1) || 'e' || k AS key FROM o WHERE has_id
+  UNION ALL SELECT 'url' || chr(1) || 'p' || pid || chr(1) || 'https://s.example.com/offer?a=' || k || '&b=2' FROM o),
+b AS (SELECT CASE WHEN by_id THEN 'id' || chr(1) || 'p' || pid || chr(1) || 'e' || k ELSE 'url' || chr(1) || 'p' || pid || chr(1) || 'https://s.example.com/offer?a=' || k || '&b=2' END AS key, sold FROM n),
+ac AS (SELECT key, count(*) AS offers FROM a GROUP BY key), bc AS (SELECT key, count(*) AS notices, count(*) FILTER (sold) AS sold_notices FROM b GROUP BY key)
+SELECT key, offers, notices, sold_notices FROM ac JOIN bc USING (key)""",
+)
+def evidence_links(t: Tables):
+    """Every (offer, announcement) pair as counts per shared key: both sides reduced before they meet."""
+    a = linkage.activity_links(linked_offers(t)).groupBy("key").agg(F.count(F.lit(1)).alias("offers"))
+    b = linkage.announcement_links(notices(t)).groupBy("key").agg(
+        F.count(F.lit(1)).alias("notices"), F.count_if(F.col("quota_status") == "sold_out").alias("sold_notices")
+    )
+    return a.join(b, "key")
+
+
+# ---------------------------------------------------------------- titles
+
+
+def part_titles(t: Tables):
+    """Offers titled by part name, notices by type and name; months from the size."""
+    size = F.col("p_size")
+    base = t.part.select(
+        F.col("p_partkey").alias("k"), F.col("p_brand").alias("provider_id"), "p_name", "p_type", (size % 12 + 1).alias("month"), size.alias("size")
+    )
+    acts = base.select(
+        F.col("k").cast("string").alias("activity_id"),
+        "provider_id",
+        text("https://a.example.com/", F.col("k")).alias("url"),
+        F.col("p_name").alias("title"),
+        F.when(F.col("size") % 2 == 0, text(F.col("month"), "月")).otherwise("").alias("text"),
+        F.lit("not_marked_full").alias("quota_status"),
+    )
+    anns = base.select(
+        text("n", F.col("k")).alias("announcement_id"),
+        "provider_id",
+        text("https://n.example.com/", F.col("k")).alias("url"),
+        text(F.col("p_type"), " ", F.col("p_name")).alias("title"),
+        F.concat(F.when(F.col("size") % 3 == 0, F.lit(PART)).otherwise(F.lit(SOLD)), F.when(F.col("size") % 3 == 1, text(" 2026/", F.col("month"), "/1")).otherwise("")).alias("text"),
+    )
+    return linkage.keyed_activities(acts), linkage.keyed_announcements(quota.assess(anns, "text"))
+
+
+_CORE = "regexp_replace(lower(regexp_replace({x}, '[^0-9A-Za-z]', '', 'g')), '[0-9]', '', 'g')"
+CORES_SQL = f"""a AS (SELECT DISTINCT p_brand AS provider_id, {_CORE.format(x='p_name')} AS a_core FROM part),
+n AS (SELECT DISTINCT p_brand AS provider_id, {_CORE.format(x="p_type || p_name")} AS n_core FROM part)"""
+
+
+@query(
+    "link_titles_contained",
+    f"""WITH {CORES_SQL} SELECT a.provider_id, a_core, n_core FROM a JOIN n USING (provider_id)
+WHERE (length(a_core) >= 3 AND contains(n_core, a_core)) OR (length(n_core) >= 3 AND contains(a_core, n_core))""",
+)
+def link_titles_contained(t: Tables):
+    acts, anns = part_titles(t)
+    return linkage.contained_cores(acts, anns)
+
+
+@query("link_titles_similar")
+def link_titles_similar(t: Tables):
+    """Similar part titles of one brand. No SQL: the matching-block ratio has no SQL form."""
+    acts, anns = part_titles(t)
+    out = linkage.similar_titles(acts, anns)
+    return out.select("provider_id", "a_norm", "n_norm", F.round("score", 6).alias("score"))
+
+
+@query("link_document_titles")
+def link_document_titles(t: Tables):
+    """Similar first lines among the documents of a source."""
+    lines = t.documents.select(
+        F.col("source").alias("provider_id"), titles.normal_title(F.get(F.split("text", "\n"), 0)).alias("norm")
+    ).filter("norm <> ''")
+    return linkage.similar_titles(lines, lines).select("provider_id", "a_norm", "n_norm", F.round("score", 6).alias("score"))
+
+
+@query("apply_title_matches")
+def apply_title_matches(t: Tables):
+    """Statuses from title matches alone: ratio or containment, months not in conflict."""
+    acts, anns = part_titles(t)
+    return linkage.apply_matches(acts, anns).select("activity_id", "matched", "new_status")
