@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions import dates, titles, urls
+from offerlens.functions.text import let
 from offerlens.operators.extract import sequence_ratio
 
 RATIO = 0.78
@@ -90,11 +91,11 @@ def keyed_announcements(anns: DataFrame) -> DataFrame:
 
 def _tokens(text: Column) -> Column:
     """Characters numbered by occurrence, so that set overlap equals multiset overlap."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return F.transform(
+    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    return let(
         chars,
-        lambda c, i: F.concat(
-            c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda d: d == c)).cast("string")
+        lambda run: F.transform(
+            run, lambda c, i: F.concat(c, (i - F.array_position(run, c).cast("int") + 1).cast("string"))
         ),
     )
 

@@ -125,9 +125,10 @@ def link_titles_similar(t: Tables):
 
 @query("link_document_titles")
 def link_document_titles(t: Tables):
-    """Similar first lines among the documents of a source."""
+    """Similar titles among the documents of a source; the title is the first fitting line."""
+    title = titles.best_title(F.lit(""), F.lit(""), F.col("text"))
     lines = t.documents.select(
-        F.col("source").alias("provider_id"), titles.normal_title(F.get(F.split("text", "\n"), 0)).alias("norm")
+        F.col("source").alias("provider_id"), titles.normal_title(title).alias("norm")
     ).filter("norm <> ''")
     return linkage.similar_titles(lines, lines).select("provider_id", "a_norm", "n_norm", F.round("score", 6).alias("score"))
 

@@ -282,8 +282,8 @@ def recheck_plan(t: Tables):
 
 @query(
     "next_round",
-    f"""WITH {LINKS_SQL}, l AS (SELECT DISTINCT {canonical_sql('link_url')} AS canonical_url FROM edges), s AS (SELECT {canonical_sql('url')} AS canonical_url FROM pages)
-SELECT canonical_url FROM l WHERE canonical_url NOT IN (SELECT canonical_url FROM s)""",
+    f"""WITH {LINKS_SQL}, found AS (SELECT DISTINCT {canonical_sql('link_url')} AS canonical_url FROM edges), s AS (SELECT {canonical_sql('url')} AS canonical_url FROM pages)
+SELECT canonical_url FROM found WHERE canonical_url NOT IN (SELECT canonical_url FROM s)""",
 )
 def next_round(t: Tables):
     d = extract.extract_pages(t.pages, "page_id", "url", "html")

@@ -1 +1,47 @@
-"""Queries."""
+"""Stream jobs run to completion over the events table."""
+
+from pyspark.sql import functions as F
+
+from offerlens.plans.base import ATTEMPTS_SQL, Tables, attempts, query
+from offerlens.plans.q_state import STICKY_SQL, observations
+from offerlens.streaming import jobs
+
+
+class StreamTables(Tables):
+    """The same tables; ``events`` is read as a stream."""
+
+    @property
+    def events(self):
+        schema = self.spark.read.parquet(f"{self.root}/events.parquet").schema
+        return self.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(self.root)
+
+
+def _stream(t: Tables) -> StreamTables:
+    return StreamTables(t.spark, t.root)
+
+
+@query("stream_status_tracker", f"WITH {STICKY_SQL}")
+def stream_status_tracker(t: Tables):
+    out = jobs.run_tracker(t.spark, observations(_stream(t)), ["activity_id"], "quota_status", ["ts", "event_id"])
+    return out.select("activity_id", "quota_status", "observations")
+
+
+@query(
+    "stream_health_windows",
+    f"""WITH {ATTEMPTS_SQL} SELECT CAST(time_bucket(INTERVAL 6 HOUR, ts) AS TIMESTAMP) AS window_start, provider_id, count(*) AS expected, count(*) FILTER (ok) AS succeeded FROM attempts GROUP BY ALL""",
+)
+def stream_health_windows(t: Tables):
+    w = jobs.health_windows(attempts(_stream(t)), "ts", ["provider_id"], "6 hours", "1 hour")
+    log = jobs.run_to_table(t.spark, w, "health", "update")
+    # Update mode logs a window once per batch that touched it: the last one is current.
+    latest = log.groupBy("window_start", "provider_id").agg(F.max_by(F.struct("expected", "succeeded"), "batch_id").alias("r"))
+    return latest.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "provider_id", "r.expected", "r.succeeded")
+
+
+@query("stream_dedupe", "SELECT user_id, count(DISTINCT event_id) AS observations FROM events GROUP BY user_id")
+def stream_dedupe(t: Tables):
+    """Every event delivered twice; each is kept once."""
+    events = _stream(t).events.withColumn("ts", F.col("ts").cast("timestamp"))
+    twice = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    kept = jobs.dedupe_stream(twice, "ts", ["event_id"], "1 hour").select("user_id", "event_id")
+    return jobs.run_to_table(t.spark, kept, "dedupe", "append").groupBy("user_id").agg(F.count(F.lit(1)).alias("observations"))
