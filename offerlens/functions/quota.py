@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlens.functions.dates import build_date
-from offerlens.functions.text import any_of, ascii_digits, first_match, head, sentence_list
+from offerlens.functions.text import any_of, ascii_digits, first_match, head, let, sentence_list
 
 # The phrases that decide a quota status, one family per list.
 ZH_RULES: dict[str, tuple[str, ...]] = {
@@ -124,37 +124,52 @@ def component_of(sentence: Column) -> Column:
     )
 
 
-def with_quota(df: DataFrame, text: str, pack: RulePack = ZH_PACK, prefix: str = "quota_") -> DataFrame:
-    """Adds ``{prefix}status, excerpt, complete, components`` for the text column.
+def quota_of(text: Column, pack: RulePack = ZH_PACK) -> Column:
+    """``struct<status,excerpt,complete,components>`` of a text, as one expression.
 
-    The sentence array is built once and both rule groups read it; nothing is
-    exploded, so a corpus is classified in its scan stage without a shuffle.
+    Sentences are split once and every stage is bound once. One expression
+    also means that a filter on the result, which Catalyst pushes below the
+    projection, repeats the work at most once instead of once per stage.
     """
-    s, e = f"__{prefix}sentences", f"__{prefix}explicit"
-    p, a = f"__{prefix}partial", f"__{prefix}app"
-    staged = (
-        df.withColumn(s, sentence_list(F.coalesce(F.col(text), F.lit(""))))
-        .withColumn(e, F.filter(s, pack.explicit))
-        .withColumn(p, F.filter(e, lambda x: pack.hits("partial", x)))
-        .withColumn(a, F.when(F.size(e) == 0, head(F.filter(s, lambda x: pack.hits("app_only", x)))))
-    )
-    whole = F.exists(e, lambda x: pack.hits("whole", x) & ~pack.hits("partial", x))
-    status = (
-        F.when((F.size(p) > 0) & ~whole, "partial_sold_out")
-        .when(F.size(e) > 0, "sold_out")
-        .when(F.col(a).isNotNull(), "unknown_app_only")
-        .otherwise("not_marked_full")
-    )
     none = F.array().cast("array<struct<status:string,evidence:string,period:string,component:string>>")
-    return (
-        staged.withColumn(f"{prefix}status", status)
-        .withColumn(
-            f"{prefix}excerpt", F.substring(F.coalesce(head(F.col(e)), F.col(a), F.lit("")), 1, EXCERPT_CHARS)
+
+    def verdict(status, excerpt: Column, complete: bool, components: Column = none) -> Column:
+        return F.struct(
+            F.lit(status).alias("status"),
+            F.substring(excerpt, 1, EXCERPT_CHARS).alias("excerpt"),
+            F.lit(complete).alias("complete"),
+            components.alias("components"),
         )
-        .withColumn(f"{prefix}complete", F.col(f"{prefix}status") != "unknown_app_only")
-        .withColumn(
-            f"{prefix}components",
-            F.when(F.col(f"{prefix}status") == "partial_sold_out", F.transform(p, component_of)).otherwise(none),
+
+    def sold(explicit: Column) -> Column:
+        first = F.get(explicit, 0)
+        part = F.filter(explicit, lambda x: pack.hits("partial", x))
+        whole = F.exists(explicit, lambda x: pack.hits("whole", x) & ~pack.hits("partial", x))
+        return let(
+            part,
+            lambda p: F.when(
+                (F.size(p) > 0) & ~whole, verdict("partial_sold_out", first, True, F.transform(p, component_of))
+            ).otherwise(verdict("sold_out", first, True)),
         )
-        .drop(s, e, p, a)
-    )
+
+    def judged(sentences: Column) -> Column:
+        app = let(
+            head(F.filter(sentences, lambda x: pack.hits("app_only", x))),
+            lambda a: F.when(a.isNotNull(), verdict("unknown_app_only", a, False)).otherwise(
+                verdict("not_marked_full", F.lit(""), True)
+            ),
+        )
+        return let(F.filter(sentences, pack.explicit), lambda e: F.when(F.size(e) > 0, sold(e)).otherwise(app))
+
+    return let(sentence_list(F.coalesce(text, F.lit(""))), judged)
+
+
+def with_quota(df: DataFrame, text: str, pack: RulePack = ZH_PACK, prefix: str = "quota_") -> DataFrame:
+    """Adds ``{prefix}status, excerpt, complete, components`` for the text column.
+
+    Nothing is exploded, so a corpus is classified in its scan stage without a
+    shuffle.
+    """
+    bound = df.withColumn("__quota", quota_of(F.col(text), pack))
+    fields = {f"{prefix}{n}": F.col(f"__quota.{n}") for n in ("status", "excerpt", "complete", "components")}
+    return bound.withColumns(fields).drop("__quota")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from offerlens.functions.text import let
+
 # Query keys that only track where a click came from.
 TRACKING_KEYS = (
     "utm_source",
@@ -27,12 +29,29 @@ def clean_url(url: Column) -> Column:
     return F.regexp_replace(url, r"\A[\x00-\x20]+|[\x00-\x20]+\z|[\t\r\n]", "")
 
 
+def _scheme(u: Column) -> Column:
+    return F.lower(F.regexp_extract(u, _SCHEME, 1))
+
+
+def _authority(u: Column) -> Column:
+    return F.regexp_extract(u, r"\A(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1)
+
+
+def _path(u: Column) -> Column:
+    return F.regexp_extract(u, r"\A(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+
+
+def _query(u: Column) -> Column:
+    bare = F.substring_index(u, "#", 1)
+    return F.when(bare.contains("?"), F.regexp_extract(bare, r"\A[^?]*\?([\s\S]*)\z", 1)).otherwise(F.lit(""))
+
+
 def url_scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(clean_url(url), _SCHEME, 1))
+    return _scheme(clean_url(url))
 
 
 def url_authority(url: Column) -> Column:
-    return F.regexp_extract(clean_url(url), r"\A(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1)
+    return _authority(clean_url(url))
 
 
 def url_host(url: Column) -> Column:
@@ -42,13 +61,11 @@ def url_host(url: Column) -> Column:
 
 
 def url_path(url: Column) -> Column:
-    return F.regexp_extract(
-        clean_url(url), r"\A(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1
-    )
+    return _path(clean_url(url))
 
 
 def url_query(url: Column) -> Column:
-    return F.regexp_extract(clean_url(url), r"\A[^?#]*\?([^#]*)", 1)
+    return _query(clean_url(url))
 
 
 def without_fragment(url: Column) -> Column:
@@ -66,16 +83,20 @@ def _encode(text: Column) -> Column:
     )
 
 
-def query_params(url: Column, keep_blank: bool = True) -> Column:
-    """Decoded ``array<struct<k,v>>`` in query order."""
-    pieces = F.filter(F.split(url_query(url), "&"), lambda p: p != "")
-    params = F.transform(
+def _params(query: Column) -> Column:
+    pieces = F.filter(F.split(query, "&"), lambda p: p != "")
+    return F.transform(
         pieces,
         lambda p: F.struct(
             _decode(F.substring_index(p, "=", 1)).alias("k"),
             _decode(F.regexp_extract(p, r"\A[^=]*=([\s\S]*)\z", 1)).alias("v"),
         ),
     )
+
+
+def query_params(url: Column, keep_blank: bool = True) -> Column:
+    """Decoded ``array<struct<k,v>>`` in query order."""
+    params = _params(url_query(url))
     return params if keep_blank else F.filter(params, lambda p: p["v"] != "")
 
 
@@ -114,19 +135,32 @@ def resolve_url(url: Column, base: Column) -> Column:
     )
 
 
-def canonical_url(url: Column, base: Column | None = None) -> Column:
-    """One spelling per page: lower-case host, sorted query, no tracking keys, no fragment."""
-    absolute = clean_url(url) if base is None else resolve_url(url, base)
-    kept = F.filter(query_params(absolute), lambda p: ~F.lower(p["k"]).isin(*TRACKING_KEYS))
+def _canonical(u: Column) -> Column:
+    kept = F.filter(_params(_query(u)), lambda p: ~F.lower(p["k"]).isin(*TRACKING_KEYS))
     query = F.array_join(
         F.transform(F.array_sort(kept), lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))), "&"
     )
-    path = F.when(url_path(absolute) == "", F.lit("/")).otherwise(url_path(absolute))
-    authority = F.lower(url_authority(absolute))
-    prefix = F.when(
-        authority != "", F.concat(url_scheme(absolute), F.lit("://"), authority)
-    ).when(url_scheme(absolute) != "", F.concat(url_scheme(absolute), F.lit(":"))).otherwise(F.lit(""))
-    return F.concat(prefix, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+    parts = F.struct(
+        _scheme(u).alias("s"),
+        F.lower(_authority(u)).alias("a"),
+        _path(u).alias("p"),
+        F.when(u.contains("?"), query).otherwise(F.lit("")).alias("q"),
+    )
+    return let(
+        parts,
+        lambda x: F.concat(
+            F.when(x["a"] != "", F.concat(x["s"], F.lit("://"), x["a"]))
+            .when(x["s"] != "", F.concat(x["s"], F.lit(":")))
+            .otherwise(F.lit("")),
+            F.when(x["p"] == "", F.lit("/")).otherwise(x["p"]),
+            F.when(x["q"] != "", F.concat(F.lit("?"), x["q"])).otherwise(F.lit("")),
+        ),
+    )
+
+
+def canonical_url(url: Column, base: Column | None = None) -> Column:
+    """One spelling per page: lower-case host, sorted query, no tracking keys, no fragment."""
+    return let(clean_url(url) if base is None else resolve_url(url, base), _canonical)
 
 
 def host_suffixes(host: Column) -> Column:

@@ -77,12 +77,14 @@ def keyed_announcements(anns: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     ids = F.transform(urls.event_identifiers(F.col("url"), text), lambda i: _key("id", p, i))
     named = F.transform(urls.mentioned_urls(text), lambda u: _key("url", p, urls.canonical_url(u)))
-    sold = anns.filter(F.col("quota_status").isin("sold_out", "partial_sold_out"))
+    # Without keys an announcement meets nobody. A filter instead would be pushed
+    # below the projection and classify every text twice.
+    sold = F.col("quota_status").isin("sold_out", "partial_sold_out")
     return (
-        _title_fields(sold, "title", "text")
+        _title_fields(anns, "title", "text")
         .withColumn("canonical_url", urls.canonical_url(F.col("url")))
-        .withColumn("variant", _variant(p))
-        .withColumn("keys", F.array_distinct(F.concat(ids, named)))
+        .withColumn("variant", F.when(sold, _variant(p)))
+        .withColumn("keys", F.when(sold, F.array_distinct(F.concat(ids, named))).otherwise(_strings()))
     )
 
 

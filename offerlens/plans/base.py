@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlens.session import prepare
+from offerlens.session import prepare, spread
 
 AS_OF = "1998-06-01"
 
@@ -32,6 +32,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table read for per-row text work: over all cores even from one small file."""
+        return spread(getattr(self, name))
+
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` with its ANSI-SQL equivalent."""
@@ -211,7 +215,7 @@ def registry(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 REGISTRY_SQL = """providers AS (SELECT 'p' || n_nationkey AS provider_id, n_name AS name,
   CASE n_nationkey % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'partial' WHEN 2 THEN 'app_only' ELSE 'odd' END AS public_status_scope FROM nation),
-sources AS (SELECT 'p' || n_nationkey AS provider_id, n_nationkey * 10 + s.no AS seq, s.name, s.role,
+sources AS (SELECT 'p' || n_nationkey AS provider_id, CAST(n_nationkey * 10 + s.no AS BIGINT) AS seq, s.name, s.role,
   CASE WHEN s.no = 0 THEN 'partial' WHEN s.no = 1 THEN CASE WHEN n_nationkey % 3 = 0 THEN 'partial' ELSE 'complete' END END AS coverage_scope,
   'https://shop' || n_nationkey || '.example.com/list/' || s.no AS url
   FROM nation CROSS JOIN (VALUES (0, 's0', 'activity_listing'), (1, 's1', 'activity_listing'),

@@ -96,7 +96,7 @@ def request_health(t: Tables):
 GAPS_SQL = f"""{HEALTH_SQL},
 scope AS (SELECT p.provider_id, count(s.seq) AS n, count(*) FILTER (s.seq IS NOT NULL AND coalesce(s.coverage_scope, 'complete') = 'complete') AS complete, min_by(s.url, s.seq) AS url
   FROM providers p LEFT JOIN (SELECT * FROM sources WHERE role = 'activity_listing') s USING (provider_id) GROUP BY 1),
-found AS (SELECT run_id, provider_id, sum(discovered_count) AS found FROM attempts WHERE role IN ('activity_listing', 'activity_probe') GROUP BY ALL),
+found AS (SELECT run_id, provider_id, CAST(sum(discovered_count) AS BIGINT) AS found FROM attempts WHERE role IN ('activity_listing', 'activity_probe') GROUP BY ALL),
 gaps AS (SELECT run_id, provider_id, source_name, url, coverage_issue AS issue, CAST(discovered_count AS BIGINT) AS discovered_count FROM attempts WHERE coverage_issue IS NOT NULL
   UNION ALL SELECT run_id, provider_id, '業者活動發現來源', '', 'no_verified_activity_listing', 0 FROM runs CROSS JOIN scope WHERE n = 0
   UNION ALL SELECT runs.run_id, scope.provider_id, '官方主題活動總覽與關聯圖', url, 'partial_public_activity_discovery', coalesce(found, 0)

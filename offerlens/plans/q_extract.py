@@ -24,7 +24,7 @@ def capture_gate(t: Tables):
 
 @query(
     "format_split",
-    """SELECT format, count(*) AS captures, sum(length(body)) AS chars FROM (
+    """SELECT format, count(*) AS captures, CAST(sum(length(body)) AS BIGINT) AS chars FROM (
   SELECT 'html' AS format, html AS body FROM pages UNION ALL SELECT 'json', props FROM events) GROUP BY format""",
 )
 def format_split(t: Tables):
@@ -38,7 +38,7 @@ def format_split(t: Tables):
 
 
 def documents(t: Tables):
-    return extract.resolve_titles(extract.extract_pages(t.pages, "page_id", "url", "html"))
+    return extract.resolve_titles(extract.extract_pages(t.spread("pages"), "page_id", "url", "html"))
 
 
 _PLAIN = r"trim(regexp_replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))"
@@ -58,7 +58,7 @@ HEAD_SQL = _plain("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")
   CAST(len(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS INTEGER) AS n_links FROM pages""",
 )
 def page_extract(t: Tables):
-    d = extract.extract_pages(t.pages, "page_id", "url", "html")
+    d = extract.extract_pages(t.spread("pages"), "page_id", "url", "html")
     return d.select("page_id", "status", "raw_title", "heading", F.size("links").alias("n_links"))
 
 
@@ -74,7 +74,7 @@ lines AS (SELECT page_id, list_filter(list_transform(string_split(h, chr(10)), l
     f"""WITH {TEXT_SQL} SELECT page_id, len(ls) AS n_lines, sha256(array_to_string(ls, chr(10))) AS text_hash FROM lines""",
 )
 def page_text(t: Tables):
-    d = extract.extract_pages(t.pages, "page_id", "url", "html")
+    d = extract.extract_pages(t.spread("pages"), "page_id", "url", "html")
     return d.select(
         "page_id", F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"), F.sha2("text", 256).alias("text_hash")
     )
@@ -88,7 +88,7 @@ edges AS (SELECT page_id, url, html, CAST(pos AS INTEGER) AS pos, regexp_extract
 
 @query("page_links", f"WITH {LINKS_SQL} SELECT page_id, pos, link_url, anchor FROM edges")
 def page_links(t: Tables):
-    d = extract.extract_pages(t.pages, "page_id", "url", "html")
+    d = extract.extract_pages(t.spread("pages"), "page_id", "url", "html")
     return extract.link_edges(d, "page_id", "url").select("page_id", "pos", "link_url", "anchor")
 
 
@@ -99,7 +99,7 @@ def page_links(t: Tables):
 def link_indegree(t: Tables):
     from offerlens.functions.urls import canonical_url
 
-    d = extract.extract_pages(t.pages, "page_id", "url", "html")
+    d = extract.extract_pages(t.spread("pages"), "page_id", "url", "html")
     edges = extract.link_edges(d, "page_id", "url").select("page_id", canonical_url(F.col("link_url")).alias("target"))
     # Count per (target, page) first: the distinct count then adds up small rows.
     per_page = edges.groupBy("target", "page_id").agg(F.count(F.lit(1)).alias("n"))
@@ -468,7 +468,7 @@ j AS (SELECT doc_id, substr(string_agg(s, ' ' ORDER BY pos), 1, 520) AS summary
 SELECT doc_id, coalesce(summary, '') AS summary FROM documents LEFT JOIN j USING (doc_id)""",
 )
 def condition_summary(t: Tables):
-    return t.documents.select("doc_id", extract.condition_summary(F.col("text"), WORDS).alias("summary"))
+    return t.spread("documents").select("doc_id", extract.condition_summary(F.col("text"), WORDS).alias("summary"))
 
 
 @query(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from offerlens.functions import titles
 from offerlens.operators import linkage, quota
 from offerlens.plans.base import STATUS_SQL, Tables, offer_status, query, text
+from offerlens.session import staged
 
 SOLD, PART, NONE = "本活動回饋已全數額滿。", "7月份回饋已額滿。", "若額滿則停止回饋。"
 
@@ -12,7 +13,7 @@ SOLD, PART, NONE = "本活動回饋已全數額滿。", "7月份回饋已額滿
 def linked_offers(t: Tables):
     """Orders as offers of 25 providers; settled ones name their event id, all have a URL of their own."""
     k = F.col("o_orderkey")
-    df = t.orders.select(
+    df = t.spread("orders").select(
         k.cast("string").alias("activity_id"),
         text("p", k % 25).alias("provider_id"),
         text("https://s.example.com/offer?b=2&utm_source=x&a=", k).alias("url"),
@@ -20,7 +21,8 @@ def linked_offers(t: Tables):
         F.when(F.col("o_orderstatus") == "P", "no id").otherwise(text("EventId=E", k)).alias("text"),
         offer_status().alias("quota_status"),
     )
-    return linkage.keyed_activities(df)
+    slim = linkage.keyed_activities(df).select("activity_id", "canonical_url", "quota_status", "keys", "variant")
+    return staged(slim, "offers")
 
 
 def notices(t: Tables):
@@ -29,14 +31,17 @@ def notices(t: Tables):
     verdict = F.when(F.col("l_returnflag") == "N", NONE).when(F.col("l_linestatus") == "F", SOLD).otherwise(PART)
     named = F.when(n % 2 == 0, text(" EventId=E", k)).otherwise(text(" 見 https://S.example.com/offer?a=", k, "&b=2#x."))
     own = (n == 1) & (F.col("l_returnflag") == "A")
-    df = t.lineitem.select(
+    df = t.spread("lineitem").select(
         text(k, "-", n).alias("announcement_id"),
         text("p", F.when(n == 7, (k + 1) % 25).otherwise(k % 25)).alias("provider_id"),
         F.when(own, text("https://s.example.com/offer?a=", k, "&b=2")).otherwise(text("https://s.example.com/news/", k, "-", n)).alias("url"),
         F.lit("").alias("title"),
         F.concat(verdict, named).alias("text"),
     )
-    return linkage.keyed_announcements(quota.assess(df, "text"))
+    slim = linkage.keyed_announcements(quota.assess(df, "text")).select(
+        "announcement_id", "canonical_url", "quota_status", "quota_excerpt", "keys", "variant"
+    )
+    return staged(slim, "notices")
 
 
 NOTICES_SQL = f"""n AS (SELECT l_orderkey AS k, l_linenumber AS n, l_linestatus = 'F' AS sold, CASE WHEN l_linenumber = 7 THEN (l_orderkey + 1) % 25 ELSE l_orderkey % 25 END AS pid,
@@ -97,7 +102,8 @@ def part_titles(t: Tables):
         text(F.col("p_type"), " ", F.col("p_name")).alias("title"),
         F.concat(F.when(F.col("size") % 3 == 0, F.lit(PART)).otherwise(F.lit(SOLD)), F.when(F.col("size") % 3 == 1, text(" 2026/", F.col("month"), "/1")).otherwise("")).alias("text"),
     )
-    return linkage.keyed_activities(acts), linkage.keyed_announcements(quota.assess(anns, "text"))
+    keyed = linkage.keyed_activities(acts), linkage.keyed_announcements(quota.assess(anns, "text"))
+    return staged(keyed[0], "parts"), staged(keyed[1], "part-notices")
 
 
 _CORE = "regexp_replace(lower(regexp_replace({x}, '[^0-9A-Za-z]', '', 'g')), '[0-9]', '', 'g')"

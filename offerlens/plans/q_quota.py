@@ -17,7 +17,7 @@ sents AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i)
 
 @query("sentence_table", f"WITH {SENTENCES_SQL} SELECT doc_id, pos, sentence FROM sents")
 def sentence_table(t: Tables):
-    return quota.sentences(t.documents, "doc_id", "text")
+    return quota.sentences(t.spread("documents"), "doc_id", "text")
 
 
 # A rule pack for the invented languages of the corpus; patterns stay inside what RE2 can do.
@@ -57,7 +57,7 @@ ex AS (SELECT *, is_sold_out AND NOT is_conditional AS is_explicit FROM flags)""
   count(*) FILTER (is_partial) AS partial, count(*) FILTER (is_app_only) AS app_only FROM ex GROUP BY doc_id""",
 )
 def sentence_flags(t: Tables):
-    flags = quota.flag_sentences(quota.sentences(t.documents, "doc_id", "text"), DOC_PACK)
+    flags = quota.flag_sentences(quota.sentences(t.spread("documents"), "doc_id", "text"), DOC_PACK)
     n = F.count_if
     return flags.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("sentences"),
@@ -82,7 +82,7 @@ SELECT d.doc_id, CASE WHEN n_partial > 0 AND n_whole = 0 THEN 'partial_sold_out'
 FROM documents d LEFT JOIN agg USING (doc_id)""",
 )
 def quota_status_docs(t: Tables):
-    return quota.assess(t.documents.select("doc_id", "text"), "text", DOC_PACK).select(
+    return quota.assess(t.spread("documents").select("doc_id", "text"), "text", DOC_PACK).select(
         "doc_id", "quota_status", "quota_excerpt", F.size("quota_components").cast("bigint").alias("n_components")
     )
 
@@ -104,7 +104,7 @@ def notices(t: Tables):
         .when(p == "5-LOW", text("每人每月回饋上限", F.col("o_orderkey"), "點；若額滿則停止回饋"))
         .otherwise(text("消費滿額即享回饋，送完為止。", F.col("o_orderkey")))
     )
-    return t.orders.select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority", body.alias("text"))
+    return t.spread("orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority", body.alias("text"))
 
 
 NOTICE_STATUS_SQL = """CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 'partial_sold_out' WHEN o_orderstatus = 'F' THEN 'sold_out'
@@ -289,7 +289,7 @@ def reward_lines(t: Tables):
         .when(F.col("l_returnflag") == "N", text("累積消費滿", amount, "元送", amount, "元優惠券，年利率", fee, "%。"))
         .otherwise(text("新戶贈NT$", F.format_number(F.col("l_quantity") * 100, 0), "現金回饋，活動總回饋上限50萬元"))
     )
-    return t.lineitem.select(
+    return t.spread("lineitem").select(
         "l_orderkey", "l_linenumber",
         F.col("l_suppkey"), F.lit("").alias("title"), body.alias("conditions_summary"),
     )
@@ -334,7 +334,7 @@ def percent_mentions(t: Tables):
     "insight_records",
     f"""WITH {OFFERS_SQL}, i AS (SELECT seq, quota_status, CAST(floor(max_reward_percent) AS BIGINT) AS pct, date_diff('day', DATE '{AS_OF}', start_date) AS a, date_diff('day', DATE '{AS_OF}', end_date) AS b FROM offers),
 f AS (SELECT *, pct > 0 AS has, pct >= 10 AS high, coalesce(a BETWEEN 1 AND 14, false) AS up, coalesce(b BETWEEN 0 AND 7, false) AS soon FROM i)
-SELECT seq, a AS starts_in_days, b AS ends_in_days, up AS is_upcoming, soon AS is_expiring_soon, high AS is_high_return,
+SELECT seq, CAST(a AS INTEGER) AS starts_in_days, CAST(b AS INTEGER) AS ends_in_days, up AS is_upcoming, soon AS is_expiring_soon, high AS is_high_return,
   array_to_string(list_filter([CASE WHEN high THEN '高回饋' END, CASE WHEN up THEN '即將開始' END, CASE WHEN soon THEN '即將結束' END,
     CASE quota_status WHEN 'sold_out' THEN '已額滿' WHEN 'partial_sold_out' THEN '部分額滿' WHEN 'unknown_app_only' THEN '需至 App 確認' END], lambda x: x IS NOT NULL), '|') AS tags,
   coalesce(nullif(array_to_string(list_filter([CASE WHEN has THEN '最高 ' || pct || '% 回饋' || CASE WHEN high THEN '，屬高回饋活動' ELSE '' END END,

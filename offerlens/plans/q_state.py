@@ -166,7 +166,7 @@ def _outcomes(t: Tables):
     )
 
 
-FRONTIER_SQL = """k AS (SELECT n_nationkey AS n, CASE WHEN n_nationkey % 5 <> 4 THEN n_nationkey + 10 END AS hi,
+FRONTIER_SQL = """k AS (SELECT CAST(n_nationkey AS BIGINT) AS n, CASE WHEN n_nationkey % 5 <> 4 THEN n_nationkey + 10 END AS hi,
   CASE WHEN n_nationkey % 5 <> 4 THEN CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey + 10 ELSE n_nationkey + 12 END END AS fr FROM nation),
 st AS (SELECT n, coalesce(hi, 0) AS previous_highest, coalesce(fr, 0) AS previous_frontier, CASE WHEN fr > 0 THEN greatest(n % 7 + 1, fr - 6 + 1) ELSE n % 7 + 1 END AS scan_start,
   CASE WHEN fr > 0 THEN fr + 3 ELSE greatest(9, n % 7 + 1) END AS e0, CASE WHEN n % 2 = 0 THEN 5 ELSE 220 END AS most FROM k),
@@ -286,7 +286,7 @@ def recheck_plan(t: Tables):
 SELECT canonical_url FROM found WHERE canonical_url NOT IN (SELECT canonical_url FROM s)""",
 )
 def next_round(t: Tables):
-    d = extract.extract_pages(t.pages, "page_id", "url", "html")
+    d = extract.extract_pages(t.spread("pages"), "page_id", "url", "html")
     edges = extract.link_edges(d, "page_id", "url").select(canonical_url(F.col("link_url")).alias("canonical_url"))
     return frontier.next_round(edges, t.pages.select(canonical_url(F.col("url")).alias("canonical_url")))
 

@@ -70,3 +70,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so that a loop's plan does not grow and lost executors do not replay it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a derived table to the shared folder and read it back.
+
+    For results of per-row text work that several joins use: the work runs once,
+    survives lost executors, and null checks that joins infer on derived keys
+    test stored columns instead of repeating the work below the projection.
+    """
+    path = new_table_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Scan output over all cores when the files give fewer splits than there are cores.
+
+    Only for stages dominated by per-row text work over a handful of small
+    files. A large table has more splits than cores and is left untouched, so
+    no shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
