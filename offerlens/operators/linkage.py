@@ -91,17 +91,26 @@ def keyed_announcements(anns: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- title pairs
 
 
-def _tokens(text: Column) -> Column:
-    """Characters numbered by occurrence, so that set overlap equals multiset overlap."""
-    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+def _numbered(items: Column) -> Column:
+    """Items numbered by occurrence, so that set overlap equals multiset overlap."""
     return let(
-        chars,
+        F.array_sort(items),
         lambda run: F.transform(
             run, lambda c, i: F.concat(c, (i - F.array_position(run, c).cast("int") + 1).cast("string"))
         ),
     )
 
 
+def _tokens(text: Column) -> Column:
+    return _numbered(F.filter(F.split(text, ""), lambda c: c != ""))
+
+
+def _bigrams(text: Column) -> Column:
+    starts = F.when(F.length(text) > 1, F.sequence(F.lit(1), F.length(text) - 1))
+    pairs = F.transform(starts, lambda i: F.substring(text, i, 2))
+    return _numbered(F.coalesce(pairs, _strings()))
+
+
 def _prefixed(titles_df: DataFrame, frequency: DataFrame, ratio: float, side: str) -> DataFrame:
     """Each title with its rarest tokens — enough of them that two similar titles must share one.
 
@@ -147,7 +156,11 @@ def similar_titles(left: DataFrame, right: DataFrame, ratio: float = RATIO) -> D
     close = once.select("provider_id", "a_norm", "n_norm").filter(
         2 * shared >= F.lit(ratio) * (la + ln) - F.lit(1e-9)
     )
-    scored = close.withColumn("score", sequence_ratio("a_norm", "n_norm"))
+    # M matched characters in B blocks share at least M - B bigrams, and blocks are
+    # kept apart by unmatched characters: B - 1 <= (la + ln) - 2M.
+    common = F.size(F.array_intersect(_bigrams(F.col("a_norm")), _bigrams(F.col("n_norm"))))
+    tight = close.filter(common >= F.lit(1.5 * ratio - 1) * (la + ln) - 1 - F.lit(1e-9))
+    scored = tight.withColumn("score", sequence_ratio("a_norm", "n_norm"))
     return scored.filter(F.col("score") >= ratio)
 
 
