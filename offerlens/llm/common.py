@@ -36,12 +36,12 @@ def held_out(key: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def map_texts(df: DataFrame, fn: Callable[[list], dict[str, pa.Array]], schema: str, text: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, fn: Callable[[list], dict[str, pa.Array]], schema: str, text: str = "text", binary: bool = False) -> DataFrame:
     """Replace the text column by the columns that ``fn`` derives from a batch of texts.
 
     ``schema`` lists the columns of the result: those of ``df`` without the text
     keep their place, those that ``fn`` returns follow. One Arrow batch at a
-    time is in memory.
+    time is in memory. ``binary``: texts come as UTF-8 bytes.
     """
     at = df.columns.index(text)
 
@@ -49,7 +49,8 @@ def map_texts(df: DataFrame, fn: Callable[[list], dict[str, pa.Array]], schema:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = fn(batch.column(at).to_pylist())
+            column = batch.column(at)
+            new = fn((column.cast(pa.binary()) if binary else column).to_pylist())
             kept = [(n, c) for i, (n, c) in enumerate(zip(batch.schema.names, batch.columns)) if i != at]
             arrays = [c for _, c in kept] + list(new.values())
             yield pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in kept] + list(new))
@@ -57,6 +58,11 @@ def map_texts(df: DataFrame, fn: Callable[[list], dict[str, pa.Array]], schema:
     return df.mapInArrow(run, schema)
 
 
+def columns_of(df: DataFrame, without: str, *more: str) -> str:
+    """Schema text of ``df`` without one column and with ``more``."""
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != without] + list(more))
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 bytes of a text; null is empty, lone surrogates (not valid in Spark) become '?'."""
     return text.encode("utf-8", "replace") if text else b""

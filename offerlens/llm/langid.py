@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import held_out, map_texts, op, table, utf8
+from offerlens.llm.common import columns_of, held_out, map_texts, op, table, utf8
 
 UNKNOWN = "und"
 #: Bounds of the training sample, per language: documents, and bytes of normalised text.
@@ -198,7 +198,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[Column]) -> DataFr
         langs, score, bits, size = classify(texts, shipped.value)
         return {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(score, pa.float64()), "bits": pa.array(bits, pa.float64()), "n_bytes": pa.array(size, pa.int64())}
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"] + ["lang_pred string", "score double", "bits double", "n_bytes bigint"])
+    schema = columns_of(rows, "_text", "lang_pred string", "score double", "bits double", "n_bytes bigint")
     return map_texts(rows, derive, schema, "_text")
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from offerlens.llm.common import OPS
 
-MODULES = ("langid",)
+MODULES = ("langid", "simhash")
 
 
 def load() -> dict:
