@@ -6,7 +6,7 @@ import importlib
 
 from offerlens.llm.common import OPS
 
-MODULES = ("langid", "simhash")
+MODULES = ("langid", "linededup", "simhash")
 
 
 def load() -> dict:
