@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from offerlens.session import prepare
 
+#: A written table of hashes or ids is broadcast up to so many rows (tens of MB); a larger one is joined by shuffling.
+BROADCAST_ROWS = 1_000_000
+
 OPS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
@@ -58,6 +61,11 @@ def map_texts(df: DataFrame, fn: Callable[[list], dict[str, pa.Array]], schema:
     return df.mapInArrow(run, schema)
 
 
+def probe(keys: DataFrame) -> DataFrame:
+    """``keys``, a written table of a few narrow columns, to be broadcast if its counted size is within the bound."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def columns_of(df: DataFrame, without: str, *more: str) -> str:
     """Schema text of ``df`` without one column and with ``more``."""
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != without] + list(more))

@@ -17,20 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import op, table
+from offerlens.llm.common import op, probe, table
 from offerlens.session import staged
 
 #: Shorter lines are layout (headings, list marks, closings) and stay.
 MIN_CHARS = 16
 #: A variant is hashed by blocks of so many characters or more, of which a deletion changes one.
 BLOCK = 256
-#: A table of hashes is broadcast up to so many rows (16 MB); a larger one is joined by shuffling.
-BROADCAST_ROWS = 1_000_000
-
-
-def _probe(keys: DataFrame) -> DataFrame:
-    """``keys`` (a written table), to be broadcast if its counted size is within the bound."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -81,10 +74,10 @@ def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHARS)
     """(h1, h2) of the distinct lines that are within one edit of a line that first occurs earlier."""
     key = F.explode("halves").alias("key")
     shared = staged(distinct.select(key).groupBy("key").count().filter("count > 1").select("key"), "line-halves")
-    some = distinct.select("h1", key).join(_probe(shared), "key", "left_semi").select("h1").distinct()
+    some = distinct.select("h1", key).join(probe(shared), "key", "left_semi").select("h1").distinct()
     some = staged(some, "line-candidates")
     order = F.struct("doc_id", "no")
-    texts = _lines(docs, min_chars).join(_probe(some), "h1", "left_semi")
+    texts = _lines(docs, min_chars).join(probe(some), "h1", "left_semi")
     texts = staged(texts.groupBy("h1", "h2", "n").agg(F.min(order).alias("first"), F.any_value("line").alias("line")), "line-texts")
     rows = variants(texts.select("line", "n", F.struct("first", "h1", "h2").alias("me")))
     same, there = Window.partitionBy("v", "vn"), Window.partitionBy("v", "vn", "at")
@@ -116,7 +109,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     near = near_lines(docs, distinct, min_chars).withColumn("near", F.lit(True))
     verdict = distinct.filter("times > 1").select("h1", "h2", "first").join(near, ["h1", "h2"], "full")
     verdict = staged(verdict, "line-verdicts")
-    gone = lines.select("doc_id", "row", "no", "h1", "h2").join(_probe(verdict), ["h1", "h2"])
+    gone = lines.select("doc_id", "row", "no", "h1", "h2").join(probe(verdict), ["h1", "h2"])
     gone = gone.filter(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "no") > F.col("first")))
     gone = gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("no")).alias("_gone"))
     gone = gone.withColumnsRenamed({"doc_id": "_id", "row": "_row"})
