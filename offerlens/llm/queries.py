@@ -6,7 +6,7 @@ import importlib
 
 from offerlens.llm.common import OPS
 
-MODULES = ("langid", "linededup", "simhash", "decontaminate")
+MODULES = ("langid", "linededup", "simhash", "decontaminate", "pieces")
 
 
 def load() -> dict:
