@@ -6,7 +6,7 @@ import importlib
 
 from offerlens.llm.common import OPS
 
-MODULES = ("langid", "linededup", "simhash", "decontaminate", "pieces", "tokencount", "quality")
+MODULES = ("langid", "linededup", "simhash", "decontaminate", "pieces", "tokencount", "quality", "licenses")
 
 
 def load() -> dict:
