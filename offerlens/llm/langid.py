@@ -120,7 +120,8 @@ def suffix_automaton(data: bytes) -> list[dict[int, int]]:
 def _tables(samples: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """One transition table for all languages: (byte -> symbol, table, roots, symbols).
 
-    An entry is twice the next state, plus one where the parse had to start a new piece.
+    An entry is four times the next state, plus the pieces that the byte completes: the one it cannot prolong, and
+    itself if no sample has it.
     """
     used = sorted(set(b"".join(samples)))
     symbol = np.zeros(256, dtype=np.int64)  # symbol 0: a byte that no sample has
@@ -129,13 +130,14 @@ def _tables(samples: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray, np.ndar
     parts, roots, base = [], [], 0
     for sample in samples:
         go = suffix_automaton(sample)
-        root = np.full(width, base * 2 + 1, dtype=np.int32)
+        start = np.full(width, base * 4 + 2, dtype=np.int32)
         for c, q in go[0].items():
-            root[symbol[c]] = (base + q) * 2 + 1
-        t = np.tile(root, (len(go), 1))
+            start[symbol[c]] = (base + q) * 4 + 1
+        t = np.tile(start, (len(go), 1))
+        t[0] = base * 4 + 1
         at = [(p, symbol[c], q) for p, row in enumerate(go) for c, q in row.items()]
         p, c, q = (np.array(x, dtype=np.int64) for x in zip(*at))
-        t[p, c] = (base + q) * 2
+        t[p, c] = (base + q) * 4
         parts.append(t)
         roots.append(base)
         base += len(go)
@@ -155,14 +157,14 @@ def phrase_counts(texts: list[str | None], samples: tuple[bytes, ...], block: in
     order = np.argsort(-size, kind="stable")
     start, size, owner = start[order], size[order], owner[order]
     active = np.searchsorted(-size, -np.arange(block), side="left")  # lanes longer than t
-    state = np.repeat(roots[:, None] * 2, len(start), axis=1)
+    state = np.repeat(roots[:, None] * 4, len(start), axis=1)
     pieces = np.zeros(state.shape, dtype=np.int64)
     for t in range(int(size[0]) if len(size) else 0):
         n = active[t]
-        now = step[(state[:, :n] >> 1) * width + data[start[:n] + t]]
+        now = step[(state[:, :n] >> 2) * width + data[start[:n] + t]]
         state[:, :n] = now
-        pieces[:, :n] += now & 1
-    pieces += (state >> 1) != roots[:, None]  # the piece that the end cuts off
+        pieces[:, :n] += now & 3
+    pieces += (state >> 2) != roots[:, None]  # the piece that the end cuts off
     out = np.zeros((len(samples), len(texts)), dtype=np.int64)
     for k in range(len(samples)):
         out[k] = np.bincount(owner, weights=pieces[k], minlength=len(texts)).astype(np.int64)
