@@ -33,8 +33,8 @@ SEED, TEMPERATURE = 17, 0.5
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words above this many characters are filtered one at a time in little memory; others side by side.
 LONG_WORD = 4096
-#: Characters of words that are handled at a time.
-SLICE = 1 << 20
+#: Characters of text whose words are told apart at a time, and of distinct words whose lattice is held at a time.
+SLICE, LATTICE = 1 << 20, 1 << 17
 _ONE = 1 << 31
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -167,7 +167,7 @@ class Lattice:
         weight = np.where(piece >= 0, self.weight[piece], self.byte_weight * n_bytes)
         piece = np.where(piece >= 0, piece, -1 - code.astype(np.int64))
         place = start + word[start]  # of the edge's start
-        order = np.lexsort((length, place + length))
+        order = np.argsort((place + length) * (self.longest + 1) + length)
         place, length, piece, weight = place[order], length[order], piece[order], weight[order]
         places = len(codes) + len(words)
         first = np.searchsorted(place + length, np.arange(places + 1))
@@ -265,18 +265,24 @@ class Lattice:
         is_long = np.array([len(w) > LONG_WORD for w in distinct], dtype=bool)
         counts = np.zeros(len(words), dtype=np.int64)
         drawn: list[tuple[np.ndarray, int, np.ndarray]] = []
-        short = [w for w, x in zip(distinct, is_long) if not x]
-        lane = np.flatnonzero(~is_long[which])
-        if len(lane):
-            end, first, threshold, length, piece = self.filter_words(short)
-            place_of = np.cumsum(~is_long) - 1
-            at = end[place_of[which[lane]]]
-            start = at - np.array([len(w) for w in short], dtype=np.int64)[place_of[which[lane]]]
+        size = np.array([len(w) for w in distinct], dtype=np.int64)
+        part = np.where(is_long, -1, np.cumsum(size * ~is_long) // LATTICE)
+        lane_part = part[which]
+        by_part = np.argsort(lane_part, kind="stable")
+        bounds = np.searchsorted(lane_part[by_part], np.arange(int(part.max(initial=-1)) + 2))
+        for k in range(len(bounds) - 1):
+            lane = by_part[bounds[k] : bounds[k + 1]]
+            if not len(lane):
+                continue
+            mine = np.flatnonzero(part == k)
+            end, first, threshold, length, piece = self.filter_words([distinct[j] for j in mine.tolist()])
+            at = end[np.searchsorted(mine, which[lane])]
+            start = at - size[which[lane]]
             step = 0
             while len(lane):
                 u = (_mix(seeds[lane] + np.uint64(step * _MIX[0] % (1 << 64))) >> np.uint64(33)).astype(np.int64)
                 edge = np.searchsorted(threshold, (at << 32) + u, side="right")
-                drawn.append((lane, step, piece[edge]))
+                drawn.append((lane, step, piece[edge].astype(np.int32)))
                 at = at - length[edge]
                 more = np.flatnonzero(at > start)
                 counts[lane] = step + 1
