@@ -12,13 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offerlens.functions import dates, html, titles, urls
-from offerlens.functions.text import all_matches, first_match, sentence_list, squash
+from offerlens.functions.text import all_matches, first_match, head, sentence_list, squash
 from offerlens.operators.keys import first_by, limit_per_group
 
-PARSED = (
-    "status string, error string, raw_title string, heading string, text string, "
-    "links array<struct<url:string,anchor:string>>"
-)
+PARSED = {"raw_title": "string", "heading": "string", "text": "string", "links": "array<struct<url:string,anchor:string>>"}
+NAMED_URL = r"https?://[^\s<>'\"]+"
 # Words that mark a condition sentence, and the labelled sections of a summary.
 CONDITION_WORDS = ("回饋", "上限", "名額", "指定", "每筆", "每戶", "每月", "活動期間")
 SECTION_NAMES = "title|description|location|content|reminder|restrictions"
@@ -30,41 +28,92 @@ SECTION_LABELS = {
 }
 
 
-def _map_documents(captures: DataFrame, key: str, url: str, source: str, parse: Callable) -> DataFrame:
-    """Run a per-page parser over Arrow batches. A page that fails becomes a row, not a failed job."""
-    key_type = captures.schema[key].dataType.simpleString()
+def _map_documents(
+    captures: DataFrame, key: str, url: str, source: str, parse: Callable, fields: dict[str, str], keep: tuple[str, ...]
+) -> DataFrame:
+    """Run a per-page parser over Arrow batches. A page that fails becomes a row, not a failed job.
+
+    ``fields``: name and type of what ``parse`` returns; ``keep``: columns of ``captures`` that stay beside them.
+    """
+    keep = tuple(c for c in dict.fromkeys(keep) if c not in (key, url))
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for k, u, s in zip(frame["k"], frame["u"], frame["s"]):
+            rows = []
+            for address, page in zip(frame[url], frame["__source"]):
                 try:
-                    d = parse(s, u)
-                    links = [{"url": a, "anchor": b} for a, b in d["links"]]
-                    out.append((k, u, "ok", None, d["title"], d["heading"], d["text"], links))
+                    rows.append({"status": "ok", "error": None} | parse(page, address))
                 except Exception as exc:
-                    out.append((k, u, "failed", f"{type(exc).__name__}: {exc}"[:1000], None, None, None, None))
-            yield pd.DataFrame(
-                out, columns=["k", "u", "status", "error", "raw_title", "heading", "text", "links"]
-            )
+                    rows.append({"status": "failed", "error": f"{type(exc).__name__}: {exc}"} | dict.fromkeys(fields))
+            made = pd.DataFrame(rows, columns=["status", "error", *fields], index=frame.index, dtype=object)
+            yield pd.concat([frame.drop(columns="__source"), made], axis=1)
+
+    narrow = captures.select(key, url, *keep, F.col(source).alias("__source"))
+    kinds = {f.name: f.dataType.simpleString() for f in narrow.schema if f.name != "__source"}
+    made = kinds | {"status": "string", "error": "string"} | fields
+    parsed = narrow.mapInPandas(batches, ", ".join(f"`{n}` {k}" for n, k in made.items()))
+    return parsed.select(key, url, "status", "error", *fields, *keep)
+
 
-    narrow = captures.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(source).alias("s"))
-    parsed = narrow.mapInPandas(batches, f"k {key_type}, u string, {PARSED}")
-    return parsed.withColumnsRenamed({"k": key, "u": url})
+def _page_parser(read: Callable, fields: tuple[str, ...]) -> Callable:
+    def parse(source: str, base_url: str) -> dict:
+        out = read(source, base_url, fields)
+        if "links" in out:
+            out["links"] = [{"url": a, "anchor": b} for a, b in out["links"]]
+        return out
 
+    return parse
 
-def extract_pages(captures: DataFrame, key: str = "doc_id", url: str = "final_url", source: str = "text") -> DataFrame:
-    """HTML captures to documents; ``status`` tells parsed pages from quarantined ones."""
-    return _map_documents(captures, key, url, source, html.html_document)
+
+def extract_pages(
+    captures: DataFrame,
+    key: str = "doc_id",
+    url: str = "final_url",
+    source: str = "text",
+    fields: tuple[str, ...] = tuple(PARSED),
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """HTML captures to documents; ``status`` tells parsed pages from quarantined ones. Only ``fields`` are built."""
+    return _map_documents(captures, key, url, source, _page_parser(html.html_document, fields), {f: PARSED[f] for f in fields}, keep)
 
 
-def flatten_json(captures: DataFrame, key: str = "doc_id", url: str = "final_url", source: str = "text") -> DataFrame:
-    """JSON captures of any depth to documents; a detail object hides its siblings."""
-    return _map_documents(captures, key, url, source, html.json_document)
+def recover_chunks(captures: DataFrame, key: str = "doc_id", url: str = "final_url", source: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    return _map_documents(captures, key, url, source, _page_parser(html.chunked_document, tuple(PARSED)), PARSED, keep)
 
 
-def recover_chunks(captures: DataFrame, key: str = "doc_id", url: str = "final_url", source: str = "text") -> DataFrame:
-    return _map_documents(captures, key, url, source, html.chunked_document)
+def flatten_json(captures: DataFrame, key: str = "doc_id", url: str = "final_url", source: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """JSON captures of any depth to documents; a detail object hides its siblings.
+
+    Python only walks the payload; lines, links and title are built from its pairs in Spark.
+    """
+
+    def parse(source: str, base_url: str) -> dict:
+        pairs = html.payload_pairs(source, base_url)
+        return {"__pairs": [p | {"links": [{"url": a, "anchor": b} for a, b in p["links"]]} for p in pairs]}
+
+    link = "struct<url:string,anchor:string>"
+    kind = f"array<struct<key:string,value:string,shown:string,links:array<{link}>>>"
+    rows = _map_documents(captures, key, url, source, parse, {"__pairs": kind}, keep)
+    pairs = F.col("__pairs")
+    lines = F.transform(F.filter(pairs, lambda p: p["shown"] != ""), lambda p: F.concat(p["key"], F.lit(": "), p["shown"]))
+
+    def links(p: Column) -> Column:
+        named = F.transform(all_matches(p["value"], NAMED_URL), lambda u: F.struct(F.regexp_replace(u, r"[.,);\]]+\z", "").alias("url"), F.lit("").alias("anchor")))
+        return F.concat(p["links"], named)
+
+    order = F.array(*[F.lit(k) for k in html.TITLE_KEYS])
+    fits = F.filter(pairs, lambda p: F.array_contains(order, F.lower(p["key"])) & F.length(F.regexp_replace(p["value"], "<[^>]+>", "")).between(3, 240))
+    ranked = F.array_sort(F.transform(fits, lambda p, i: F.struct(F.array_position(order, F.lower(p["key"])).alias("rank"), i.alias("pos"), p["value"].alias("value"))))
+    title = squash(F.regexp_replace(head(ranked)["value"], "<[^>]+>", " "))
+    ok = F.col("status") == "ok"
+    built = {
+        "raw_title": F.when(ok, F.coalesce(title, F.lit(titles.UNKNOWN_TITLE))),
+        "heading": F.when(ok, F.lit("")),
+        "text": F.array_join(lines, "\n"),
+        "links": F.flatten(F.transform(pairs, links)),
+    }
+    kept = [c for c in rows.columns if c not in (key, url, "status", "error", "__pairs")]
+    return rows.select(key, url, "status", "error", *[c.alias(n) for n, c in built.items()], *kept)
 
 
 def failures(documents: DataFrame) -> DataFrame:

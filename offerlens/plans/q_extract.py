@@ -58,7 +58,7 @@ HEAD_SQL = _plain("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")
   CAST(len(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS INTEGER) AS n_links FROM pages""",
 )
 def page_extract(t: Tables):
-    d = extract.extract_pages(t.spread("pages"), "page_id", "url", "html")
+    d = extract.extract_pages(t.pages, "page_id", "url", "html", ("raw_title", "heading", "links"))
     return d.select("page_id", "status", "raw_title", "heading", F.size("links").alias("n_links"))
 
 
@@ -74,7 +74,7 @@ lines AS (SELECT page_id, list_filter(list_transform(string_split(h, chr(10)), l
     f"""WITH {TEXT_SQL} SELECT page_id, len(ls) AS n_lines, sha256(array_to_string(ls, chr(10))) AS text_hash FROM lines""",
 )
 def page_text(t: Tables):
-    d = extract.extract_pages(t.spread("pages"), "page_id", "url", "html")
+    d = extract.extract_pages(t.pages, "page_id", "url", "html", ("text",))
     return d.select(
         "page_id", F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"), F.sha2("text", 256).alias("text_hash")
     )
@@ -88,7 +88,7 @@ edges AS (SELECT page_id, url, html, CAST(pos AS INTEGER) AS pos, regexp_extract
 
 @query("page_links", f"WITH {LINKS_SQL} SELECT page_id, pos, link_url, anchor FROM edges")
 def page_links(t: Tables):
-    d = extract.extract_pages(t.spread("pages"), "page_id", "url", "html")
+    d = extract.extract_pages(t.pages, "page_id", "url", "html", ("links",))
     return extract.link_edges(d, "page_id", "url").select("page_id", "pos", "link_url", "anchor")
 
 
@@ -99,7 +99,7 @@ def page_links(t: Tables):
 def link_indegree(t: Tables):
     from offerlens.functions.urls import canonical_url
 
-    d = extract.extract_pages(t.spread("pages"), "page_id", "url", "html")
+    d = extract.extract_pages(t.pages, "page_id", "url", "html", ("links",))
     edges = extract.link_edges(d, "page_id", "url").select("page_id", canonical_url(F.col("link_url")).alias("target"))
     # Count per (target, page) first: the distinct count then adds up small rows.
     per_page = edges.groupBy("target", "page_id").agg(F.count(F.lit(1)).alias("n"))
@@ -123,9 +123,7 @@ SELECT lang AS source_id, CAST(pos AS INTEGER) AS pos, canonical_url, anchor, CA
 )
 def listing_links(t: Tables):
     pages = t.pages.withColumn("source_id", F.regexp_extract("html", 'lang="([a-z]+)"', 1))
-    d = extract.extract_pages(pages, "page_id", "url", "html").join(
-        t.pages.select("page_id", F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("source_id")), "page_id"
-    )
+    d = extract.extract_pages(pages, "page_id", "url", "html", ("links",), keep=("source_id",))
     limits = {"en": 2, "fr": 4, "de": 4, "es": 4}
     out = extract.discover_links(d, PATTERNS, limits, "source_id", "url")
     return out.select("source_id", "pos", "canonical_url", "anchor", "total_found")
@@ -142,7 +140,7 @@ def event_links(t: Tables):
     pages = order_pages(t, F.concat(a("first"), a("again"))).select(
         "page_id", "items", F.lit("https://offers.example.com/hub").alias("url"), (F.col("page_id") * PAGE_SIZE + 3).cast("string").alias("own_id")
     )
-    d = extract.extract_pages(pages, "page_id", "url", "items").join(pages.select("page_id", "own_id"), "page_id")
+    d = extract.extract_pages(pages, "page_id", "url", "items", ("links",), keep=("own_id",))
     edges = d.select("page_id", "own_id", F.posexplode("links").alias("pos", "l")).select(
         "page_id", "own_id", "pos", F.col("l.url").alias("link_url"), F.col("l.anchor").alias("anchor")
     )

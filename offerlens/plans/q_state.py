@@ -286,7 +286,7 @@ def recheck_plan(t: Tables):
 SELECT canonical_url FROM found WHERE canonical_url NOT IN (SELECT canonical_url FROM s)""",
 )
 def next_round(t: Tables):
-    d = extract.extract_pages(t.spread("pages"), "page_id", "url", "html")
+    d = extract.extract_pages(t.pages, "page_id", "url", "html", ("links",))
     edges = extract.link_edges(d, "page_id", "url").select(canonical_url(F.col("link_url")).alias("canonical_url"))
     return frontier.next_round(edges, t.pages.select(canonical_url(F.col("url")).alias("canonical_url")))
 
