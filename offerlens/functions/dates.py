@@ -30,7 +30,10 @@ DATE_NOTE = r"(?:\s*[（(][^）)\n]{0,12}[）)])?(?:\s+\d{1,2}:\d{2}(?::\d{2})?)
 YEAR_MARK, MONTH_MARK, DAY_MARK = r"\s*(?:年|[./-])\s*", r"\s*(?:月|[./-])\s*", r"\s*日?"
 GREGORIAN_YEAR, ROC_YEAR, ROC_WORD, ROC_OFFSET = r"20\d{2}", r"1\d{2}", r"(?:民國\s*)?", 1911
 ONE_DAY = (r"(?:僅限|只限|限於).{0,50}(?:當日|一天)", r"(?:當日|一天).{0,30}(?:活動|限定|有效)")
-WINDOW_CHARS, WINDOW_LINES, WINDOW_KEEP, LOW_WINDOW_CHARS, EXCERPT_CHARS = 520, 3, 420, 20_000, 260
+# What "near a label" means: characters and lines behind it that can hold its period.
+NEAR_CHARS, NEAR_LINES, NEAR_KEEP = 520, 3, 420
+# Characters of a window that are shown beside a period; decides nothing.
+SHOWN_CHARS = 260
 
 _MONTH_DAY = rf"(\d{{1,2}}){MONTH_MARK}(\d{{1,2}}){DAY_MARK}"
 
@@ -113,22 +116,23 @@ def single_date(window: Column) -> Column:
     )
 
 
-def period_windows(text: Column) -> Column:
-    """One short window per period label, in document order."""
+def period_windows(text: Column, chars: int = NEAR_CHARS, lines: int = NEAR_LINES, keep: int = NEAR_KEEP) -> Column:
+    """One window per period label, in document order: the text near the label, as the arguments define near."""
     flat = F.regexp_replace(text, r"[\t\r]+", " ")
     raw = all_matches(
-        flat, r"(?=(" + "|".join(PERIOD_LABELS) + r"))(?=([\s\S]{0," + str(WINDOW_CHARS) + r"}))", 2
+        flat, r"(?=(" + "|".join(PERIOD_LABELS) + r"))(?=([\s\S]{0," + str(chars) + r"}))", 2
     )
     return F.transform(
         raw,
         lambda w: F.substring(
-            F.array_join(F.slice(F.split(w, "\n"), 1, WINDOW_LINES), " "), 1, WINDOW_KEEP
+            F.array_join(F.slice(F.split(w, "\n"), 1, lines), " "), 1, keep
         ),
     )
 
 
 def low_window(text: Column) -> Column:
-    return F.substring(F.regexp_replace(text, r"[\t\r]+", " "), 1, LOW_WINDOW_CHARS)
+    """The whole text: a period far down counts as well."""
+    return F.regexp_replace(text, r"[\t\r]+", " ")
 
 
 def _period(start: Column, end: Column, confidence, excerpt: Column) -> Column:
@@ -162,14 +166,14 @@ def _range_in(window: Column, confidence: str) -> Column:
         parse_range(window),
         lambda found: F.when(
             found["start"].isNotNull() & found["end"].isNotNull(),
-            _period(found["start"], found["end"], confidence, F.substring(window, 1, EXCERPT_CHARS)),
+            _period(found["start"], found["end"], confidence, F.substring(window, 1, SHOWN_CHARS)),
         ),
     )
 
 
 def _single_in(window: Column) -> Column:
     one_day = window.rlike("(?Ud)" + "|".join(f"(?:{p})" for p in ONE_DAY))
-    excerpt = F.substring(window, 1, EXCERPT_CHARS)
+    excerpt = F.substring(window, 1, SHOWN_CHARS)
     return let(
         single_date(window),
         lambda day: F.when(
@@ -184,8 +188,8 @@ def _single_in(window: Column) -> Column:
 def resolve_period(text: Column) -> Column:
     """``struct<start,end,confidence,excerpt>``: the first stage that yields a period wins.
 
-    Order: labelled API pairs, a range near a label, a range anywhere near the
-    top, a single date near a label. ``coalesce`` stops at the first hit, so the
+    Order: labelled API pairs, a range near a label, a range anywhere in
+    the text, a single date near a label. ``coalesce`` stops at the first hit, so the
     wide window is only searched when nothing better was found.
     """
     found = lambda items: head(F.filter(items, lambda p: p.isNotNull()))

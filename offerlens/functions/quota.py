@@ -56,7 +56,6 @@ COMPONENT_WEEK = r"(?Ud)(首週|本週|第[一二三四五六七八九十\d]+週
 COMPONENT_NAME = r"(?Ud)(活動[一二三四1234]|第[一二三四1234]重|[^，。；]{0,16}加碼)"
 FULL_DATE = r"(?Ud)(20\d{2})[年/.\-](\d{1,2})[月/.\-](\d{1,2})日?"
 SHORT_DATE = r"(?Ud)(?<!\d)(\d{1,2})[月/](\d{1,2})日?"
-EXCERPT_CHARS, COMPONENT_CHARS = 500, 300
 
 FAMILIES = tuple(ZH_RULES)
 RULE_SCHEMA = "family string, ord int, pattern string"
@@ -118,7 +117,7 @@ def component_of(sentence: Column) -> Column:
     week = F.nullif(first_match(sentence, COMPONENT_WEEK, 1), F.lit(""))
     return F.struct(
         F.lit("sold_out").alias("status"),
-        F.substring(sentence, 1, COMPONENT_CHARS).alias("evidence"),
+        sentence.alias("evidence"),
         F.coalesce(F.concat(F.lpad(month.cast("string"), 2, "0"), F.lit("月")), week).alias("period"),
         F.nullif(F.trim(first_match(sentence, COMPONENT_NAME, 1)), F.lit("")).alias("component"),
     )
@@ -136,7 +135,7 @@ def quota_of(text: Column, pack: RulePack = ZH_PACK) -> Column:
     def verdict(status, excerpt: Column, complete: bool, components: Column = none) -> Column:
         return F.struct(
             F.lit(status).alias("status"),
-            F.substring(excerpt, 1, EXCERPT_CHARS).alias("excerpt"),
+            excerpt.alias("excerpt"),
             F.lit(complete).alias("complete"),
             components.alias("components"),
         )

@@ -77,12 +77,10 @@ def best_title(title: Column, heading: Column, text: Column) -> Column:
     )
     own = F.coalesce(head(cuts), title)
     line = head(F.filter(F.split(text, "\n"), lambda x: F.length(x).between(4, 120)))
-    return F.substring(
+    return (
         F.when(generic & F.length(heading).between(4, 180), heading)
         .when(F.length(own) < 4, F.coalesce(line, F.lit(UNKNOWN_TITLE)))
-        .otherwise(own),
-        1,
-        240,
+        .otherwise(own)
     )
 
 
@@ -104,7 +102,7 @@ def final_title(title: Column, hint: Column, text: Column) -> Column:
             ok = ok & ~line.startswith(prefix)
         return ok
 
-    lines = F.transform(F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, 50), strip_spaces)
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip_spaces)
     return (
         F.when(~generic, title)
         .when(F.length(hint).between(4, 180), hint)

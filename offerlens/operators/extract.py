@@ -244,7 +244,7 @@ def explode_cards(captures: DataFrame, spec: CardSpec, keep: list[str], source:
     rows = captures.select(*keep, F.posexplode(all_matches(F.col(source), spec.card)).alias("pos", "__c"))
     card = F.col("__c")
     date_text = (
-        F.array_join(F.transform(F.slice(all_matches(card, spec.date, 1), 1, 2), plain_fragment), spec.date_join)
+        F.array_join(F.transform(all_matches(card, spec.date, 1), plain_fragment), spec.date_join)
         if spec.date
         else F.lit("")
     )
@@ -341,12 +341,15 @@ def embedded_campaigns(captures: DataFrame, keep: list[str], label: str, as_of:
 NEWS_SCHEMA = "map<string,map<string,struct<title:string,date:string,content:string>>>"
 
 
-def explode_news(captures: DataFrame, keep: list[str], n: int, source: str = "text") -> DataFrame:
-    """A {category: {id: record}} map to announcement rows, newest ``n`` of each capture."""
-    by_cat = captures.select(*keep, F.posexplode(F.from_json(source, NEWS_SCHEMA)).alias("cat_pos", "category", "records"))
-    rows = by_cat.select(*keep, "cat_pos", "category", F.posexplode("records").alias("rec_pos", "record_id", "r"))
+def explode_news(captures: DataFrame, keep: list[str], n: int | None = None, source: str = "text") -> DataFrame:
+    """A {category: {id: record}} map to announcement rows with ``total_found``; with ``n`` the newest ones of each capture."""
+    parsed = captures.select(*keep, F.from_json(source, NEWS_SCHEMA).alias("__n"))
+    total = F.aggregate(F.map_values("__n"), F.lit(0), lambda acc, m: acc + F.size(m))
+    by_cat = parsed.select(*keep, total.alias("total_found"), F.posexplode("__n").alias("cat_pos", "category", "records"))
+    rows = by_cat.select(*keep, "total_found", "cat_pos", "category", F.posexplode("records").alias("rec_pos", "record_id", "r"))
     rows = rows.select(
         *keep,
+        "total_found",
         "cat_pos",
         "rec_pos",
         "category",
@@ -355,7 +358,7 @@ def explode_news(captures: DataFrame, keep: list[str], n: int, source: str = "te
         F.trim(F.coalesce("r.date", F.lit(""))).alias("date_text"),
         F.coalesce("r.content", F.lit("")).alias("content"),
     )
-    return limit_per_group(rows, keep, [F.col("date_text").desc(), F.col("cat_pos"), F.col("rec_pos")], n)
+    return rows if n is None else limit_per_group(rows, keep, [F.col("date_text").desc(), F.col("cat_pos"), F.col("rec_pos")], n)
 
 
 # ---------------------------------------------------------------- links
@@ -364,7 +367,7 @@ def explode_news(captures: DataFrame, keep: list[str], n: int, source: str = "te
 def discover_links(
     documents: DataFrame,
     source_patterns: dict[str, list[str]],
-    max_links: dict[str, int] | int,
+    max_links: dict[str, int] | int | None,
     source: str = "source_id",
     listing_url: str = "final_url",
     domains: list[str] | None = None,
@@ -372,7 +375,8 @@ def discover_links(
     """Links of a listing whose URL or anchor fits one of the listing's own patterns.
 
     A listing is one row, so filtering, de-duplication and the link limit work
-    on its array and nothing is shuffled. Patterns come from the registry (a
+    on its array and nothing is shuffled. A source without a limit keeps all
+    its links. Patterns come from the registry (a
     config file): each source's patterns are folded into one literal regex, so
     there is no theta join and every regex is compiled once per task.
     """
@@ -389,8 +393,11 @@ def discover_links(
             hit = hit & F.arrays_overlap(urls.host_suffixes(urls.url_host(link["url"])), known)
         return hit
 
-    limit = F.lit(max_links) if isinstance(max_links, int) else F.coalesce(
-        *[F.when(F.col(source) == n, F.lit(m)) for n, m in sorted(max_links.items())], F.lit(12)
+    per_source = max_links if isinstance(max_links, dict) else {}
+    limit = F.coalesce(
+        *[F.when(F.col(source) == n, F.lit(m)) for n, m in sorted(per_source.items())],
+        F.lit(max_links if isinstance(max_links, int) else None).cast("int"),
+        F.size("__all"),
     )
     hits = F.transform(
         F.filter("links", wanted),
@@ -399,12 +406,13 @@ def discover_links(
     staged = (
         documents.withColumn("__hits", hits)
         .withColumn("__self", F.array(urls.canonical_url(F.col(listing_url))))
-        .withColumn("__all", F.array_except(F.transform("__hits", lambda h: h["canonical_url"]), F.col("__self")))
+        .withColumn("__urls", F.transform("__hits", lambda h: h["canonical_url"]))
+        .withColumn("__all", F.array_except("__urls", "__self"))
         .withColumn(
             "__kept",
             F.transform(
                 F.slice("__all", F.lit(1), limit),
-                lambda c: F.get(F.filter("__hits", lambda h: h["canonical_url"] == c), 0),
+                lambda c: F.get("__hits", F.array_position("__urls", c).cast("int") - 1),
             ),
         )
     )
@@ -449,11 +457,19 @@ def overlay_metadata(documents: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- summaries
 
 
-def condition_summary(text: Column, words: tuple[str, ...] = CONDITION_WORDS, limit: int = 520, keep: int = 220) -> Column:
-    """First key sentences of a text, joined, up to ``limit`` characters. Row-local: a fold, not a window."""
-    wanted = F.filter(
-        sentence_list(F.coalesce(text, F.lit(""))), lambda s: s.rlike("|".join(words))
-    )
+def condition_sentences(text: Column, words: tuple[str, ...] = CONDITION_WORDS) -> Column:
+    """All key sentences of a text."""
+    return F.filter(sentence_list(F.coalesce(text, F.lit(""))), lambda s: s.rlike("|".join(words)))
+
+
+def condition_summary(text: Column, words: tuple[str, ...] = CONDITION_WORDS) -> Column:
+    """All key sentences, joined; what rewards, search and publishing read."""
+    return F.array_join(condition_sentences(text, words), " ")
+
+
+def condition_display(text: Column, words: tuple[str, ...] = CONDITION_WORDS, limit: int = 520, keep: int = 220) -> Column:
+    """For display only: first key sentences up to ``limit`` characters, each up to ``keep``. Row-local: a fold, not a window."""
+    wanted = condition_sentences(text, words)
     zero = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("total"))
     folded = F.aggregate(
         wanted,
@@ -468,8 +484,8 @@ def condition_summary(text: Column, words: tuple[str, ...] = CONDITION_WORDS, li
     return F.substring(F.array_join(folded["kept"], " "), 1, limit)
 
 
-def condition_sections(title: Column, summary: Column, entries: int = 5) -> Column:
-    """Labelled, de-duplicated sections of a summary as display strings."""
+def condition_sections(title: Column, summary: Column) -> Column:
+    """All labelled, de-duplicated sections of a summary; a display takes as many as it has room for."""
     text = squash(F.coalesce(summary, F.lit("")))
     marker = rf"(?iU)(?:^|\s)(?:{SECTION_NAMES}):\s*"
     bodies = F.transform(F.split(text, marker), lambda b: F.trim(b))
@@ -481,7 +497,7 @@ def condition_sections(title: Column, summary: Column, entries: int = 5) -> Colu
     )
     useful_leading = (leading != "") & (leading != title)
     start = F.struct(
-        F.when(useful_leading, F.array(F.substring(leading, 1, 500))).otherwise(F.array().cast("array<string>")).alias("out"),
+        F.when(useful_leading, F.array(leading)).otherwise(F.array().cast("array<string>")).alias("out"),
         F.when(useful_leading, F.array(leading)).otherwise(F.array().cast("array<string>")).alias("seen"),
     )
     label = lambda n: F.coalesce(*[F.when(n == k, F.lit(f"{v}：")) for k, v in SECTION_LABELS.items()], F.lit(""))
@@ -489,16 +505,16 @@ def condition_sections(title: Column, summary: Column, entries: int = 5) -> Colu
         parts,
         start,
         lambda acc, p: F.when(
-            (p["b"] == "") | (p["b"] == title) | F.array_contains(acc["seen"], p["b"]) | (F.size(acc["out"]) >= entries),
+            (p["b"] == "") | (p["b"] == title) | F.array_contains(acc["seen"], p["b"]),
             acc,
         ).otherwise(
             F.struct(
-                F.array_append(acc["out"], F.substring(F.concat(label(p["n"]), p["b"]), 1, 700)).alias("out"),
+                F.array_append(acc["out"], F.concat(label(p["n"]), p["b"])).alias("out"),
                 F.array_append(acc["seen"], p["b"]).alias("seen"),
             )
         ),
     )
-    whole = F.array(F.substring(text, 1, 1500))
+    whole = F.array(text)
     return (
         F.when(text == "", F.array().cast("array<string>"))
         .when(F.size(names) == 0, whole)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions import urls
 from offerlens.operators.coverage import mode_filter
 from offerlens.operators.keys import first_by
-from offerlens.session import cut_lineage
+from offerlens.session import staged
+
+
+# Fixed value: the name under which tasks beyond the crawl cap are reported.
+OVERFLOW_SOURCE = "全域擷取上限"
 
 
 def load_frontier(state: DataFrame) -> DataFrame:
@@ -22,7 +28,10 @@ def load_frontier(state: DataFrame) -> DataFrame:
 
 
 def plan_ranges(state: DataFrame, sources: DataFrame) -> DataFrame:
-    """Id range to probe per provider: from scratch, or a window behind and a buffer ahead of the frontier."""
+    """Id range to probe per provider: from scratch, or a window behind and a buffer ahead of the frontier.
+
+    ``ids_cut_off``: ids that ``maximum_probe_ids`` leaves for a later run.
+    """
     known = state.select(
         "provider_id",
         F.greatest("highest_valid_event_id", F.lit(0)).alias("previous_highest"),
@@ -50,7 +59,8 @@ def plan_ranges(state: DataFrame, sources: DataFrame) -> DataFrame:
     return (
         j.withColumn("scan_start", start)
         .withColumn("scan_end", F.least(end, F.col("scan_start") + F.col("most") - 1))
-        .select("provider_id", "previous_highest", "previous_frontier", "scan_start", "scan_end")
+        .withColumn("ids_cut_off", F.greatest(end - F.col("scan_end"), F.lit(0)))
+        .select("provider_id", "previous_highest", "previous_frontier", "scan_start", "scan_end", "ids_cut_off")
     )
 
 
@@ -166,55 +176,92 @@ def plan_rechecks(targets: DataFrame, providers: DataFrame, mode: str = "full")
     )
 
 
-PLAN_COLUMNS = ("provider_id", "role", "fetch_url", "external_id", "adapter", "tier", "seq")
+# What a task carries along for the operators that read its capture.
+TASK_FACTS = {
+    "source_name": "string",
+    "display_url": "string",
+    "external_id": "string",
+    "adapter": "string",
+    "title_hint": "string",
+    "link_patterns": "array<string>",
+    "max_links": "int",
+    "start_date": "string",
+    "end_date": "string",
+}
+PLAN_ORDER = ("tier", "provider_seq", "kind", "seq")
+PLAN_COLUMNS = ("provider_id", "role", "fetch_url", *TASK_FACTS, *PLAN_ORDER)
 
 
 def initial_tasks(
-    sources: DataFrame, seeds: DataFrame | None, rechecks: DataFrame | None, probes: DataFrame | None, mode: str
+    providers: DataFrame,
+    sources: DataFrame,
+    seeds: DataFrame | None,
+    rechecks: DataFrame | None,
+    probes: DataFrame | None,
+    mode: str,
+    scan_adapter: str = "fullpay_id_scan",
 ) -> DataFrame:
-    """Tasks by tier: sources and seeds, rechecks, probes last."""
-    def shaped(df: DataFrame, tier: int, **fixed: Column) -> DataFrame:
-        for name, value in fixed.items():
-            df = df.withColumn(name, value)
-        for name in ("external_id", "adapter"):
-            if name not in df.columns:
-                df = df.withColumn(name, F.lit(None).cast("string"))
-        return df.withColumn("tier", F.lit(tier)).select(*PLAN_COLUMNS)
-
-    plan = shaped(mode_filter(sources, mode), 0, fetch_url=F.col("url"))
+    """Tasks in crawl order: provider by provider its sources and then its seeds, then rechecks, probes last.
+
+    ``providers`` (provider_id, seq) gives the providers' order. In full mode a
+    source that scans ids is probed and has no task of its own.
+    """
+    places = providers.select("provider_id", F.col("seq").cast("bigint").alias("provider_seq"))
+
+    def shaped(df: DataFrame, tier: int, kind: int, **fixed: Column) -> DataFrame:
+        df = df.withColumns(fixed | {"tier": F.lit(tier), "kind": F.lit(kind)})
+        missing = {n: F.lit(None).cast(k) for n, k in TASK_FACTS.items() if n not in df.columns}
+        df = df.withColumns(missing).withColumn("display_url", F.coalesce("display_url", "fetch_url"))
+        if tier == 0:
+            df = df.drop("provider_seq").join(places, "provider_id", "left")
+        else:
+            df = df.withColumn("provider_seq", F.lit(0).cast("bigint"))
+        return df.select(*PLAN_COLUMNS)
+
+    used = mode_filter(sources, mode)
+    if mode == "full":
+        used = used.filter(F.coalesce("adapter", F.lit("")) != scan_adapter)
+    plan = shaped(used, 0, 0, fetch_url=F.col("url"), source_name=F.col("name"))
     if mode == "full" and seeds is not None:
-        plan = plan.unionByName(shaped(seeds, 1, fetch_url=F.coalesce("fetch_url", "url"), role=F.lit("activity_detail")))
+        named = seeds.withColumn("source_name", F.col("name") if "name" in seeds.columns else F.lit("seed"))
+        hint = F.col("title") if "title" in seeds.columns else F.lit(None).cast("string")
+        plan = plan.unionByName(
+            shaped(named, 0, 1, fetch_url=F.coalesce("fetch_url", "url"), display_url=F.col("url"), title_hint=hint, role=F.lit("activity_detail"))
+        )
     if rechecks is not None:
-        plan = plan.unionByName(shaped(rechecks, 2, role=F.lit("activity_detail")))
+        plan = plan.unionByName(shaped(rechecks, 2, 0, role=F.lit("activity_detail")))
     if mode == "full" and probes is not None:
-        plan = plan.unionByName(shaped(probes, 3, role=F.lit("activity_probe")))
+        plan = plan.unionByName(shaped(probes, 3, 0, role=F.lit("activity_probe")))
     return plan
 
 
 def distinct_tasks(plan: DataFrame) -> DataFrame:
-    """First task of each key in (tier, seq) order."""
+    """First task of each key in crawl order."""
     keyed = plan.withColumn("task_key", task_key(F.col("provider_id"), F.col("fetch_url"), F.col("external_id")))
-    return first_by(keyed, ["task_key"], [F.col("tier"), F.col("seq")])
+    return first_by(keyed, ["task_key"], [F.col(c) for c in PLAN_ORDER])
 
 
 def crawl_plan(plan: DataFrame, cap: int) -> DataFrame:
     """The first ``cap`` distinct tasks: a distributed top-k, no global window."""
-    return distinct_tasks(plan).orderBy("tier", "seq", "task_key").limit(cap)
+    return distinct_tasks(plan).orderBy(*PLAN_ORDER, "task_key").limit(cap)
 
 
-def pending_overflow(plan: DataFrame, cap: int) -> DataFrame:
-    """Distinct tasks beyond the cap, per provider, with the first of them.
+def pending_overflow(plan: DataFrame, cap: int, run_id: Column | str) -> DataFrame:
+    """Distinct tasks beyond the cap per provider, as gap rows of the run: ``coverage_gaps`` takes them as they are.
 
     The cut is the last planned task's sort key, a single value; everything
-    after it overflows. Nothing is ranked globally.
+    after it overflows. Nothing is ranked globally. ``url`` is the address a
+    reader would open for the first of them.
     """
-    tasks = distinct_tasks(plan).withColumn("__o", F.struct("tier", "seq", "task_key"))
+    tasks = distinct_tasks(plan).withColumn("__o", F.struct(*PLAN_ORDER, "task_key"))
     cut = tasks.orderBy("__o").limit(cap).agg(F.max("__o")).scalar()
     return (
         tasks.filter(F.col("__o") > cut)
         .groupBy("provider_id")
-        .agg(F.count(F.lit(1)).alias("discovered_count"), F.min_by("fetch_url", "__o").alias("url"))
+        .agg(F.count(F.lit(1)).alias("discovered_count"), F.min_by("display_url", "__o").alias("url"))
         .withColumn("issue", F.lit("crawl_reached_max_total_pages"))
+        .withColumn("source_name", F.lit(OVERFLOW_SOURCE))
+        .withColumn("run_id", F.lit(run_id) if isinstance(run_id, str) else run_id)
     )
 
 
@@ -223,24 +270,25 @@ def next_round(edges: DataFrame, seen: DataFrame, key: str = "canonical_url") ->
     return edges.select(key).distinct().join(seen.select(key), key, "left_anti")
 
 
-def expand(seeds: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
-    """Pages reachable from the seeds in at most ``rounds`` hops, with the hop they were first seen at.
+def expand(seeds: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Pages reachable from the seeds with the hop they were first seen at; with ``rounds`` only so many hops.
 
-    ``seeds`` has ``page``; ``edges`` has ``src, dst``. Each round is written to
-    the shared folder, so the plan stays short and a lost executor costs at most
-    one round. Stops early when a round finds nothing.
+    ``seeds`` has ``page``; ``edges`` has ``src, dst``. Each hop is one table in
+    the shared folder and is met again only as part of their union, so nothing
+    that grows is rewritten and a lost executor costs at most one hop. Without
+    ``rounds`` it ends when a hop finds nothing new.
     """
-    seen = cut_lineage(seeds.select("page").distinct().withColumn("hop", F.lit(0)))
-    frontier = seen.select("page")
-    for hop in range(1, rounds + 1):
+    hops = [staged(seeds.select("page").distinct().withColumn("hop", F.lit(0)), "hop")]
+    while rounds is None or len(hops) <= rounds:
+        seen = reduce(DataFrame.unionByName, hops).select("page")
         found = (
-            edges.join(frontier.withColumnRenamed("page", "src"), "src", "left_semi")
+            edges.join(hops[-1].select(F.col("page").alias("src")), "src", "left_semi")
             .select(F.col("dst").alias("page"))
             .distinct()
-            .join(seen.select("page"), "page", "left_anti")
+            .join(seen, "page", "left_anti")
         )
-        frontier = cut_lineage(found)
-        if frontier.isEmpty():
+        found = staged(found.withColumn("hop", F.lit(len(hops))), "hop")
+        if found.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(frontier.withColumn("hop", F.lit(hop))))
-    return seen
+        hops.append(found)
+    return reduce(DataFrame.unionByName, hops)

@@ -25,7 +25,6 @@ from offerlens.operators.extract import sequence_ratio
 
 RATIO = 0.78
 MIN_CORE = 3
-MONTH_CHARS = 1000
 _SEP = "\u0001"
 
 
@@ -39,9 +38,7 @@ def _strings() -> Column:
 
 def _title_fields(df: DataFrame, title: str, text: str) -> DataFrame:
     norm = titles.normal_title(F.col(title))
-    months = dates.mentioned_months(
-        F.concat(F.coalesce(F.col(title), F.lit("")), F.substring(F.coalesce(F.col(text), F.lit("")), 1, MONTH_CHARS))
-    )
+    months = dates.mentioned_months(F.concat(F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(text), F.lit(""))))
     usable = (norm != "") & ~norm.isin(*titles.GENERIC_MATCH_TITLES)
     return (
         df.withColumn("norm", F.when(usable, norm))

@@ -44,7 +44,7 @@ def accept_supplement(
         dated.withColumn("lifecycle", dates.lifecycle(F.col("start_date"), F.col("end_date"), as_of))
         .withColumn("quota_status", status)
         .withColumn("review_required", F.col("start_date").isNull() | F.col("end_date").isNull())
-        .withColumn("conditions_summary", F.substring(F.coalesce("conditions_summary", F.lit("")), 1, 1200))
+        .withColumn("conditions_summary", F.coalesce("conditions_summary", F.lit("")))
         .withColumn("date_confidence", F.lit("ai_official_source"))
         .filter("lifecycle <> 'ended'")
     )
@@ -72,7 +72,7 @@ def auto_highlights(acts: DataFrame, legacy_zero_last: bool = False) -> DataFram
         "expiring": (~sold & F.col("is_expiring_soon"), days("ends_in_days"), zero),
         "sold_out": (sold, zero, zero),
     }
-    summary = F.substring(F.coalesce(F.nullif("human_summary", F.lit("")), F.nullif("conditions_summary", F.lit("")), F.lit(NO_SUMMARY)), 1, 180)
+    summary = F.coalesce(F.nullif("human_summary", F.lit("")), F.nullif("conditions_summary", F.lit("")), F.lit(NO_SUMMARY))
     pick = F.struct("provider_name", "title", summary.alias("summary"), "url")
     offers = acts.filter(F.coalesce("url", F.lit("")) != "")
     best = offers.groupBy(F.col("url").alias("__url")).agg(
@@ -128,8 +128,8 @@ def curated_highlights(supplement: DataFrame, providers: DataFrame, domains: Dat
     return kept.orderBy("seq").limit(HIGHLIGHT_LIMIT).select(
         F.coalesce("kind", F.lit("ai_pick")).alias("kind"),
         "provider_name",
-        F.substring("title", 1, 240).alias("title"),
-        F.substring("summary", 1, 300).alias("summary"),
+        "title",
+        "summary",
         "url",
         "seq",
     )
@@ -149,7 +149,7 @@ def overlay_highlights(acts: DataFrame, highlights: DataFrame) -> DataFrame:
     """Marks featured offers by URL; the last highlight of a URL wins."""
     last = highlights.groupBy("url").agg(
         F.max_by("kind", "pos").alias("highlight_kind"),
-        F.substring(F.max_by("summary", "pos"), 1, 300).alias("editorial_summary"),
+        F.max_by("summary", "pos").alias("editorial_summary"),
     )
     return acts.join(last, "url", "left").withColumn("is_featured", F.col("highlight_kind").isNotNull())
 
@@ -189,15 +189,16 @@ def _member_order() -> list[Column]:
     ]
 
 
-def calendar_events(members: DataFrame, site_url: str = "") -> DataFrame:
+def calendar_events(members: DataFrame, site_url: str = "", listed_up_to: int = CALENDAR_LIMIT) -> DataFrame:
     """One event per (kind, day): count, summary and description.
 
-    A description lists its members only up to the calendar limit, so at most
-    26 rows per event are ever gathered; the count is a plain aggregate. A day
-    with a third of all offers is never collected.
+    ``listed_up_to`` is a choice of form: a description lists that many members,
+    above it states their number; ``calendar_members`` has every member of every
+    day as rows. So no more rows per event are gathered than a calendar entry
+    shows; the count is a plain aggregate.
     """
     counts = members.groupBy("kind", "day").agg(F.count(F.lit(1)).alias("offers"))
-    first = limit_per_group(members, ["kind", "day"], _member_order(), CALENDAR_LIMIT + 1)
+    first = limit_per_group(members, ["kind", "day"], _member_order(), listed_up_to + 1)
     p, t = (F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(d)) for c, d in (("provider_name", UNKNOWN_CAL_PROVIDER), ("title", UNKNOWN_CAL_TITLE)))
     link = F.trim(F.coalesce(F.nullif("url", F.lit("")), F.col("source_url"), F.lit("")))
     shown = (urls.url_scheme(link) == "https") & (urls.url_host(link) != "")
@@ -220,7 +221,7 @@ def calendar_events(members: DataFrame, site_url: str = "") -> DataFrame:
     return (
         counts.join(lists, ["kind", "day"])
         .withColumn("summary", F.concat(F.col("offers").cast("string"), F.lit(" 檔優惠今日"), noun))
-        .withColumn("description", F.when(F.col("offers") > CALENDAR_LIMIT, many).otherwise(listed))
+        .withColumn("description", F.when(F.col("offers") > listed_up_to, many).otherwise(listed))
         .drop("members")
     )
 

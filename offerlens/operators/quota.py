@@ -160,7 +160,7 @@ def build_evidence(activities: DataFrame) -> DataFrame:
     from_api = (notice != "") & F.col("quota_excerpt").contains(notice)
     item = lambda src, text, kind: F.struct(
         src.alias("source_url"),
-        F.substring(text, 1, q.EXCERPT_CHARS).alias("excerpt"),
+        text.alias("excerpt"),
         F.col("fetched_at").alias("observed_at"),
         kind.alias("kind"),
         F.col("content_hash").alias("content_hash"),

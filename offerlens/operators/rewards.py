@@ -125,7 +125,7 @@ def reward_stats(df: DataFrame, by: list[str]) -> DataFrame:
         F.count("max_reward_percent").alias("with_percent"),
         F.max("max_reward_percent").alias("max_percent"),
         F.round(F.avg("max_reward_percent"), 6).alias("avg_percent"),
-        F.percentile_approx("max_reward_percent", 0.5, 1000).alias("median_percent"),
+        F.round(F.median("max_reward_percent"), 6).alias("median_percent"),
         F.max("fixed_reward_amount").alias("max_fixed"),
         F.count_if("is_high_return").alias("high_return"),
     )

@@ -133,14 +133,17 @@ def merge_evidence(current: DataFrame, previous: DataFrame, carry: DataFrame) ->
     """Current evidence plus carried items it lacks, the latter in front and in reverse order.
 
     ``carry`` lists the keys allowed to keep evidence. Items are the same when
-    source and excerpt are. ``ord`` sorts the result; gaps are harmless.
+    source and whole excerpt are, compared by digest. ``ord`` sorts the result;
+    gaps are harmless.
     """
-    same = ["activity_id", "source_url", "excerpt"]
+    same = ["activity_id", "source_url", "__text"]
+    digest = F.sha2(F.col("excerpt"), 256)
     missing = (
         previous.join(carry.select("activity_id"), "activity_id", "left_semi")
-        .join(current.select(*same), same, "left_anti")
+        .withColumn("__text", digest)
+        .join(current.select("activity_id", "source_url", digest.alias("__text")), same, "left_anti")
     )
-    rest = [c for c in previous.columns if c not in (*same, "ord")]
+    rest = [c for c in previous.columns if c not in ("activity_id", "source_url", "ord")]
     unique = missing.groupBy(*same).agg(
         F.min("ord").alias("ord"), *[F.min_by(c, "ord").alias(c) for c in rest]
     )

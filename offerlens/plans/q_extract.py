@@ -38,7 +38,7 @@ def format_split(t: Tables):
 
 
 def documents(t: Tables):
-    return extract.resolve_titles(extract.extract_pages(t.spread("pages"), "page_id", "url", "html"))
+    return extract.resolve_titles(extract.extract_pages(t.pages, "page_id", "url", "html"))
 
 
 _PLAIN = r"trim(regexp_replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))"
@@ -387,14 +387,14 @@ def chunk_recovery(t: Tables):
 @query(
     "news_explode",
     """WITH r AS (SELECT o_orderkey // 20 AS page_id, CAST(o_orderkey AS VARCHAR) AS record_id, 'n' || o_orderkey AS title, strftime(o_orderdate, '%Y-%m-%d') AS date_text, o_orderkey,
-  row_number() OVER (PARTITION BY o_orderkey // 20 ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders)
-SELECT page_id, record_id, title, date_text FROM r WHERE rn <= 5""",
+  count(*) OVER (PARTITION BY o_orderkey // 20) AS total_found FROM orders)
+SELECT page_id, record_id, title, date_text, total_found FROM r""",
 )
 def news_explode(t: Tables):
     k = F.col("o_orderkey")
     item = text('"', k, '":', F.to_json(F.struct(text("n", k).alias("title"), day("o_orderdate").alias("date"), F.lit("<p>x</p>").alias("content"))))
     pages = order_pages(t, item, ",").select("page_id", text('{"all":{', F.col("items"), "}}").alias("text"))
-    return extract.explode_news(pages, ["page_id"], 5).select("page_id", "record_id", "title", "date_text")
+    return extract.explode_news(pages, ["page_id"]).select("page_id", "record_id", "title", "date_text", F.col("total_found").cast("bigint").alias("total_found"))
 
 
 @query(
@@ -460,13 +460,16 @@ WORDS = ("tion", "ment", "ung", "ado")
 
 @query(
     "condition_summary",
-    f"""WITH {SENTENCES_SQL}, k AS (SELECT doc_id, pos, substr(sentence, 1, 220) AS s FROM sents WHERE regexp_matches(sentence, '{"|".join(WORDS)}')),
+    f"""WITH {SENTENCES_SQL}, w AS (SELECT doc_id, pos, sentence FROM sents WHERE regexp_matches(sentence, '{"|".join(WORDS)}')),
+whole AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS summary FROM w GROUP BY doc_id),
+k AS (SELECT doc_id, pos, substr(sentence, 1, 220) AS s FROM w),
 c AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k),
-j AS (SELECT doc_id, substr(string_agg(s, ' ' ORDER BY pos), 1, 520) AS summary FROM c WHERE before < 520 GROUP BY doc_id)
-SELECT doc_id, coalesce(summary, '') AS summary FROM documents LEFT JOIN j USING (doc_id)""",
+j AS (SELECT doc_id, substr(string_agg(s, ' ' ORDER BY pos), 1, 520) AS display FROM c WHERE before < 520 GROUP BY doc_id)
+SELECT doc_id, coalesce(summary, '') AS summary, coalesce(display, '') AS display FROM documents LEFT JOIN whole USING (doc_id) LEFT JOIN j USING (doc_id)""",
 )
 def condition_summary(t: Tables):
-    return t.spread("documents").select("doc_id", extract.condition_summary(F.col("text"), WORDS).alias("summary"))
+    c = F.col("text")
+    return t.documents.select("doc_id", extract.condition_summary(c, WORDS).alias("summary"), extract.condition_display(c, WORDS).alias("display"))
 
 
 @query(

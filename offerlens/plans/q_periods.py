@@ -34,7 +34,7 @@ def pages(t: Tables):
         .when(m == 6, text("全文 ", day(s, "yyyy-MM-dd"), "到", day(e, "yyyy-MM-dd"), " 皆可"))
         .otherwise(text("沒有日期 ", k))
     )
-    return t.spread("orders").select("o_orderkey", "o_orderdate", body.alias("text"))
+    return t.orders.select("o_orderkey", "o_orderdate", body.alias("text"))
 
 
 PERIOD_SQL = f"""per AS (SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 7 THEN NULL ELSE {S} END AS start_date,
@@ -58,10 +58,10 @@ def period_windows(t: Tables):
 
 @query(
     "period_windows_docs",
-    """SELECT doc_id, length(substr(regexp_replace(text, '[\\t\\r]+', ' ', 'g'), 1, 20000)) AS low_chars FROM documents""",
+    """SELECT doc_id, length(regexp_replace(text, '[\\t\\r]+', ' ', 'g')) AS low_chars FROM documents""",
 )
 def period_windows_docs(t: Tables):
-    w = periods.period_windows(t.spread("documents"), "doc_id", "text").filter("confidence = 'low'")
+    w = periods.period_windows(t.documents, "doc_id", "text").filter("confidence = 'low'")
     return w.select("doc_id", F.length("window").cast("bigint").alias("low_chars"))
 
 

@@ -142,10 +142,10 @@ def calendar_events(t: Tables):
 
 @query(
     "activities_per_provider",
-    f"WITH {OFFERS_SQL}, c AS (SELECT provider_id, count(*) AS n FROM offers WHERE review_required GROUP BY 1) SELECT 'p' || n_nationkey AS provider_id, n_name AS name, coalesce(n, 0) AS activity_count FROM nation LEFT JOIN c ON c.provider_id = 'p' || n_nationkey",
+    f"WITH {OFFERS_SQL}, c AS (SELECT provider_id, count(*) AS n FROM offers GROUP BY 1) SELECT 'p' || n_nationkey AS provider_id, n_name AS name, coalesce(n, 0) AS activity_count FROM nation LEFT JOIN c ON c.provider_id = 'p' || n_nationkey",
 )
 def activities_per_provider(t: Tables):
-    return publish.activities_per_provider(offers(t).filter("review_required"), registry(t)[0]).select("provider_id", "name", "activity_count")
+    return publish.activities_per_provider(offers(t), registry(t)[0]).select("provider_id", "name", "activity_count")
 
 
 @query(

@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from offerlens.functions.urls import canonical_url
-from offerlens.operators import extract, frontier, state
-from offerlens.plans.base import LIVE_SQL, OFFERS_SQL, AS_OF, REGISTRY_SQL, Tables, day, offers, query, registry, text
+from offerlens.operators import coverage, extract, frontier, state
+from offerlens.plans.base import LIVE_SQL, OFFERS_SQL, AS_OF, REGISTRY_SQL, Tables, attempts, day, offers, query, registry, text
+from offerlens.plans.q_coverage import GAPS_SQL
 from offerlens.plans.q_extract import LINKS_SQL
 from offerlens.plans.q_urls import canonical_sql
 from offerlens.operators.periods import with_lifecycle
@@ -170,7 +171,7 @@ FRONTIER_SQL = """k AS (SELECT CAST(n_nationkey AS BIGINT) AS n, CASE WHEN n_nat
   CASE WHEN n_nationkey % 5 <> 4 THEN CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey + 10 ELSE n_nationkey + 12 END END AS fr FROM nation),
 st AS (SELECT n, coalesce(hi, 0) AS previous_highest, coalesce(fr, 0) AS previous_frontier, CASE WHEN fr > 0 THEN greatest(n % 7 + 1, fr - 6 + 1) ELSE n % 7 + 1 END AS scan_start,
   CASE WHEN fr > 0 THEN fr + 3 ELSE greatest(9, n % 7 + 1) END AS e0, CASE WHEN n % 2 = 0 THEN 5 ELSE 220 END AS most FROM k),
-ranges AS (SELECT 'p' || n AS provider_id, previous_highest, previous_frontier, scan_start, least(e0, scan_start + most - 1) AS scan_end FROM st),
+ranges AS (SELECT 'p' || n AS provider_id, previous_highest, previous_frontier, scan_start, least(e0, scan_start + most - 1) AS scan_end, greatest(e0 - least(e0, scan_start + most - 1), 0) AS ids_cut_off FROM st),
 oc AS (SELECT 'p' || (user_id % 25) AS provider_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS event_id,
   max_by(CASE event_type WHEN 'error' THEN 'failure' WHEN 'click' THEN 'not_found' ELSE 'valid' END, events.event_id) AS outcome FROM events GROUP BY 1, 2),
 ins AS (SELECT oc.* FROM oc JOIN ranges USING (provider_id) WHERE event_id BETWEEN scan_start AND scan_end),
@@ -226,7 +227,11 @@ CAP = 650
 
 
 def _plan(t: Tables):
-    _, _, sources = registry(t)
+    """Registry with one id-scan source, seeds of five providers, rechecks and probes."""
+    providers, _, sources = registry(t)
+    providers = providers.withColumn("seq", F.substring("provider_id", 2, 9).cast("bigint"))
+    scan = (F.col("provider_id") == "p1") & (F.col("name") == "s1")
+    sources = sources.withColumn("adapter", F.when(scan, "fullpay_id_scan").otherwise(F.col("adapter")))
     r = F.col("r_regionkey")
     seeds = t.region.select(
         text("p", r).alias("provider_id"), text("https://shop", r, ".example.com/list/0?utm_source=seed").alias("url"), F.lit(None).cast("string").alias("fetch_url"), r.cast("bigint").alias("seq")
@@ -239,17 +244,18 @@ def _plan(t: Tables):
     probes = frontier.plan_probe(_frontier(t)).select(
         "provider_id", F.lit("https://probe.example.com/").alias("fetch_url"), F.col("event_id").cast("string").alias("external_id"), F.col("event_id").alias("seq")
     )
-    return frontier.initial_tasks(sources, seeds, rechecks, probes, "full")
+    return frontier.initial_tasks(providers, sources, seeds, rechecks, probes, "full")
 
 
 PLAN_SQL = f"""{LIVE_SQL}, {REGISTRY_SQL}, {FRONTIER_SQL},
-plan AS (SELECT provider_id, url AS fetch_url, NULL AS external_id, 0 AS tier, CAST(seq AS BIGINT) AS seq FROM sources
-  UNION ALL SELECT 'p' || r_regionkey, 'https://shop' || r_regionkey || '.example.com/list/0?utm_source=seed', NULL, 1, r_regionkey FROM region
-  UNION ALL SELECT provider_id, 'https://shop.example.com/offer', CAST(seq // 2 AS VARCHAR), 2, seq FROM sectioned WHERE lifecycle <> 'ended'
-  UNION ALL SELECT provider_id, 'https://probe.example.com/', CAST(e AS VARCHAR), 3, e FROM (SELECT provider_id, unnest(range(CAST(scan_start AS BIGINT), CAST(scan_end + 1 AS BIGINT))) AS e FROM ranges)),
+plan AS (SELECT provider_id, url AS fetch_url, NULL AS external_id, 0 AS tier, CAST(substr(provider_id, 2) AS BIGINT) AS ps, 0 AS kind, CAST(seq AS BIGINT) AS seq FROM sources
+    WHERE NOT (provider_id = 'p1' AND name = 's1')
+  UNION ALL SELECT 'p' || r_regionkey, 'https://shop' || r_regionkey || '.example.com/list/0?utm_source=seed', NULL, 0, r_regionkey, 1, r_regionkey FROM region
+  UNION ALL SELECT provider_id, 'https://shop.example.com/offer', CAST(seq // 2 AS VARCHAR), 2, 0, 0, seq FROM sectioned WHERE lifecycle <> 'ended'
+  UNION ALL SELECT provider_id, 'https://probe.example.com/', CAST(e AS VARCHAR), 3, 0, 0, e FROM (SELECT provider_id, unnest(range(CAST(scan_start AS BIGINT), CAST(scan_end + 1 AS BIGINT))) AS e FROM ranges)),
 keyed AS (SELECT *, provider_id || chr(0) || ({canonical_sql('fetch_url')}) || coalesce('#external_id=' || external_id, '') AS task_key FROM plan),
-uniq AS (SELECT *, row_number() OVER (PARTITION BY task_key ORDER BY tier, seq) AS rn FROM keyed),
-ranked AS (SELECT *, row_number() OVER (ORDER BY tier, seq, task_key) AS pos FROM uniq WHERE rn = 1)"""
+uniq AS (SELECT *, row_number() OVER (PARTITION BY task_key ORDER BY tier, ps, kind, seq) AS rn FROM keyed),
+ranked AS (SELECT *, row_number() OVER (ORDER BY tier, ps, kind, seq, task_key) AS pos FROM uniq WHERE rn = 1)"""
 
 
 @query("crawl_plan", f"WITH {PLAN_SQL} SELECT provider_id, fetch_url, external_id, tier, seq FROM ranked WHERE pos <= {CAP}")
@@ -259,10 +265,24 @@ def crawl_plan(t: Tables):
 
 @query(
     "pending_overflow",
-    f"WITH {PLAN_SQL} SELECT provider_id, count(*) AS discovered_count, min_by(fetch_url, pos) AS url, 'crawl_reached_max_total_pages' AS issue FROM ranked WHERE pos > {CAP} GROUP BY provider_id",
+    f"WITH {PLAN_SQL} SELECT 'r1' AS run_id, provider_id, '全域擷取上限' AS source_name, count(*) AS discovered_count, min_by(fetch_url, pos) AS url, 'crawl_reached_max_total_pages' AS issue FROM ranked WHERE pos > {CAP} GROUP BY provider_id",
 )
 def pending_overflow(t: Tables):
-    return frontier.pending_overflow(_plan(t), CAP)
+    return frontier.pending_overflow(_plan(t), CAP, "r1")
+
+
+@query(
+    "coverage_gaps_overflow",
+    f"""SELECT run_id, provider_id, source_name, url, issue, CAST(discovered_count AS BIGINT) AS discovered_count FROM (WITH {GAPS_SQL} SELECT * FROM gaps)
+UNION ALL SELECT (SELECT max(strftime(ts, '%Y-%m-%d')) FROM events), provider_id, '全域擷取上限', url, 'crawl_reached_max_total_pages', n FROM
+  (WITH {PLAN_SQL} SELECT provider_id, count(*) AS n, min_by(fetch_url, pos) AS url FROM ranked WHERE pos > {CAP} GROUP BY provider_id)""",
+)
+def coverage_gaps_overflow(t: Tables):
+    """Gaps of all runs with the last run's tasks beyond the crawl cap."""
+    a = attempts(t)
+    providers, _, sources = registry(t)
+    pending = frontier.pending_overflow(_plan(t), CAP, a.agg(F.max("run_id")).scalar())
+    return coverage.coverage_gaps(a, providers, sources, a.select("run_id").distinct(), pending)
 
 
 @query(
@@ -293,13 +313,12 @@ def next_round(t: Tables):
 
 @query(
     "link_expansion",
-    """WITH e AS (SELECT DISTINCT o_custkey AS src, o_orderkey // 10 AS dst FROM orders), s AS (SELECT c_custkey AS page FROM customer WHERE c_nationkey = 0),
-h1 AS (SELECT DISTINCT dst AS page FROM e WHERE src IN (SELECT page FROM s) AND dst NOT IN (SELECT page FROM s)),
-s1 AS (SELECT page FROM s UNION SELECT page FROM h1),
-h2 AS (SELECT DISTINCT dst AS page FROM e WHERE src IN (SELECT page FROM h1) AND dst NOT IN (SELECT page FROM s1))
-SELECT page, 0 AS hop FROM s UNION ALL SELECT page, 1 FROM h1 UNION ALL SELECT page, 2 FROM h2""",
+    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, o_orderkey // 10 AS dst FROM orders),
+r AS (SELECT c_custkey AS page, 0 AS hop FROM customer WHERE c_acctbal < 0
+  UNION SELECT e.dst, hop + 1 FROM r JOIN e ON e.src = r.page WHERE hop < 40)
+SELECT page, min(hop) AS hop FROM r GROUP BY page""",
 )
 def link_expansion(t: Tables):
     edges = t.orders.select(F.col("o_custkey").alias("src"), F.floor(F.col("o_orderkey") / 10).alias("dst"))
-    seeds = t.customer.filter("c_nationkey = 0").select(F.col("c_custkey").alias("page"))
-    return frontier.expand(seeds, edges, 2)
+    seeds = t.customer.filter("c_acctbal < 0").select(F.col("c_custkey").alias("page"))
+    return frontier.expand(seeds, edges)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,13 +39,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir``. Only a local session without it gets a
-    temporary folder; on a cluster a missing setting is an error, because a
-    machine-local folder is lost with its machine.
+    Read from ``spark.checkpoint.dir``. Only a session whose executors are the
+    driver itself (tests) gets a temporary folder when it is unset; on a cluster
+    that is an error, because a machine-local folder is lost with its machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = _local_dir()
     if spark.sparkContext.getCheckpointDir() is None:
@@ -83,15 +84,3 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Scan output over all cores when the files give fewer splits than there are cores.
-
-    Only for stages dominated by per-row text work over a handful of small
-    files. A large table has more splits than cores and is left untouched, so
-    no shuffle is added at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)

@@ -40,7 +40,7 @@ def read_registry(spark: SparkSession, path: str) -> Registry:
     return Registry(
         providers,
         domains,
-        sources.select("provider_id", seq, "s.*").withColumn("max_links", F.coalesce("max_links", F.lit(12))),
+        sources.select("provider_id", seq, "s.*"),
         seeds.select("provider_id", seq, "s.*"),
     )
 

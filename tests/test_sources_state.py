@@ -31,7 +31,7 @@ def test_registry_tables(spark, tmp_path):
     path.write_text(json.dumps(CONFIG))
     reg = registry.read_registry(spark, str(path))
     assert [r.provider_id for r in reg.providers.orderBy("seq").collect()] == ["a", "b"]
-    assert [(r.name, r.max_links) for r in reg.sources.orderBy("seq").collect()] == [("list", 3), ("news", 12)]
+    assert [(r.name, r.max_links) for r in reg.sources.orderBy("seq").collect()] == [("list", 3), ("news", None)]
     assert reg.domains.count() == reg.seeds.count() == 1
     path.write_text(json.dumps({**CONFIG, "schema_version": 2}))
     with pytest.raises(ValueError):
