@@ -30,7 +30,7 @@ BLOCK = 512
 #: The score is the posterior that a piece of text of so many bytes gives, all languages being equally likely before.
 VOTE_BYTES = 8
 #: A text of at least so many bytes at a higher price is in none of the languages.
-REJECT_BYTES, REJECT_BITS = 100, 5.0
+REJECT_BYTES, REJECT_BITS = 100, 6.0
 
 _LETTER = re.compile(r"[^\W\d_]")
 _BLANK = 32
@@ -212,7 +212,7 @@ def learnable(docs: DataFrame) -> DataFrame:
 def rejected() -> Column:
     """Over the columns of ``predict``: no language, or a text long enough to judge that no learned language explains.
 
-    Text in the sample's languages costs two to four bits a byte, in none of them over five.
+    Text in a sampled language costs two to four bits a byte, one that mixes several of them up to five and a half, random letters seven and more.
     """
     return (F.col("lang_pred") == UNKNOWN) | ((F.col("n_bytes") >= REJECT_BYTES) & (F.col("bits") > REJECT_BITS))
 
