@@ -39,17 +39,29 @@ def _strings() -> Column:
 def _title_fields(df: DataFrame, title: str, text: str) -> DataFrame:
     norm = titles.normal_title(F.col(title))
     months = dates.mentioned_months(F.concat(F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(text), F.lit(""))))
+    mask = F.aggregate(months, F.lit(0), lambda acc, m: acc.bitwiseOR(F.pow(F.lit(2), m - 1).cast("int")))
     usable = (norm != "") & ~norm.isin(*titles.GENERIC_MATCH_TITLES)
     return (
         df.withColumn("norm", F.when(usable, norm))
         .withColumn("core", F.when(usable, titles.core_title(F.col(title))))
-        .withColumn("months", F.when(usable, F.array_join(months, ",")))
+        .withColumn("months", F.when(usable, mask))
     )
 
 
-def _variant(provider: Column) -> Column:
-    """Everything a title match depends on; at most 4096 month sets per title."""
-    return F.when(F.col("norm").isNotNull(), _key("title", provider, F.col("norm"), F.col("core"), F.col("months")))
+def _title_keys(provider: Column) -> Column:
+    """A title is looked up by its normal form and by its core, each with its months as a 12-bit mask.
+
+    All titles of one core and mask are one key, however many numbers or dates
+    tell them apart, so a campaign name that a third of the offers share is at
+    most 4096 keys.
+    """
+    mask = F.col("months").cast("string")
+    by_core = F.when(F.length("core") >= MIN_CORE, _key("core", provider, F.col("core"), mask))
+    return F.array_compact(F.array(_when_titled(_key("norm", provider, F.col("norm"), mask)), _when_titled(by_core)))
+
+
+def _when_titled(value: Column) -> Column:
+    return F.when(F.col("norm").isNotNull(), value)
 
 
 def keyed_activities(acts: DataFrame) -> DataFrame:
@@ -62,7 +74,7 @@ def keyed_activities(acts: DataFrame) -> DataFrame:
     return (
         _title_fields(acts, "title", "text")
         .withColumn("canonical_url", canon)
-        .withColumn("variant", _variant(p))
+        .withColumn("title_keys", _title_keys(p))
         .withColumn("keys", F.concat(ids, F.array(_key("url", p, F.col("canonical_url")))))
     )
 
@@ -80,7 +92,7 @@ def keyed_announcements(anns: DataFrame) -> DataFrame:
     return (
         _title_fields(anns, "title", "text")
         .withColumn("canonical_url", urls.canonical_url(F.col("url")))
-        .withColumn("variant", F.when(sold, _variant(p)))
+        .withColumn("title_keys", F.when(sold, _title_keys(p)).otherwise(_strings()))
         .withColumn("keys", F.when(sold, F.array_distinct(F.concat(ids, named))).otherwise(_strings()))
     )
 
@@ -187,32 +199,33 @@ def contained_cores(left: DataFrame, right: DataFrame, min_core: int = MIN_CORE)
     return a_in_n.select(*cols).unionByName(n_in_a.select(*cols))
 
 
-def _variants(keyed: DataFrame, side: str) -> DataFrame:
-    return (
-        keyed.filter(F.col("variant").isNotNull())
-        .select("provider_id", "norm", "core", "months", "variant")
-        .distinct()
-        .withColumnsRenamed({c: f"{side}_{c}" for c in ("norm", "core", "months", "variant")})
-    )
+def _keyed_titles(keyed: DataFrame, kind: str, side: str) -> DataFrame:
+    """Distinct (provider_id, value, months, key) of one title form; ``kind`` is norm or core."""
+    rows = keyed.select("provider_id", kind, "months", F.explode("title_keys").alias("key"))
+    rows = rows.filter(F.col("key").startswith(kind + _SEP)).distinct()
+    return rows.withColumnsRenamed({c: f"{side}_{c}" for c in (kind, "months", "key")})
 
 
 def title_links(acts: DataFrame, anns: DataFrame, ratio: float = RATIO) -> DataFrame:
-    """(a_variant, n_variant, score) for titles that match and whose months do not conflict."""
-    va, vn = _variants(acts, "a"), _variants(anns, "n")
-    ka = va.select("provider_id", F.col("a_norm").alias("norm"), F.col("a_core").alias("core"))
-    kn = vn.select("provider_id", F.col("n_norm").alias("norm"), F.col("n_core").alias("core"))
-    by_ratio = (
-        similar_titles(ka, kn, ratio).join(va, ["provider_id", "a_norm"]).join(vn, ["provider_id", "n_norm"])
-    )
-    by_core = contained_cores(ka, kn).join(va, ["provider_id", "a_core"]).join(vn, ["provider_id", "n_core"])
-    cols = ["a_variant", "n_variant", "a_months", "n_months", "score"]
-    both = by_ratio.select(*cols).unionByName(by_core.withColumn("score", F.lit(None).cast("double")).select(*cols))
-    conflict = (
-        (F.col("a_months") != "")
-        & (F.col("n_months") != "")
-        & ~F.arrays_overlap(F.split("a_months", ","), F.split("n_months", ","))
+    """(a_key, n_key, score): title keys that match and whose months do not conflict; score is NULL for cores.
+
+    Norms meet by ratio, cores by containment. Rows are pairs of keys, never of
+    offers or announcements.
+    """
+    an, nn = _keyed_titles(acts, "norm", "a"), _keyed_titles(anns, "norm", "n")
+    ac, nc = _keyed_titles(acts, "core", "a"), _keyed_titles(anns, "core", "n")
+    by_ratio = similar_titles(
+        an.select("provider_id", F.col("a_norm").alias("norm")), nn.select("provider_id", F.col("n_norm").alias("norm")), ratio
     )
-    return both.filter(~conflict).groupBy("a_variant", "n_variant").agg(F.max("score").alias("score"))
+    by_core = contained_cores(
+        ac.select("provider_id", F.col("a_core").alias("core")), nc.select("provider_id", F.col("n_core").alias("core"))
+    ).withColumn("score", F.lit(None).cast("double"))
+    by_ratio = by_ratio.join(an, ["provider_id", "a_norm"]).join(nn, ["provider_id", "n_norm"])
+    by_core = by_core.join(ac, ["provider_id", "a_core"]).join(nc, ["provider_id", "n_core"])
+    cols = ["a_key", "n_key", "a_months", "n_months", "score"]
+    both = by_ratio.select(*cols).unionByName(by_core.select(*cols))
+    a, n = F.col("a_months"), F.col("n_months")
+    return both.filter((a == 0) | (n == 0) | (a.bitwiseAND(n) != 0)).select("a_key", "n_key", "score")
 
 
 # ---------------------------------------------------------------- applying matches
@@ -245,12 +258,9 @@ def key_summaries(anns: DataFrame, links: DataFrame | None) -> DataFrame:
     direct = anns.select(F.explode("keys").alias("key"), "canonical_url", "quota_status")
     parts = direct.groupBy("key").agg(*_summary_columns())
     if links is not None:
-        by_variant = anns.filter(F.col("variant").isNotNull()).groupBy(F.col("variant").alias("n_variant")).agg(
-            *_summary_columns()
-        )
-        by_title = (
-            links.join(by_variant, "n_variant").groupBy(F.col("a_variant").alias("key")).agg(*_merge_columns())
-        )
+        titled = anns.select(F.explode("title_keys").alias("n_key"), "canonical_url", "quota_status")
+        per_key = titled.groupBy("n_key").agg(*_summary_columns())
+        by_title = links.join(per_key, "n_key").groupBy(F.col("a_key").alias("key")).agg(*_merge_columns())
         parts = parts.unionByName(by_title)
     return parts
 
@@ -258,11 +268,13 @@ def key_summaries(anns: DataFrame, links: DataFrame | None) -> DataFrame:
 def apply_matches(acts: DataFrame, anns: DataFrame, with_titles: bool = True) -> DataFrame:
     """Offers with the status their announcements give them: sold out wins, partial never downgrades it.
 
-    Takes the outputs of ``keyed_activities`` and ``keyed_announcements``.
+    Takes the outputs of ``keyed_activities`` and ``keyed_announcements``. A
+    matched offer's quota evidence is complete; its evidence rows and components
+    come from ``evidence_of`` and ``components_of`` over the same links.
     """
     links = title_links(acts, anns) if with_titles else None
     summary = key_summaries(anns, links)
-    keys = F.concat("keys", F.when(F.col("variant").isNotNull(), F.array("variant")).otherwise(_strings())) if with_titles else F.col("keys")
+    keys = F.concat("keys", "title_keys") if with_titles else F.col("keys")
     looked = (
         acts.select("activity_id", "canonical_url", F.explode(keys).alias("key"))
         .join(summary, "key")
@@ -275,6 +287,7 @@ def apply_matches(acts: DataFrame, anns: DataFrame, with_titles: bool = True) ->
     flags = looked.select("activity_id", other("sold").alias("__sold"), other("part").alias("__part"))
     sold, part = (F.coalesce(F.col(c), F.lit(False)) for c in ("__sold", "__part"))
     joined = acts.join(flags, "activity_id", "left")
+    complete = F.coalesce("quota_evidence_complete", F.lit(False)) if "quota_evidence_complete" in acts.columns else F.lit(False)
     return (
         joined.withColumn("matched", sold | part)
         .withColumn(
@@ -283,6 +296,7 @@ def apply_matches(acts: DataFrame, anns: DataFrame, with_titles: bool = True) ->
             .when(part, "partial_sold_out")
             .otherwise(F.col("quota_status")),
         )
+        .withColumn("quota_evidence_complete", sold | part | complete)
         .drop("__sold", "__part")
     )
 
@@ -294,38 +308,55 @@ def activity_links(acts: DataFrame, links: DataFrame | None = None) -> DataFrame
     )
     if links is None:
         return direct
-    by_title = acts.join(links, acts["variant"] == links["a_variant"]).select(
-        "activity_id",
-        F.col("n_variant").alias("key"),
-        F.lit("normalized_title_period").alias("method"),
-        "score",
+    by_title = (
+        acts.select("activity_id", F.explode("title_keys").alias("a_key"))
+        .join(links, "a_key")
+        .select("activity_id", F.col("n_key").alias("key"), F.lit("normalized_title_period").alias("method"), "score")
     )
     return direct.unionByName(by_title)
 
 
 def announcement_links(anns: DataFrame) -> DataFrame:
-    """Announcement side of the evidence: (key, announcement_id, excerpt ...)."""
-    keys = F.concat("keys", F.when(F.col("variant").isNotNull(), F.array("variant")).otherwise(_strings()))
+    """Announcement side of the evidence: (key, announcement_id, excerpt, components ...)."""
+    facts = [c for c in ("norm", "quota_components", "fetched_at", "content_hash") if c in anns.columns]
     return anns.select(
-        F.explode(keys).alias("key"), "announcement_id", "canonical_url", "quota_status", "quota_excerpt"
+        F.explode(F.concat("keys", "title_keys")).alias("key"), "announcement_id", "canonical_url", "quota_status", "quota_excerpt", *facts
     )
 
 
-def evidence_of(activity_ids: DataFrame, links: DataFrame, notices: DataFrame, own_url: str = "canonical_url") -> DataFrame:
-    """Written-out evidence of chosen offers, strongest method per pair."""
-    pairs = (
-        activity_ids.join(links, "activity_id")
-        .withColumnRenamed(own_url, "__own")
-        .join(notices, "key")
-        .filter(F.col("canonical_url") != F.col("__own"))
-    )
+def _written_pairs(activity_ids: DataFrame, links: DataFrame, notices: DataFrame) -> DataFrame:
+    mine = activity_ids.withColumnsRenamed({"canonical_url": "__own", "norm": "__norm"})
+    return mine.join(links, "activity_id").join(notices, "key").filter(F.col("canonical_url") != F.col("__own"))
+
+
+def evidence_of(activity_ids: DataFrame, links: DataFrame, notices: DataFrame) -> DataFrame:
+    """Written-out evidence of chosen offers (activity_id, canonical_url, norm): one row per announcement, strongest method.
+
+    A match by core carries the ratio of the two titles, like any title match.
+    ``kind`` names method and score.
+    """
+    pairs = _written_pairs(activity_ids, links, notices)
     best = F.struct(F.col("method") == "event_id_or_url", F.coalesce("score", F.lit(0.0)))
-    return pairs.groupBy("activity_id", "announcement_id").agg(
+    extra = [c for c in ("fetched_at", "content_hash") if c in notices.columns]
+    found = pairs.groupBy("activity_id", "announcement_id").agg(
         F.max_by("method", best).alias("method"),
         F.max_by("score", best).alias("score"),
-        F.first("quota_status").alias("quota_status"),
-        F.first("quota_excerpt").alias("excerpt"),
+        F.min("__norm").alias("__a"),
+        F.min("norm").alias("__n"),
+        F.min("canonical_url").alias("source_url"),
+        F.min("quota_status").alias("quota_status"),
+        F.min("quota_excerpt").alias("excerpt"),
+        *[F.min(c).alias(c) for c in extra],
     )
+    scored = found.filter("score IS NOT NULL").unionByName(found.filter("score IS NULL").withColumn("score", sequence_ratio("__a", "__n")))
+    kind = F.concat_ws(":", F.lit("latest_announcement"), "method", F.format_string("%.2f", "score"))
+    return scored.withColumn("kind", kind).drop("__a", "__n")
+
+
+def components_of(activity_ids: DataFrame, links: DataFrame, notices: DataFrame) -> DataFrame:
+    """Sold-out parts that announcements add to chosen offers, as distinct rows (activity_id, status, period, component, evidence)."""
+    rows = _written_pairs(activity_ids, links, notices).select("activity_id", F.explode("quota_components").alias("c"))
+    return rows.select("activity_id", "c.status", "c.period", "c.component", "c.evidence").distinct()
 
 
 def required_overlap(length: int, ratio: float = RATIO) -> int:

@@ -21,7 +21,7 @@ def linked_offers(t: Tables):
         F.when(F.col("o_orderstatus") == "P", "no id").otherwise(text("EventId=E", k)).alias("text"),
         offer_status().alias("quota_status"),
     )
-    slim = linkage.keyed_activities(df).select("activity_id", "canonical_url", "quota_status", "keys", "variant")
+    slim = linkage.keyed_activities(df).select("activity_id", "canonical_url", "quota_status", "norm", "keys", "title_keys")
     return staged(slim, "offers")
 
 
@@ -39,7 +39,7 @@ def notices(t: Tables):
         F.concat(verdict, named).alias("text"),
     )
     slim = linkage.keyed_announcements(quota.assess(df, "text")).select(
-        "announcement_id", "canonical_url", "quota_status", "quota_excerpt", "keys", "variant"
+        "announcement_id", "canonical_url", "quota_status", "quota_excerpt", "quota_components", "norm", "keys", "title_keys"
     )
     return staged(slim, "notices")
 
@@ -54,11 +54,12 @@ o AS (SELECT o_orderkey AS k, o_orderkey % 25 AS pid, o_orderstatus <> 'P' AS ha
     f"""WITH {NOTICES_SQL},
 m AS (SELECT o.k, bool_or(sold) AS sold FROM o JOIN n ON n.k = o.k AND n.pid = o.pid AND NOT own AND (NOT by_id OR has_id) GROUP BY o.k)
 SELECT CAST(o.k AS VARCHAR) AS activity_id, m.k IS NOT NULL AS matched,
-  CASE WHEN coalesce(sold, false) OR quota_status = 'sold_out' THEN 'sold_out' WHEN m.k IS NOT NULL THEN 'partial_sold_out' ELSE quota_status END AS new_status
+  CASE WHEN coalesce(sold, false) OR quota_status = 'sold_out' THEN 'sold_out' WHEN m.k IS NOT NULL THEN 'partial_sold_out' ELSE quota_status END AS new_status,
+  m.k IS NOT NULL AS quota_evidence_complete
 FROM o LEFT JOIN m ON m.k = o.k""",
 )
 def apply_matches(t: Tables):
-    return linkage.apply_matches(linked_offers(t), notices(t), with_titles=False).select("activity_id", "matched", "new_status")
+    return linkage.apply_matches(linked_offers(t), notices(t), with_titles=False).select("activity_id", "matched", "new_status", "quota_evidence_complete")
 
 
 @query(
@@ -78,6 +79,31 @@ def evidence_links(t: Tables):
     return a.join(b, "key")
 
 
+PAIRS_SQL = f"""WITH {NOTICES_SQL}, pairs AS (SELECT o.k, n.n, sold FROM o JOIN n ON n.k = o.k AND n.pid = o.pid AND NOT own AND (NOT by_id OR has_id))"""
+
+
+@query(
+    "announcement_evidence",
+    f"""{PAIRS_SQL} SELECT CAST(k AS VARCHAR) AS activity_id, k || '-' || n AS announcement_id, 'latest_announcement:event_id_or_url:1.00' AS kind,
+  CASE WHEN bool_and(sold) THEN 'sold_out' ELSE 'partial_sold_out' END AS quota_status, 1.0::DOUBLE AS score, 'https://s.example.com/news/' || k || '-' || n AS source_url
+FROM pairs GROUP BY k, n""",
+)
+def announcement_evidence(t: Tables):
+    acts, anns = linked_offers(t), notices(t)
+    out = linkage.evidence_of(acts.select("activity_id", "canonical_url", "norm"), linkage.activity_links(acts), linkage.announcement_links(anns))
+    return out.select("activity_id", "announcement_id", "kind", "quota_status", "score", "source_url")
+
+
+@query(
+    "announcement_components",
+    f"""{PAIRS_SQL} SELECT DISTINCT CAST(k AS VARCHAR) AS activity_id, 'sold_out' AS status, '07月' AS period, '7月份回饋已額滿。' AS evidence FROM pairs WHERE NOT sold""",
+)
+def announcement_components(t: Tables):
+    acts, anns = linked_offers(t), notices(t)
+    out = linkage.components_of(acts.select("activity_id", "canonical_url", "norm"), linkage.activity_links(acts), linkage.announcement_links(anns))
+    return out.select("activity_id", "status", "period", "evidence")
+
+
 # ---------------------------------------------------------------- titles
 
 

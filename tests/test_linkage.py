@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from offerlens.functions import titles
-from offerlens.operators import linkage, quota
+from offerlens.operators import extract, linkage, quota
 
 SOLD, PART = "本活動回饋已全數額滿", "7月份週六加碼已額滿"
 ACT = "activity_id string, provider_id string, url string, title string, text string, quota_status string"
@@ -145,5 +145,25 @@ def test_evidence_pairs(spark):
         )
     )
     links = linkage.activity_links(acts, linkage.title_links(acts, anns))
-    out = linkage.evidence_of(acts.select("activity_id", "canonical_url"), links, linkage.announcement_links(anns))
+    out = linkage.evidence_of(acts.select("activity_id", "canonical_url", "norm"), links, linkage.announcement_links(anns))
     assert {(r.announcement_id, r.method) for r in out.collect()} == {("n1", "event_id_or_url"), ("n2", "normalized_title_period")}
+    assert {r.kind for r in out.collect()} == {"latest_announcement:event_id_or_url:1.00", "latest_announcement:normalized_title_period:1.00"}
+
+
+def test_hot_core_is_one_key_per_month_set(spark):
+    """A campaign name with numbers: links stay as few as the month sets, not offers times notices."""
+    acts = [(f"a{i}", "p", f"https://a/{i}", f"夜市滿額現金{i}", "", "not_marked_full") for i in range(40)]
+    anns = [(f"n{i}", "p", f"https://n/{i}", f"夜市滿額現金{i + 500}", SOLD) for i in range(40)]
+    a = linkage.keyed_activities(spark.createDataFrame(acts, ACT))
+    n = linkage.keyed_announcements(quota.assess(spark.createDataFrame(anns, ANN), "text"))
+    cores = linkage.title_links(a, n).filter("score IS NULL")
+    assert cores.count() == 1
+    assert all(r.new_status == "sold_out" for r in linkage.apply_matches(a, n).collect())
+
+
+def test_own_ratio_equals_the_standard_one():
+    rng = random.Random(11)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abcd夜市") for _ in range(rng.randint(0, 14))) for _ in range(2))
+        m = sum(x.size for x in SequenceMatcher(None, a, b).get_matching_blocks())
+        assert extract.matched_characters(a, b) == m, (a, b)
