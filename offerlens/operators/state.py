@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions import quota as q
+from offerlens.functions.urls import canonical_url
 
 STICKY = ("sold_out", "partial_sold_out")
 YIELDING = ("not_marked_full", "unknown_app_only", "unknown_source_failure")
@@ -165,9 +166,12 @@ def merge_components(current: Column, previous: Column) -> Column:
 
 
 def upsert(history: DataFrame, batch: DataFrame, seen: str = "fetched_at", key: str = "activity_id") -> DataFrame:
-    """Next version of the history: batch rows replace stored ones, first sight and ids are kept."""
+    """Next version of the history: batch rows replace stored ones, first sight and ids are kept, URLs are stored canonical."""
+    if "url" in batch.columns:
+        batch = batch.withColumn("url", canonical_url(F.col("url")))
     data = [c for c in batch.columns if c != key and c in history.columns]
-    b = batch.select(key, *[F.col(c).alias(f"__n_{c}") for c in data], F.lit(True).alias("__new"))
+    taken = dict.fromkeys([*data, *[c for c in (seen,) if c in batch.columns]])
+    b = batch.select(key, *[F.col(c).alias(f"__n_{c}") for c in taken], F.lit(True).alias("__new"))
     j = history.join(b, key, "full_outer")
     is_new = F.coalesce("__new", F.lit(False))
     out = []

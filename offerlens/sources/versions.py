@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MARKER = "_COMMITTED"
 
@@ -63,9 +64,24 @@ def append_fact(df: DataFrame, path: str, run_id: str) -> None:
 
 
 def write_report(df: DataFrame, path: str, run_id: str) -> None:
-    """Immutable per-run copy plus the ``latest`` one."""
+    """Immutable per-run copy, visible once its marker is written; nothing is ever replaced by a half-written one."""
+    spark = df.sparkSession
     df.write.mode("overwrite").json(f"{path}/run_id={run_id}")
-    df.sparkSession.read.schema(df.schema).json(f"{path}/run_id={run_id}").write.mode("overwrite").json(f"{path}/latest")
+    fs, marker, _ = _fs(spark, f"{path}/run_id={run_id}/{MARKER}")
+    fs.create(marker, True).close()
+
+
+def read_latest_report(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """The report of the last run (by its id) whose marker exists, with its ``run_id``."""
+    fs, root, jvm = _fs(spark, path)
+    if not fs.exists(root):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    done = [n for n in names if n.startswith("run_id=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/{MARKER}"))]
+    if not done:
+        return None
+    run_id = max(done)[len("run_id=") :]
+    return spark.read.schema(schema).json(f"{path}/run_id={run_id}").withColumn("run_id", F.lit(run_id))
 
 
 def write_catalogue(df: DataFrame, path: str) -> None:

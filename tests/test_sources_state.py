@@ -77,7 +77,10 @@ def test_facts_and_reports_replace_their_own_run(spark, tmp_path):
     versions.append_fact(df, str(tmp_path / "f"), "r2")
     assert spark.read.parquet(str(tmp_path / "f")).count() == 2
     versions.write_report(df, str(tmp_path / "rep"), "r1")
-    assert spark.read.json(str(tmp_path / "rep" / "latest")).count() == 1
+    versions.write_report(df.union(df), str(tmp_path / "rep"), "r2")
+    (tmp_path / "rep" / "run_id=r3").mkdir()  # not committed
+    assert [r.run_id for r in versions.read_latest_report(spark, str(tmp_path / "rep"), "n int").collect()] == ["r2", "r2"]
+    assert versions.read_latest_report(spark, str(tmp_path / "none"), "n int") is None
     versions.write_catalogue(df, str(tmp_path / "cat"))
     assert spark.read.json(str(tmp_path / "cat")).first().n == 1
 
