@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from offerlens.functions import dates
+from offerlens.functions import dates, quota
 from offerlens.operators import periods, rewards
 from offerlens.plans.base import AS_OF, OFFERS_SQL, Tables, day, lifecycle_sql, offers, query, text
 
@@ -124,3 +124,21 @@ def dash_periods(t: Tables):
     raw = F.when(k % 3 == 2, text(day(_start()), "~2099-13-01")).otherwise(text(" ", day(_start()), " ~", day(_end())))
     df = t.orders.select("o_orderkey", raw.alias("period"))
     return periods.parse_period(df, "period", "2027-06-01").select("o_orderkey", "start_date", "end_date")
+
+
+@query(
+    "long_text_decisions",
+    """SELECT c_custkey, DATE '2026-07-01' + CAST(c_custkey % 28 AS INTEGER) AS start_date, DATE '2026-08-31' AS end_date, CAST(c_nationkey % 12 + 1 AS VARCHAR) AS months,
+  'sold_out' AS quota_status, 600 + length(CAST(c_custkey AS VARCHAR)) AS excerpt_chars FROM customer""",
+)
+def long_text_decisions(t: Tables):
+    """What decides may stand anywhere: a period behind 21 000 characters, a month behind 1 200, a notice of 600 characters."""
+    k = F.col("c_custkey")
+    far = F.concat(F.repeat(F.lit("條款文字"), 5250), text(" 2026/7/"), (k % 28 + 1).cast("string"), text("～2026/8/31"))
+    month = F.concat(F.repeat(F.lit("x"), 1200), (F.col("c_nationkey") % 12 + 1).cast("string"), text("月"))
+    notice = F.concat(text("本活動回饋已全數額滿"), F.repeat(F.lit("長"), 590), k.cast("string"))
+    rows = t.customer.select("c_custkey", dates.resolve_period(far).alias("p"), dates.mentioned_months(month).alias("m"), quota.quota_of(notice).alias("q"))
+    return rows.select(
+        "c_custkey", F.col("p.start").alias("start_date"), F.col("p.end").alias("end_date"), F.array_join("m", ",").alias("months"),
+        F.col("q.status").alias("quota_status"), F.length("q.excerpt").cast("bigint").alias("excerpt_chars"),
+    )

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from offerlens.operators import publish, report
-from offerlens.plans.base import AS_OF, LIVE_SQL, Tables, offers, query, text
+from offerlens.plans import q_coverage, q_state
+from offerlens.plans.base import QUERIES, AS_OF, LIVE_SQL, Tables, offers, query, text
 
 
 @query(
@@ -77,20 +78,30 @@ def provider_counts(t: Tables):
     return publish.provider_counts(report.section_report(shared_offers(t), AS_OF))
 
 
+def _count(name: str) -> str:
+    return f"(SELECT count(*) FROM ({QUERIES[name].sql}))"
+
+
+_VERDICT = f"(SELECT max_by(verdict, run_id) FROM ({QUERIES['run_verdicts'].sql}))"
+
+
 @query(
     "digest",
     f"""WITH {SHARED_SQL}, pc AS (SELECT provider_name, count(*) AS n FROM flat WHERE rn = 1 GROUP BY provider_name)
-SELECT 'partial' AS verdict, '部分成功' AS label, (SELECT count(*) FROM sectioned WHERE lifecycle <> 'ended') AS included_non_expired,
+SELECT {_VERDICT} AS verdict, CASE {_VERDICT} {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in publish.VERDICT_LABELS.items())} ELSE {_VERDICT} END AS label,
+  (SELECT count(*) FROM sectioned WHERE lifecycle <> 'ended') AS included_non_expired,
   (SELECT count(*) FROM sectioned WHERE lifecycle <> 'ended' AND section = 'sold_out') AS sold_out_or_partial,
   (SELECT string_agg(provider_name || ' ' || n, '、' ORDER BY n DESC, lower(provider_name)) FROM pc) AS providers,
-  (SELECT count(*) FROM events WHERE event_type = 'purchase') AS changes, (SELECT count(*) FROM events WHERE event_type = 'error') AS gaps""",
+  {_count("status_changes")} AS changes, {_count("coverage_gaps")} AS gaps""",
 )
 def digest(t: Tables):
+    """The last run's verdict with the changes of the history and the gaps of all runs."""
     o = shared_offers(t)
+    verdict = q_coverage.run_verdicts(t).agg(F.max_by("verdict", "run_id")).scalar()
     return publish.digest(
         publish.provider_counts(report.section_report(o, AS_OF)),
         report.section_summary(o, AS_OF),
-        "partial",
-        t.events.filter("event_type = 'purchase'"),
-        t.events.filter("event_type = 'error'"),
+        verdict,
+        q_state.status_changes(t),
+        q_coverage.coverage_gaps(t),
     )

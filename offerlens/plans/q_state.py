@@ -322,3 +322,16 @@ def link_expansion(t: Tables):
     edges = t.orders.select(F.col("o_custkey").alias("src"), F.floor(F.col("o_orderkey") / 10).alias("dst"))
     seeds = t.customer.filter("c_acctbal < 0").select(F.col("c_custkey").alias("page"))
     return frontier.expand(seeds, edges)
+
+
+@query(
+    "evidence_identity",
+    """SELECT CAST(c_custkey AS VARCHAR) AS activity_id, n AS variant, 500 + 1 AS excerpt_chars FROM customer, (VALUES ('a'), ('b')) v(n)""",
+)
+def evidence_identity(t: Tables):
+    """Two notices that share their first 500 characters stay two; the one that is stored already is not doubled."""
+    k = F.col("c_custkey").cast("string").alias("activity_id")
+    excerpt = lambda v: F.concat(F.repeat(F.lit("同"), 500), F.lit(v)).alias("excerpt")
+    row = lambda v, n: t.customer.select(k, F.lit("u").alias("source_url"), excerpt(v), F.lit(n).alias("ord"))
+    merged = state.merge_evidence(row("a", 1), row("a", 1).unionByName(row("b", 2)), t.customer.select(k))
+    return merged.select("activity_id", F.right("excerpt", F.lit(1)).alias("variant"), F.length("excerpt").alias("excerpt_chars"))
