@@ -1,5 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import re
+
 import pytest
 from oracle import compare, connect
 
@@ -27,6 +29,20 @@ def test_only_similarity_queries_lack_sql():
     }
 
 
+# Pages and payloads need a parser; the title ratio runs on pruned pairs.
+PYTHON = {
+    "page_extract", "page_text", "page_links", "link_indegree", "listing_links", "event_links", "json_documents", "chunk_recovery", "next_round",
+    "detail_reconcile", "announcement_evidence", "link_titles_similar", "link_document_titles", "apply_title_matches",
+}
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("stream_")))
+def test_plan_has_no_product_and_python_only_where_stated(spark, sf, name):
+    plan = QUERIES[name].run(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan)
+    assert name in PYTHON or not re.search("InPandas|InArrow|EvalPython", plan)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
