@@ -14,10 +14,13 @@ from __future__ import annotations
 import json
 import math
 import re
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offerlens.functions.text import let
 from offerlens.llm.common import op, table
 
 THRESHOLD = 0.8
@@ -68,6 +71,23 @@ def telling(text: str, threshold: float) -> list[str]:
     return all_[: len(all_) - _least_common(len(all_), threshold) + 1]
 
 
+def _may_match(low: Column, grams: list[str], threshold: float) -> Column:
+    """A lossless test on the lower-cased text: False only if no unit can reach the template.
+
+    A similar unit lacks at most b - common of the bigrams, so it has one of any b - common + 1; a word of five letters
+    or more of each is looked for. With too few such bigrams the unit may lack all of them, and then has all others.
+    """
+    spare = len(grams) - _least_common(len(grams), threshold)
+    word = {g: max(g.split(), key=lambda w: (len(w), w)) for g in grams}
+    ranked = sorted(grams, key=lambda g: (-len(word[g]), g))
+    strong = [g for g in ranked if len(word[g]) >= 5]
+    has = lambda w: F.contains(low, F.lit(w))
+    if len(strong) > spare or len(strong) < spare:
+        return reduce(or_, [has(w) for w in sorted({word[g] for g in ranked[: spare + 1]})])
+    others = reduce(and_, [has(w) for w in sorted({w for g in ranked[spare:] for w in g.split()})])
+    return reduce(or_, [has(w) for w in sorted({word[g] for g in strong})], others)
+
+
 def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
@@ -85,9 +105,7 @@ def license_units(docs: DataFrame, templates: dict[str, str], threshold: float =
     keys = [(k, g, sets[k]) for k in sets for g in telling(templates[k], threshold)]
     listed = F.from_json(F.lit(json.dumps([{"license": k, "mark": g, "theirs": t} for k, g, t in keys])), "array<struct<license: string, mark: string, theirs: array<string>>>")
     marks = docs.sparkSession.range(1).select(F.inline(listed))  # as large as the templates given
-    words = sorted({min(g.split(), key=lambda w: (-len(w), w)) for _, g, _ in keys})
-    seen = F.lower("text")
-    some = docs.select("doc_id", "text").filter(F.greatest(F.lit(False), F.lit(False), *[F.contains(seen, F.lit(w)) for w in words]))
+    some = docs.select("doc_id", "text").filter(let(F.lower("text"), lambda low: reduce(or_, [_may_match(low, s, threshold) for s in sets.values()], F.lit(False))))
     units = F.concat(F.split("text", "\n", -1), F.split("text", r"\n[ \t\r]*\n", -1), F.array("text"))
     shortest = min([_least_common(len(s), threshold) for s in sets.values()], default=1)
     longest = max([math.floor(len(s) * (2 - threshold) / threshold + 1e-9) for s in sets.values()], default=0)
