@@ -94,8 +94,9 @@ def grow(sample: np.ndarray, trees: int = TREES, depth: int = DEPTH) -> Forest:
     return Forest(planes, offsets, depth)
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+def _matrix(column: pa.Array, dim: int, kind=np.float64) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return (flat if kind is None else flat.astype(kind)).reshape(-1, dim)
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -178,7 +179,8 @@ def search(vectors: DataFrame, queries: Column, k: int = K, trees: int = TREES,
     for r in distinct.select("vec").mapInArrow(place, "tree int, leaf int").groupBy("tree", "leaf").count().collect():
         rows[r["tree"], r["leaf"]] = r["count"]
     sizes = spark.sparkContext.broadcast((rows, -(-rows // BLOCK)))
-    schema = "tree int, leaf int, block int, kind int, k1 bigint, k2 bigint, least bigint, vec array<double>"
+    vec_type = distinct.schema["vec"].dataType.simpleString()  # vectors move as they are stored and are compared in double precision
+    schema = f"tree int, leaf int, block int, kind int, k1 bigint, k2 bigint, least bigint, vec {vec_type}"
     names = ["tree", "leaf", "block", "kind", "k1", "k2", "least", "vec"]
 
     def spread(kind: int):
@@ -187,7 +189,7 @@ def search(vectors: DataFrame, queries: Column, k: int = K, trees: int = TREES,
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x = _matrix(batch.column(3), dim)
+                x, stored = _matrix(batch.column(3), dim), _matrix(batch.column(3), dim, None)
                 k2 = batch.column(1).to_numpy()
                 if kind == 0:
                     leaf = shipped.value.leaves(x)
@@ -200,7 +202,7 @@ def search(vectors: DataFrame, queries: Column, k: int = K, trees: int = TREES,
                 for a in range(0, len(row), 8192):
                     at = slice(a, a + 8192)
                     take = row[at]
-                    vec = pa.ListArray.from_arrays(pa.array(np.arange(len(take) + 1) * dim, pa.int32()), pa.array(x[take].ravel()))
+                    vec = pa.ListArray.from_arrays(pa.array(np.arange(len(take) + 1) * dim, pa.int32()), pa.array(stored[take].ravel()))
                     small = [pa.array(c.astype(np.int32)) for c in (tree[at], leaf[at], block[at], np.full(len(take), kind))]
                     yield pa.RecordBatch.from_arrays([*small, *[batch.column(j).take(pa.array(take)) for j in (0, 1, 2)], vec], names=names)
 
