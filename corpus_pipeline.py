@@ -33,7 +33,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-equal fingerprints the document of the smallest id stays; rows without an id stay."""
+    """Of each component of near-equal fingerprints the document of the smallest id stays, with all rows of that id; rows without an id stay."""
     prepare(spark)
     found = simhash.near_duplicates(docs)
     gone = staged(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
