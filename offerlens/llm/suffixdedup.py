@@ -29,7 +29,11 @@ from offerlens.llm.suffixsort import Spool, sorted_suffixes
 
 LENGTH, PIECE = 50, 16
 #: Bytes of a document that are hashed at a time, and of segments that a task holds before it sends them.
-STRETCH, SEND = 1 << 20, 8 << 20
+STRETCH, SEND = 1 << 20, 16 << 20
+#: Shards into which a task parts what it gets; it sorts one at a time, so more of them need less scratch space at once.
+SHARDS = 16
+#: Bytes of a name that tell whether documents share it; a longer match of names only lets more segments through.
+NAME_BYTES = 6
 _MULT = 0x9E3779B97F4A7C15
 _OCCURRENCE = np.dtype([("segment", "<i8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i8")])
 _SEGMENT = np.dtype([("name", "<u8"), ("size", "<i8"), ("least", "<i8")])
@@ -64,6 +68,11 @@ def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _short(name: np.ndarray) -> np.ndarray:
+    """The leading ``NAME_BYTES`` bytes of names, as numbers."""
+    return name >> np.uint64(64 - 8 * NAME_BYTES)
+
+
 def _bytes(value: bytes | None) -> np.ndarray:
     return np.frombuffer(value or b"", dtype=np.uint8)
 
@@ -72,16 +81,17 @@ def _names(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
     """(part, names, docs, counts): by part of the name space the distinct names of each document of a batch."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        found = [np.unique(segments(_bytes(v))[0]) for v in batch.column(1).to_pylist()]
+        found = [np.unique(_short(segments(_bytes(v))[0])) for v in batch.column(1).to_pylist()]
         name = np.concatenate(found) if found else np.zeros(0, np.uint64)
         row = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        part = (name >> np.uint64(32)) % np.uint64(parts)
+        part = (name >> np.uint64(8)) % np.uint64(parts)
         order = np.argsort(part.astype(np.int32), kind="stable")
         name, row, part = name[order], row[order], part[order].astype(np.int32)
         rows = []
         for a, b in _cuts(part):
             docs, counts = np.unique(row[a:b], return_counts=True)
-            rows.append((int(part[a]), name[a:b].tobytes(), ids[docs].astype(np.int64).tobytes(), counts.astype(np.int32).tobytes()))
+            packed = name[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES].tobytes()
+            rows.append((int(part[a]), packed, ids[docs].astype(np.int64).tobytes(), counts.astype(np.int32).tobytes()))
         if rows:
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "names", "docs", "counts"])
@@ -94,7 +104,8 @@ def _cuts(key: np.ndarray) -> list[tuple[int, int]]:
 
 def _shared(part: pa.Table) -> pa.Table:
     """(doc_id, name) of the names of one part that occur in more than one document."""
-    name = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in part["names"].to_pylist()])
+    packed = np.frombuffer(b"".join(part["names"].to_pylist()), dtype=np.uint8).reshape(-1, NAME_BYTES)
+    name = np.pad(packed, ((0, 0), (0, 8 - NAME_BYTES))).view("<u8").ravel()
     doc = np.concatenate([np.repeat(np.frombuffer(d, dtype=np.int64), np.frombuffer(c, dtype=np.int32)) for d, c in zip(part["docs"].to_pylist(), part["counts"].to_pylist())])
     order = np.argsort(name, kind="stable")
     name, doc = name[order], doc[order]
@@ -105,8 +116,8 @@ def _shared(part: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(doc[keep]), "name": pa.array(name[keep].view(np.int64))})
 
 
-def _send(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """(shard, pack): the segments of shared names, packed with their occurrences."""
+def _send(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, pack): the segments of shared names, packed with their occurrences."""
     texts: dict[bytes, int] = {}
     names: list[np.ndarray] = []
     occ: list[np.ndarray] = []
@@ -114,9 +125,8 @@ def _send(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordB
 
     def flush() -> pa.RecordBatch:
         name, found = np.concatenate(names), np.concatenate(occ)
-        shard = (name >> np.uint64(8)) % np.uint64(shards)
         pieces = list(texts)
-        of = shard[found["segment"]]
+        of = ((name >> np.uint64(24)) % np.uint64(parts))[found["segment"]]
         order = np.argsort(of.astype(np.int32), kind="stable")
         found, of = found[order], of[order]
         rows = []
@@ -126,19 +136,19 @@ def _send(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordB
             head = struct.pack("<qq", len(own), b - a)
             sizes = np.array([len(p) for p in own], dtype=np.int64)
             pack = b"".join([head, name[mine].tobytes(), sizes.tobytes(), *[np.ascontiguousarray(found[f][a:b]).tobytes() for f in _OCCURRENCE.names], *own])
-            rows.append((int(of[a]), zstandard.ZstdCompressor(level=1).compress(pack)))
+            rows.append((int(of[a]), zstandard.ZstdCompressor(level=3).compress(pack)))
         texts.clear()
         names.clear()
         occ.clear()
         cols = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], names=["shard", "pack"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], names=["part", "pack"])
 
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         rows = batch.column(1).to_numpy(zero_copy_only=False)
         for r, (value, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
             name, start, size = segments(_bytes(value))
-            at = np.flatnonzero(np.isin(name, np.unique(wanted.values.to_numpy().view(np.uint64))))
+            at = np.flatnonzero(np.isin(_short(name), np.unique(wanted.values.to_numpy().view(np.uint64))))
             if not len(at):
                 continue
             begin, index = len(texts), np.empty(len(at), dtype=np.int64)
@@ -163,34 +173,20 @@ class _Shard:
 
     def __init__(self) -> None:
         self.segments, self.found, self.text = Spool(_SEGMENT), Spool(_OCCURRENCE), Spool(np.uint8)
-        self.known: dict[int, int] = {}
-
-    def add(self, pack: bytes) -> None:
-        raw = zstandard.ZstdDecompressor().decompress(pack)
-        n, m = struct.unpack_from("<qq", raw)
-        at = 16
-        name, size = np.frombuffer(raw, np.uint64, n, at), np.frombuffer(raw, np.int64, n, at + 8 * n)
-        at += 16 * n
-        found = np.empty(m, dtype=_OCCURRENCE)
-        for f in _OCCURRENCE.names:
-            found[f] = np.frombuffer(raw, np.int64, m, at)
-            at += 8 * m
-        least = np.full(n, np.iinfo(np.int64).max)
-        np.minimum.at(least, found["segment"], found["doc"])
-        ends = np.cumsum(size) + at
-        base = len(self.segments)
-        keys = [xxhash.xxh3_64_intdigest(raw[e - s : e]) for s, e in zip(size.tolist(), ends.tolist())]
-        new = np.empty(n, dtype=_SEGMENT)
-        new["name"], new["size"], new["least"] = name, size, least
-        self.segments.append(new)
-        self.text.append(np.frombuffer(raw, np.uint8, int(size.sum()), at))
-        self.keys = getattr(self, "keys", None) or Spool(np.uint64)
-        self.keys.append(np.array(keys, dtype=np.uint64))
-        found["segment"] += base
+        self.keys = Spool(np.uint64)
+
+    def add(self, segments_: np.ndarray, texts: list[bytes], found: np.ndarray) -> None:
+        found = found.copy()
+        found["segment"] += len(self.segments)
         self.found.append(found)
+        self.segments.append(segments_)
+        self.keys.append(np.array([xxhash.xxh3_64_intdigest(x) for x in texts], dtype=np.uint64))
+        self.text.append(np.frombuffer(b"".join(texts), np.uint8))
 
     def answer(self) -> Iterator[pa.RecordBatch]:
         """(doc, row, from, to): the bytes to remove, a run for each stretch of covered windows of an occurrence."""
+        if not len(self.segments):
+            return
         seg, keys, text = self.segments.mapped(), self.keys.mapped(), self.text.mapped()
         name, size, least = np.asarray(seg["name"]), np.asarray(seg["size"]), np.asarray(seg["least"])
         offset = np.cumsum(size) - size
@@ -286,17 +282,42 @@ class _Shard:
         open_.close()
 
 
+def _unpack(pack: bytes, shards: list[_Shard]) -> None:
+    """Add a pack to the shards, by name."""
+    raw = zstandard.ZstdDecompressor().decompress(pack)
+    n, m = struct.unpack_from("<qq", raw)
+    at = 16
+    new, found = np.empty(n, dtype=_SEGMENT), np.empty(m, dtype=_OCCURRENCE)
+    new["name"], new["size"] = np.frombuffer(raw, np.uint64, n, at), np.frombuffer(raw, np.int64, n, at + 8 * n)
+    at += 16 * n
+    for f in _OCCURRENCE.names:
+        found[f] = np.frombuffer(raw, np.int64, m, at)
+        at += 8 * m
+    new["least"] = np.iinfo(np.int64).max
+    np.minimum.at(new["least"], found["segment"], found["doc"])
+    ends = (np.cumsum(new["size"]) + at).tolist()
+    sizes = new["size"].tolist()
+    shard = ((new["name"] >> np.uint64(8)) % np.uint64(len(shards))).astype(np.int64)
+    place = np.empty(n, dtype=np.int64)
+    for k, to in enumerate(shards):
+        mine = np.flatnonzero(shard == k)
+        place[mine] = np.arange(len(mine))
+        own = found[shard[found["segment"]] == k].copy()
+        own["segment"] = place[own["segment"]]
+        to.add(new[mine], [raw[ends[j] - sizes[j] : ends[j]] for j in mine.tolist()], own)
+
+
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Answers of all shards of a partition; packs come sorted by shard."""
-    now, shard = None, None
+    """Answers of all shards of the parts in a partition; packs come sorted by part."""
+    now, shards = None, []
     for batch in batches:
         for k, pack in zip(batch.column(0).to_pylist(), batch.column(1)):
             if k != now:
-                if shard is not None:
+                for shard in shards:
                     yield from shard.answer()
-                now, shard = k, _Shard()
-            shard.add(pack.as_py())
-    if shard is not None:
+                now, shards = k, [_Shard() for _ in range(SHARDS)]
+            _unpack(pack.as_py(), shards)
+    for shard in shards:
         yield from shard.answer()
 
 
@@ -321,31 +342,35 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("data"))
-    named = rows.filter(F.col("doc_id").isNotNull() & (F.octet_length("data") >= LENGTH))
+    all_rows = docs.select("doc_id", F.col("text").cast("binary").alias("data"))
+    rows = all_rows.filter("doc_id IS NOT NULL")
+    named = rows.filter(F.octet_length("data") >= LENGTH)
     parted = named.mapInArrow(lambda it: _names(it, parts), "part int, names binary, docs binary, counts binary")
     shared = parted.groupBy("part").applyInArrow(_shared, "doc_id bigint, name bigint")
     wanted = shared.groupBy("doc_id").agg(F.collect_list("name").alias("wanted")).withColumnRenamed("doc_id", "id")
     dealt = rows.repartition(parts, "doc_id")  # used twice, moved once
     some = dealt.join(wanted, F.col("doc_id") == F.col("id")).select("doc_id", F.xxhash64("data").alias("row"), "data", "wanted")
-    packs = some.mapInArrow(lambda it: _send(it, parts), "shard int, pack binary")
-    runs = packs.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_solve, "doc bigint, row bigint, `from` bigint, to bigint")
-    runs = runs.groupBy("doc", "row").agg(F.collect_list(F.struct("from", "to")).alias("runs"))
-    both = dealt.join(runs, (F.col("doc_id") == F.col("doc")) & (F.xxhash64("data") == F.col("row")), "left")
+    packs = some.mapInArrow(lambda it: _send(it, parts), "part int, pack binary")
+    runs = packs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_solve, "doc bigint, row bigint, `from` bigint, to bigint")
+    runs = runs.groupBy("doc").agg(F.collect_list(F.struct("row", "from", "to")).alias("runs"))
+    both = dealt.join(runs, F.col("doc_id") == F.col("doc"), "left").select("doc_id", F.xxhash64("data").alias("row"), "data", "runs")
+    rest = all_rows.filter("doc_id IS NULL").select("doc_id", F.lit(0).cast("bigint").alias("row"), "data", F.lit(None).cast(both.schema["runs"].dataType).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for data, own in zip(batch.column(1).to_pylist(), batch.column(2)):
-                data = data or b""
-                pairs = np.zeros((0, 2), np.int64) if not own.is_valid else np.stack([own.values.field(0).to_numpy(), own.values.field(1).to_numpy()], axis=1)
+            for row, data, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                data, pairs = data or b"", np.zeros((0, 2), np.int64)
+                if own.is_valid:  # runs of all rows of this id
+                    whose, begin, end = (own.values.field(k).to_numpy() for k in range(3))
+                    pairs = np.stack([begin, end], axis=1)[whose == row]
                 kept, removed, spans = _cut(data, pairs)
                 out.append((len(data), removed, spans, kept))
             cols = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return both.select("doc_id", "data", "runs").mapInArrow(cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return both.union(rest).mapInArrow(cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
 @op("op10_suffix_dedup")
