@@ -4,8 +4,9 @@ Words are lower-cased; numbers, units after a number and names (capitalised word
 placeholders. Windows of ``WINDOW`` template tokens of the benchmark are hash-joined with those of the documents, so a
 question whose numbers or names were replaced still meets its template. The replaced values must be consistent: within
 an occurrence every value of the item stands for one value of the document and the reverse. Inside a window this is
-an equality pattern (which slots hold equal values), which is part of the join key, so any number of items with one
-template cost one row; across the windows of an occurrence the pairs of values are compared.
+an equality pattern (which slots hold equal values), which is part of the join key; across the windows of an occurrence
+the pairs of values are compared, for every item that has the window. Items of one template and one equality pattern
+throughout are kin and cost one row.
 
 A fixed-size bitmap of the benchmark's window hashes goes to all tasks and keeps nearly all other windows from being
 shuffled; the join decides. A larger benchmark makes it pass more, never less.
@@ -113,7 +114,12 @@ def _pattern(slots: list[str]) -> str:
     return ",".join(str(slots.index(s)) for s in slots)
 
 
-_WINDOW_COLUMNS = ("pos int", "size int", "hash bigint", "pattern string", "slots array<string>")
+def _kin(hashes: np.ndarray, kind: np.ndarray, at: np.ndarray, tokens: list[str]) -> int:
+    """Equal for texts of one template whose slots are equal at the same places."""
+    return xxhash.xxh64_intdigest(hashes.tobytes() + _pattern(_slots(kind, at, tokens, 0, len(kind))).encode()) - (1 << 63)
+
+
+_WINDOW_COLUMNS = ("kin bigint", "pos int", "size int", "hash bigint", "pattern string", "slots array<string>")
 
 
 def _windows(df: DataFrame, sizes: tuple[int, ...] | None, sieve=None) -> DataFrame:
@@ -127,6 +133,7 @@ def _windows(df: DataFrame, sizes: tuple[int, ...] | None, sieve=None) -> DataFr
             for r, text in enumerate(batch.column(batch.schema.get_field_index("_text")).to_pylist()):
                 hashes, kind, at, tokens = template(text)
                 own = (min(len(hashes), WINDOW),) if sizes is None else sizes
+                kin = _kin(hashes, kind, at, tokens) if sizes is None else 0
                 for size in own:
                     if size < LEAST or size > len(hashes):
                         continue
@@ -138,13 +145,13 @@ def _windows(df: DataFrame, sizes: tuple[int, ...] | None, sieve=None) -> DataFr
                         hits = np.flatnonzero(mask[h >> np.uint64(64 - BITS)])
                     for k in hits.tolist():
                         slots = _slots(kind, at, tokens, k, size)
-                        rows.append((r, k, size, int(h[k].view(np.int64)), _pattern(slots), slots))
+                        rows.append((r, kin, k, size, int(h[k].view(np.int64)), _pattern(slots), slots))
             if rows:
-                r, pos, size, h, pattern, slots = zip(*rows)
+                r, kins, pos, size, h, pattern, slots = zip(*rows)
                 take = pa.array(r, pa.int64())
                 kept = [batch.column(batch.schema.get_field_index(c)).take(take) for c in names]
-                new = [pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(h, pa.int64()), pa.array(pattern), pa.array(slots, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(kept + new, names=names + ["pos", "size", "hash", "pattern", "slots"])
+                new = [pa.array(kins, pa.int64()), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(h, pa.int64()), pa.array(pattern), pa.array(slots, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(kept + new, names=names + ["kin", "pos", "size", "hash", "pattern", "slots"])
 
     return df.mapInArrow(run, columns_of(df, "_text", *_WINDOW_COLUMNS))
 
@@ -159,7 +166,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     items = _windows(benchmark.select("item_id", F.col("text").alias("_text")), None)
     key = ["size", "hash", "pattern"]
-    items = staged(items.groupBy(*key).agg(F.min(F.struct("item_id", F.col("pos").alias("ipos"), F.col("slots").alias("islots"))).alias("item")), "benchmark")
+    items = items.groupBy(*key, "kin", F.col("pos").alias("ipos")).agg(F.min(F.struct("item_id", F.col("slots").alias("islots"))).alias("item"))
+    items = staged(items, "benchmark")
     sizes = tuple(sorted(r["size"] for r in items.select("size").distinct().collect()))  # at most WINDOW values
     place = F.shiftrightunsigned("hash", 64 - BITS)
     words = items.groupBy(F.shiftrightunsigned(place, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - BITS}) % 64 as int))")).alias("bits"))
@@ -167,11 +175,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for r in words.collect():  # at most 2 ** (BITS - 6) rows
         bitmap[r["w"]] = r["bits"]
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.col("text").alias("_text"))
-    hits = _windows(rows, sizes, spark.sparkContext.broadcast(bitmap.tobytes()))
-    found = hits.join(items, key).select("doc_id", "row", "pos", "slots", "item.*")
+    hits = _windows(rows, sizes, spark.sparkContext.broadcast(bitmap.tobytes())).drop("kin")
+    found = hits.join(items, key).select("doc_id", "row", "pos", "slots", "kin", "ipos", "item.*")
     pair = F.arrays_zip(F.col("islots").alias("i"), F.col("slots").alias("d"))
-    found = found.groupBy("doc_id", "row", "item_id", (F.col("pos") - F.col("ipos")).alias("start"))
-    found = found.agg(F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"), F.collect_set("pos").alias("at"))
+    found = found.groupBy("doc_id", "row", "kin", (F.col("pos") - F.col("ipos")).alias("start"))
+    found = found.agg(F.min("item_id").alias("item_id"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"), F.collect_set("pos").alias("at"))
     size = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
     found = found.filter((size("i") == F.size("pairs")) & (size("d") == F.size("pairs")))
     return found.groupBy("doc_id", "row").agg(F.min("item_id").alias("item_id"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_windows"))
