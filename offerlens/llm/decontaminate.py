@@ -2,11 +2,10 @@
 
 Words are lower-cased; numbers, units after a number and names (capitalised words inside a sentence) become typed
 placeholders. Windows of ``WINDOW`` template tokens of the benchmark are hash-joined with those of the documents, so a
-question whose numbers or names were replaced still meets its template. The replaced values must be consistent: within
-an occurrence every value of the item stands for one value of the document and the reverse. Inside a window this is
-an equality pattern (which slots hold equal values), which is part of the join key; across the windows of an occurrence
-the pairs of values are compared, for every item that has the window. Items of one template and one equality pattern
-throughout are kin and cost one row.
+question whose numbers or names were replaced still meets its template. The replaced values must be consistent: within a
+connected run of windows every value of the item stands for one value of the document; two values of the item may become
+one. This is compared for every item that has the windows. Items of one template and one equality pattern throughout are
+kin and cost one row.
 
 A fixed-size bitmap of the benchmark's window hashes goes to all tasks and keeps nearly all other windows from being
 shuffled; the join decides. A larger benchmark makes it pass more, never less.
@@ -20,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlens.llm.common import columns_of, op, probe, table
@@ -119,7 +118,7 @@ def _kin(hashes: np.ndarray, kind: np.ndarray, at: np.ndarray, tokens: list[str]
     return xxhash.xxh64_intdigest(hashes.tobytes() + _pattern(_slots(kind, at, tokens, 0, len(kind))).encode()) - (1 << 63)
 
 
-_WINDOW_COLUMNS = ("kin bigint", "pos int", "size int", "hash bigint", "pattern string", "slots array<string>")
+_WINDOW_COLUMNS = ("kin bigint", "pos int", "size int", "hash bigint", "slots array<string>")
 
 
 def _windows(df: DataFrame, sizes: tuple[int, ...] | None, sieve=None) -> DataFrame:
@@ -144,14 +143,13 @@ def _windows(df: DataFrame, sizes: tuple[int, ...] | None, sieve=None) -> DataFr
                     else:
                         hits = np.flatnonzero(mask[h >> np.uint64(64 - BITS)])
                     for k in hits.tolist():
-                        slots = _slots(kind, at, tokens, k, size)
-                        rows.append((r, kin, k, size, int(h[k].view(np.int64)), _pattern(slots), slots))
+                        rows.append((r, kin, k, size, int(h[k].view(np.int64)), _slots(kind, at, tokens, k, size)))
             if rows:
-                r, kins, pos, size, h, pattern, slots = zip(*rows)
+                r, kins, pos, size, h, slots = zip(*rows)
                 take = pa.array(r, pa.int64())
                 kept = [batch.column(batch.schema.get_field_index(c)).take(take) for c in names]
-                new = [pa.array(kins, pa.int64()), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(h, pa.int64()), pa.array(pattern), pa.array(slots, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(kept + new, names=names + ["kin", "pos", "size", "hash", "pattern", "slots"])
+                new = [pa.array(kins, pa.int64()), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(h, pa.int64()), pa.array(slots, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(kept + new, names=names + ["kin", "pos", "size", "hash", "slots"])
 
     return df.mapInArrow(run, columns_of(df, "_text", *_WINDOW_COLUMNS))
 
@@ -165,7 +163,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     items = _windows(benchmark.select("item_id", F.col("text").alias("_text")), None)
-    key = ["size", "hash", "pattern"]
+    key = ["size", "hash"]
     items = items.groupBy(*key, "kin", F.col("pos").alias("ipos")).agg(F.min(F.struct("item_id", F.col("slots").alias("islots"))).alias("item"))
     items = staged(items, "benchmark")
     sizes = tuple(sorted(r["size"] for r in items.select("size").distinct().collect()))  # at most WINDOW values
@@ -176,12 +174,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         bitmap[r["w"]] = r["bits"]
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.col("text").alias("_text"))
     hits = _windows(rows, sizes, spark.sparkContext.broadcast(bitmap.tobytes())).drop("kin")
-    found = hits.join(items, key).select("doc_id", "row", "pos", "slots", "kin", "ipos", "item.*")
+    found = hits.join(items, key).select("doc_id", "row", "pos", "size", "slots", "kin", (F.col("pos") - F.col("ipos")).alias("start"), "item.*")
+    occurrence = ["doc_id", "row", "kin", "start"]
+    along = Window.partitionBy(*occurrence).orderBy("pos")
+    apart = F.coalesce(F.col("pos") - F.lag("pos").over(along) >= F.col("size"), F.lit(True))
+    found = found.withColumn("apart", apart).withColumn("run", F.sum(F.col("apart").cast("int")).over(along.rangeBetween(Window.unboundedPreceding, 0)))
     pair = F.arrays_zip(F.col("islots").alias("i"), F.col("slots").alias("d"))
-    found = found.groupBy("doc_id", "row", "kin", (F.col("pos") - F.col("ipos")).alias("start"))
+    found = found.groupBy(*occurrence, "run")
     found = found.agg(F.min("item_id").alias("item_id"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"), F.collect_set("pos").alias("at"))
-    size = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    found = found.filter((size("i") == F.size("pairs")) & (size("d") == F.size("pairs")))
+    found = found.filter(F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs"))
     return found.groupBy("doc_id", "row").agg(F.min("item_id").alias("item_id"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_windows"))
 
 

@@ -19,3 +19,15 @@ def test_all_items_of_a_shared_window_are_tried(spark, documents):
     first = "Tom has 3 red apples in his old wooden basket and Ann has 3 green pears"
     second = first.replace("3 green", "5 green")
     assert flagged(spark, documents, [first, second, second], [second, first, second.replace("5", "9")]) == [2, 1, 2]
+
+
+def test_two_values_of_the_item_may_become_one(spark, documents):
+    item = "Bring 3 red apples and 5 green pears to the old house"
+    assert flagged(spark, documents, [item], [item.replace("3", "4").replace("5", "4")]) == [1]
+
+
+def test_a_contradiction_spoils_only_its_run_of_windows(spark, documents):
+    head, tail = "Take 5 red stones and 5 blue stones to the river", "then walk along the narrow path until you see the white church"
+    text = f"{head} and rest before the long evening comes {tail}"
+    other = f"{head.replace('5 red', '8 red')} or sleep under every tall oak {tail}"
+    assert flagged(spark, documents, [text], [other.replace("or sleep under every tall oak", "or sleep after a long night here")]) == [1]
