@@ -7,6 +7,10 @@ connected run of windows every value of the item stands for one value of the doc
 one. This is compared for every item that has the windows. Items of one template and one equality pattern throughout are
 kin and cost one row.
 
+A text is read up to three times: with the capitalised words inside sentences as names, with all capitalised words as
+names, and as plain lower-cased words, which finds copies in other case. A plain window inside a run whose values
+contradict each other does not count.
+
 A fixed-size bitmap of the benchmark's window hashes goes to all tasks and keeps nearly all other windows from being
 shuffled; the join decides. A larger benchmark makes it pass more, never less.
 """
@@ -42,6 +46,7 @@ NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "
 
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
 _WORD, _NUMBER, _UNIT, _NAME, _STOP = range(5)
+_INSIDE, _ANYWHERE, _PLAIN = range(3)
 _PLACE = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0], dtype=np.uint64)
 _MULT = np.array([pow(0xD6E8FEB86659FD93, k, 1 << 64) for k in range(WINDOW)], dtype=np.uint64)
 
@@ -70,21 +75,31 @@ class _Codes(dict):
 _CODES = _Codes()
 
 
-def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """(hashes, kinds, first token of each, tokens) of the template of a text."""
+def readings(text: str | None) -> tuple[list[str], list[tuple]]:
+    """The tokens of a text, and (reading, hashes, kinds, first token of each) of its templates and of its plain words.
+
+    The first word of a sentence may be a name or not: ``_INSIDE`` takes it as a word, ``_ANYWHERE`` takes every
+    capitalised word as a name and is left out if it would be the same.
+    """
     tokens = _TOKEN.findall(text) if text else []
     codes = np.array([_CODES[t] for t in tokens], dtype=np.uint64)
     kind = (codes & np.uint64(7)).astype(np.int8)
     if not len(codes):
-        return codes, kind, np.zeros(0, dtype=np.int64), tokens
+        return tokens, []
+    low = codes & ~np.uint64(7)
     before = np.concatenate(([_STOP], kind[:-1]))
     kind[(kind == _UNIT) & (before != _NUMBER)] = _WORD
-    kind[(kind == _NAME) & (before == _STOP)] = _WORD
-    keep = kind != _STOP
-    keep[1:] &= ~((kind[1:] == _NAME) & (kind[:-1] == _NAME))  # a name of several words is one slot
-    at = np.flatnonzero(keep)
-    kind = kind[at]
-    return np.where(kind == _WORD, codes[at] & ~np.uint64(7), _PLACE[kind]), kind, at, tokens
+    first = (kind == _NAME) & (before == _STOP)
+    at = np.flatnonzero(kind != _STOP)
+    out = [(_PLAIN, low[at] * _PLACE[_NUMBER], kind[at], at)]
+    for reading in (_INSIDE, _ANYWHERE) if first.any() else (_INSIDE,):
+        kinds = np.where(first, _WORD, kind) if reading == _INSIDE else kind
+        keep = kinds != _STOP
+        keep[1:] &= ~((kinds[1:] == _NAME) & (kinds[:-1] == _NAME))  # a name of several words is one slot
+        at = np.flatnonzero(keep)
+        kinds = kinds[at]
+        out.append((reading, np.where(kinds == _WORD, low[at], _PLACE[kinds]), kinds, at))
+    return tokens, out
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -113,16 +128,22 @@ def _pattern(slots: list[str]) -> str:
     return ",".join(str(slots.index(s)) for s in slots)
 
 
-def _kin(hashes: np.ndarray, kind: np.ndarray, at: np.ndarray, tokens: list[str]) -> int:
-    """Equal for texts of one template whose slots are equal at the same places."""
-    return xxhash.xxh64_intdigest(hashes.tobytes() + _pattern(_slots(kind, at, tokens, 0, len(kind))).encode()) - (1 << 63)
+def _kin(tokens: list[str], read: list[tuple]) -> int:
+    """Equal for texts of equal templates whose slots are equal at the same places."""
+    parts = [h.tobytes() + _pattern(_slots(kind, at, tokens, 0, len(kind))).encode() for reading, h, kind, at in read if reading != _PLAIN]
+    return xxhash.xxh64_intdigest(b"|".join(parts)) - (1 << 63)
 
 
-_WINDOW_COLUMNS = ("kin bigint", "pos int", "size int", "hash bigint", "slots array<string>")
+_NEW = pa.schema([(n, pa.int32()) for n in ("reading", "pos", "begin", "end", "size")] + [("kin", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))])
+_WINDOW_COLUMNS = ("reading int", "pos int", "begin int", "end int", "size int", "kin bigint", "hash bigint", "slots array<string>")
 
 
-def _windows(df: DataFrame, sizes: tuple[int, ...] | None, sieve=None) -> DataFrame:
-    """Columns of ``df`` without ``_text`` and one row per window; with ``sizes`` None the benchmark's own windows."""
+def _windows(df: DataFrame, sizes: dict[bool, tuple[int, ...]] | None, sieve=None) -> DataFrame:
+    """Columns of ``df`` without ``_text`` and one row per window; with ``sizes`` None the benchmark's own windows.
+
+    ``sizes`` are those of plain windows (True) and of template windows (False). ``begin`` and ``end`` are the first and
+    last token of a window in the text, ``pos`` its place in the reading.
+    """
     names = [c for c in df.columns if c != "_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,26 +151,28 @@ def _windows(df: DataFrame, sizes: tuple[int, ...] | None, sieve=None) -> DataFr
         for batch in batches:
             rows: list[tuple] = []
             for r, text in enumerate(batch.column(batch.schema.get_field_index("_text")).to_pylist()):
-                hashes, kind, at, tokens = template(text)
-                own = (min(len(hashes), WINDOW),) if sizes is None else sizes
-                kin = _kin(hashes, kind, at, tokens) if sizes is None else 0
-                for size in own:
-                    if size < LEAST or size > len(hashes):
-                        continue
-                    h = window_hashes(hashes, size)
-                    if mask is None:
-                        literal = np.convolve(kind == _WORD, np.ones(size, dtype=np.int64), "valid")
-                        hits = np.flatnonzero(literal >= LITERAL_SHARE * size)
-                    else:
-                        hits = np.flatnonzero(mask[h >> np.uint64(64 - BITS)])
-                    for k in hits.tolist():
-                        rows.append((r, kin, k, size, int(h[k].view(np.int64)), _slots(kind, at, tokens, k, size)))
+                tokens, read = readings(text)
+                kin = _kin(tokens, read) if sizes is None else 0
+                for reading, hashes, kind, at in read:
+                    own = (min(len(hashes), WINDOW),) if sizes is None else sizes[reading == _PLAIN]
+                    for size in own:
+                        if size < LEAST or size > len(hashes):
+                            continue
+                        h = window_hashes(hashes, size)
+                        if mask is None:
+                            literal = np.convolve(kind == _WORD, np.ones(size, dtype=np.int64), "valid")
+                            hits = np.flatnonzero(literal >= LITERAL_SHARE * size)
+                        else:
+                            hits = np.flatnonzero(mask[h >> np.uint64(64 - BITS)])
+                        for k in hits.tolist():
+                            end = int(at[k + size]) if k + size < len(at) else len(tokens)
+                            slots = [] if reading == _PLAIN else _slots(kind, at, tokens, k, size)
+                            rows.append((r, reading, k, int(at[k]), end - 1, size, kin, int(h[k].view(np.int64)), slots))
             if rows:
-                r, kins, pos, size, h, slots = zip(*rows)
+                r, *new = zip(*rows)
                 take = pa.array(r, pa.int64())
                 kept = [batch.column(batch.schema.get_field_index(c)).take(take) for c in names]
-                new = [pa.array(kins, pa.int64()), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(h, pa.int64()), pa.array(slots, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(kept + new, names=names + ["kin", "pos", "size", "hash", "slots"])
+                yield pa.RecordBatch.from_arrays(kept + [pa.array(c, f.type) for c, f in zip(new, _NEW)], names=names + _NEW.names)
 
     return df.mapInArrow(run, columns_of(df, "_text", *_WINDOW_COLUMNS))
 
@@ -164,9 +187,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     items = _windows(benchmark.select("item_id", F.col("text").alias("_text")), None)
     key = ["size", "hash"]
-    items = items.groupBy(*key, "kin", F.col("pos").alias("ipos")).agg(F.min(F.struct("item_id", F.col("slots").alias("islots"))).alias("item"))
+    items = items.groupBy(*key, "kin", F.col("reading").alias("ireading"), F.col("pos").alias("ipos")).agg(F.min(F.struct("item_id", F.col("slots").alias("islots"))).alias("item"))
     items = staged(items, "benchmark")
-    sizes = tuple(sorted(r["size"] for r in items.select("size").distinct().collect()))  # at most WINDOW values
+    some = items.select((F.col("ireading") == _PLAIN).alias("plain"), "size").distinct().collect()  # at most 2 * WINDOW rows
+    sizes = {plain: tuple(sorted(r["size"] for r in some if r["plain"] == plain)) for plain in (True, False)}
     place = F.shiftrightunsigned("hash", 64 - BITS)
     words = items.groupBy(F.shiftrightunsigned(place, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - BITS}) % 64 as int))")).alias("bits"))
     bitmap = np.zeros(1 << (BITS - 6), dtype=np.int64)
@@ -174,16 +198,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         bitmap[r["w"]] = r["bits"]
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.col("text").alias("_text"))
     hits = _windows(rows, sizes, spark.sparkContext.broadcast(bitmap.tobytes())).drop("kin")
-    found = hits.join(items, key).select("doc_id", "row", "pos", "size", "slots", "kin", (F.col("pos") - F.col("ipos")).alias("start"), "item.*")
-    occurrence = ["doc_id", "row", "kin", "start"]
+    found = hits.join(items, key).select(*hits.columns, "kin", "ireading", (F.col("pos") - F.col("ipos")).alias("start"), "item.*")
+    occurrence = ["doc_id", "row", "kin", "reading", "ireading", "start"]
     along = Window.partitionBy(*occurrence).orderBy("pos")
     apart = F.coalesce(F.col("pos") - F.lag("pos").over(along) >= F.col("size"), F.lit(True))
     found = found.withColumn("apart", apart).withColumn("run", F.sum(F.col("apart").cast("int")).over(along.rangeBetween(Window.unboundedPreceding, 0)))
     pair = F.arrays_zip(F.col("islots").alias("i"), F.col("slots").alias("d"))
-    found = found.groupBy(*occurrence, "run")
-    found = found.agg(F.min("item_id").alias("item_id"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"), F.collect_set("pos").alias("at"))
-    found = found.filter(F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs"))
-    return found.groupBy("doc_id", "row").agg(F.min("item_id").alias("item_id"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_windows"))
+    found = found.groupBy(*occurrence, "run").agg(
+        F.min("item_id").alias("item_id"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"), F.collect_set(F.struct("begin", "end")).alias("at"),
+        F.struct(F.min("begin").alias("begin"), F.max("end").alias("end")).alias("whole"),
+    )
+    good = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")
+    found = found.groupBy("doc_id", "row", "kin").agg(
+        F.collect_list(F.when(good, F.struct("item_id", (F.col("reading") == _PLAIN).alias("plain"), "at"))).alias("good"),
+        F.collect_list(F.when(~good & (F.col("reading") == F.col("ireading")), F.col("whole"))).alias("bad"),
+    )
+    found = found.select("doc_id", "row", "bad", F.inline("good")).select("doc_id", "row", "bad", "item_id", "plain", F.inline("at"))
+    spoilt = F.exists("bad", lambda x: (x["begin"] <= F.col("begin")) & (F.col("end") <= x["end"]))
+    return found.filter(~F.col("plain") | ~spoilt).groupBy("doc_id", "row").agg(F.min("item_id").alias("item_id"), F.count_distinct("begin").cast("int").alias("n_windows"))
 
 
 def flag(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -31,3 +31,10 @@ def test_a_contradiction_spoils_only_its_run_of_windows(spark, documents):
     text = f"{head} and rest before the long evening comes {tail}"
     other = f"{head.replace('5 red', '8 red')} or sleep under every tall oak {tail}"
     assert flagged(spark, documents, [text], [other.replace("or sleep under every tall oak", "or sleep after a long night here")]) == [1]
+
+
+def test_case_and_sentence_starts_do_not_hide_copies(spark, documents):
+    france, peru = "What is the capital of France and which river runs through it", "What is the capital of Peru"
+    tom = "Tom has 5 apples. Tom buys 7 more. Tom eats 3 of them."
+    texts = [france.lower(), france.upper(), f"please answer {peru}", f"please answer {peru.replace('Peru', 'Chile')}", tom.replace("Tom", "Ann").replace("7", "9"), "the capital of trade is credit"]
+    assert flagged(spark, documents, [france, peru, tom], texts) == [1, 1, 2, 2, 3, None]
