@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from offerlens.llm.common import columns_of, op, probe, table
 from offerlens.session import staged
 
-#: Template tokens of a window. Shorter items are one window; below ``LEAST`` tokens an item says too little and takes no part.
+#: Tokens of a window. Shorter items are one window; below ``LEAST`` tokens a template says too little, and only plain words are compared.
 WINDOW, LEAST = 8, 5
-#: Words that must be literal in a window.
+#: Words that must be literal in a template window; plain windows need none.
 LITERAL_SHARE = 0.5
 BITS = 24
 
@@ -156,10 +156,12 @@ def _windows(df: DataFrame, sizes: dict[bool, tuple[int, ...]] | None, sieve=Non
                 for reading, hashes, kind, at in read:
                     own = (min(len(hashes), WINDOW),) if sizes is None else sizes[reading == _PLAIN]
                     for size in own:
-                        if size < LEAST or size > len(hashes):
+                        if size < (1 if reading == _PLAIN else LEAST) or size > len(hashes):
                             continue
                         h = window_hashes(hashes, size)
-                        if mask is None:
+                        if mask is None and reading == _PLAIN:
+                            hits = np.arange(len(h))
+                        elif mask is None:
                             literal = np.convolve(kind == _WORD, np.ones(size, dtype=np.int64), "valid")
                             hits = np.flatnonzero(literal >= LITERAL_SHARE * size)
                         else:
@@ -181,8 +183,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, row, item_id, n_windows) of the rows of ``docs`` whose text holds part of an item of ``benchmark``.
 
     ``row`` is ``xxhash64(doc_id, text)``, which tells rows of one id apart; equal rows are one. ``item_id`` is the
-    smallest item found, ``n_windows`` the distinct windows of the text that match. Items whose text is null or has
-    under ``LEAST`` words take no part; nor do null and empty texts.
+    smallest item found, ``n_windows`` the distinct windows of the text that match. Items of under ``LEAST`` tokens are
+    found word for word only. Items without a token take no part; nor do null and empty texts.
     """
     spark = docs.sparkSession
     items = _windows(benchmark.select("item_id", F.col("text").alias("_text")), None)

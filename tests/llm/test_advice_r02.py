@@ -38,3 +38,9 @@ def test_case_and_sentence_starts_do_not_hide_copies(spark, documents):
     tom = "Tom has 5 apples. Tom buys 7 more. Tom eats 3 of them."
     texts = [france.lower(), france.upper(), f"please answer {peru}", f"please answer {peru.replace('Peru', 'Chile')}", tom.replace("Tom", "Ann").replace("7", "9"), "the capital of trade is credit"]
     assert flagged(spark, documents, [france, peru, tom], texts) == [1, 1, 2, 2, 3, None]
+
+
+def test_items_of_few_literal_words_and_short_items_are_found_word_for_word(spark, documents):
+    dense, names, short = "Calculate 15 + 27 - 9 * 3 and 14 - 8", "Visit Rome Paris Oslo", "Too short"
+    texts = [f"Now: {dense}.", dense.replace("27", "28"), "we visit rome paris oslo today", "It is too short now", "too long or short"]
+    assert flagged(spark, documents, [dense, names, short, "", "?"], texts) == [1, None, 2, 3, None]
