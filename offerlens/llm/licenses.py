@@ -4,6 +4,10 @@ Units of a text are its lines, its paragraphs (between blank lines) and the whol
 one. A unit and a template are compared as sets of word bigrams of their normalised text (lower case, ASCII letters and
 digits, single blanks): Dice = 2 * common / (a + b).
 
+Notices that stand inside other words or run over marked or wrapped lines are in no such unit. They are looked for as
+windows of words anywhere in the text, whose marks and line ends are no words; a notice that a unit already shows is not
+counted again.
+
 Two lossless bounds prune. Dice >= t needs a between b * t / (2 - t) and b * (2 - t) / t. And of a template's b bigrams
 at least b * t / (2 - t) must be common, so one of any b - that + 1 of them is: only units that hold one of these, the
 longest words first, are taken apart at all.
@@ -17,11 +21,12 @@ import re
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlens.functions.text import let
-from offerlens.llm.common import op, table
+from offerlens.llm.common import op, probe, table
+from offerlens.session import staged
 
 THRESHOLD = 0.8
 
@@ -92,13 +97,50 @@ def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-def _bigrams(words: Column) -> Column:
+def _pairs(words: Column) -> Column:
     pairs = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
+    return F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>"))
+
+
+def _bigrams(words: Column) -> Column:
+    return F.array_distinct(_pairs(words))
+
+
+def _windows(some: DataFrame, templates: dict[str, str], sets: dict[str, list[str]], threshold: float) -> DataFrame:
+    """(doc_id, row, unit, license, dice): of each stretch of overlapping similar windows of words the most similar one.
+
+    ``some``: doc_id, row, text. Without the bigrams at its ends that the template lacks a window is not less similar, so
+    windows from one bigram of the template to another are enough. A window has up to (2 - t) / t times the bigrams of
+    the template, repeated ones included.
+    """
+    size = {k: len(re.sub("[^a-z0-9]+", " ", templates[k].lower()).split()) - 1 for k in sets}
+    about = [{"license": k, "gram": g, "theirs": len(sets[k]), "least": _least_common(len(sets[k]), threshold), "reach": math.floor(size[k] * (2 - threshold) / threshold + 1e-9)} for k in sets for g in sets[k]]
+    listed = F.from_json(F.lit(json.dumps(about)), "array<struct<license: string, gram: string, theirs: int, least: int, reach: int>>")
+    grams = some.sparkSession.range(1).select(F.inline(listed))
+    words = some.select("doc_id", "row", F.split(_normal(F.col("text")), " ").alias("words"))
+    hits = words.select("doc_id", "row", F.posexplode(_pairs(F.col("words"))).alias("pos", "gram")).join(grams, "gram")
+    hits = hits.groupBy("doc_id", "row", "license", "theirs", "least", "reach").agg(F.array_sort(F.collect_set(F.struct("pos", "gram"))).alias("hits"))
+    hit = lambda i: F.get("hits", i)
+    close = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("hits") - F.col("least"))), lambda i: hit(i + F.col("least") - 1)["pos"] - hit(i)["pos"] < F.col("reach"))
+    places = hits.withColumn("i", F.explode(close)).withColumn("first", hit(F.col("i"))["pos"])
+    places = places.withColumn("near", F.filter(F.slice("hits", F.col("i") + 1, F.col("reach")), lambda x: x["pos"] < F.col("first") + F.col("reach"))).drop("hits", "i")
+    places = staged(places.filter(F.size(F.array_distinct("near.gram")) >= F.col("least")), "licence-places").withColumnsRenamed({"doc_id": "_id", "row": "_row"})
+    found = words.join(probe(places), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")))
+    found = found.withColumn("part", F.slice("words", F.col("first") + 1, F.col("reach") + 1)).drop("words").distinct()
+    width = lambda x: x["pos"] - F.col("first") + 2
+    common = lambda x: F.size(F.array_distinct(F.transform(F.filter("near", lambda y: y["pos"] <= x["pos"]), lambda y: y["gram"])))
+    dice = lambda x: 2.0 * common(x) / (F.size(_bigrams(F.slice("part", F.lit(1), width(x)))) + F.col("theirs"))
+    found = found.withColumn("best", F.array_min(F.transform("near", lambda x: F.struct((-dice(x)).alias("d"), width(x).alias("width"))))).filter(-F.col("best.d") >= threshold)
+    found = found.select("doc_id", "row", "license", "first", (F.col("first") + F.col("best.width")).alias("end"), "best.d", F.array_join(F.slice("part", F.lit(1), F.col("best.width")), " ").alias("unit"))
+    along = Window.partitionBy("doc_id", "row").orderBy("first", "end", "license")
+    before = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("apart", F.coalesce(F.col("first") >= before, F.lit(True)).cast("int")).withColumn("stretch", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    found = found.groupBy("doc_id", "row", "stretch").agg(F.min(F.struct("d", "license", "unit")).alias("best"))
+    return found.select("doc_id", "row", "best.unit", "best.license", (-F.col("best.d")).alias("dice"))
 
 
 def license_units(docs: DataFrame, templates: dict[str, str], threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, row, unit, license, dice) for every unit of a text and template at the threshold; ``row`` as xxhash64(doc_id, text)."""
+    """(doc_id, row, unit, license, dice) for every unit of a text and template at the threshold, and for notices outside such units; ``row`` as xxhash64(doc_id, text)."""
     if not 0 < threshold <= 1:
         raise ValueError("the bounds need a threshold above 0")
     sets = {k: bigrams(t) for k, t in templates.items() if bigrams(t)}
@@ -109,13 +151,20 @@ def license_units(docs: DataFrame, templates: dict[str, str], threshold: float =
     units = F.concat(F.split("text", "\n", -1), F.split("text", r"\n[ \t\r]*\n", -1), F.array("text"))
     shortest = min([_least_common(len(s), threshold) for s in sets.values()], default=1)
     longest = max([math.floor(len(s) * (2 - threshold) / threshold + 1e-9) for s in sets.values()], default=0)
+    whole = some.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     some = some.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.explode(F.array_distinct(F.transform(units, _normal))).alias("unit"))
     some = some.withColumn("own", _bigrams(F.split("unit", " "))).filter(F.size("own").between(shortest, longest))
     some = some.withColumn("mark", F.explode("own")).join(marks, "mark")
     a, b = F.size("own"), F.size("theirs")
     some = some.filter((a >= b * threshold / (2 - threshold) - 1e-9) & (a <= b * (2 - threshold) / threshold + 1e-9))
     dice = 2.0 * F.size(F.array_intersect("own", "theirs")) / (a + b)
-    return some.select("doc_id", "row", "unit", "license", dice.alias("dice")).filter(F.col("dice") >= threshold).distinct()
+    found = some.select("doc_id", "row", "unit", "license", dice.alias("dice")).filter(F.col("dice") >= threshold).distinct()
+    found = staged(found, "licence-units")
+    known = found.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("unit").alias("known"))
+    more = _windows(whole, templates, sets, threshold).join(known, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
+    inside = lambda a, b: F.contains(F.concat(F.lit(" "), b, F.lit(" ")), F.concat(F.lit(" "), a, F.lit(" ")))
+    shown = F.exists("known", lambda u: inside(F.col("unit"), u) | inside(u, F.col("unit")))
+    return found.unionByName(more.filter(~F.coalesce(shown, F.lit(False))).select(*found.columns))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:

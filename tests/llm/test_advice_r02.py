@@ -44,3 +44,16 @@ def test_items_of_few_literal_words_and_short_items_are_found_word_for_word(spar
     dense, names, short = "Calculate 15 + 27 - 9 * 3 and 14 - 8", "Visit Rome Paris Oslo", "Too short"
     texts = [f"Now: {dense}.", dense.replace("27", "28"), "we visit rome paris oslo today", "It is too short now", "too long or short"]
     assert flagged(spark, documents, [dense, names, short, "", "?"], texts) == [1, None, 2, 3, None]
+
+
+# ------------------------------------------------------------------ licences
+
+
+def test_notices_inside_lines_and_comment_blocks(spark, documents):
+    mit = licenses.TEMPLATES["MIT-permission"].split()
+    block = "\n".join(["# Copyright (c) 2020 ACME and all of its many contributors", "#", *(f"# {' '.join(mit[k : k + 9])}" for k in range(0, len(mit), 9)), "#", *["# The above notice and this note shall be part of every copy of it"] * 6])
+    inline = "Copyright (c) 2020 ACME. Released under the MIT License. See file."
+    own = "Released under the MIT License."
+    rows = [(1, inline), (2, block), (3, block.replace("# ", " * ")), (4, f"{own}\nwords\n{inline}"), (5, f"some more words that stand above the notice\n{own}"), (6, "A license of the city to sell the fish"), (None, inline), (None, inline)]
+    got = sorted((str(r["doc_id"]), r["license"], r["n_notices"]) for r in licenses.scan(documents(rows)).collect())
+    assert got == [("1", "MIT", 1), ("2", "MIT-permission", 1), ("3", "MIT-permission", 1), ("4", "MIT", 1), ("5", "MIT", 1), ("6", None, 0), ("None", "MIT", 1), ("None", "MIT", 1)]
