@@ -26,10 +26,13 @@ MIN_CHARS = 16
 BLOCK = 256
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def _lines(docs: DataFrame, min_chars: int, exact_chars: int | None = None) -> DataFrame:
     """(doc_id, row, no, line, n, h1, h2): the lines that take part; ``row`` tells rows of equal id apart."""
     rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    rows = rows.filter(F.length("line") >= min_chars)
+    part = F.length("line") >= min_chars
+    if exact_chars is not None:
+        part = part | ((F.length("line") >= exact_chars) & F.col("line").rlike(r"\S"))
+    rows = rows.filter(part)
     return rows.withColumns({"n": F.length("line"), "h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
@@ -92,21 +95,22 @@ def near_lines(docs: DataFrame, distinct: DataFrame, min_chars: int = MIN_CHARS)
     return pairs.filter(F.levenshtein("a", "b", 1) >= 0).select("h1", "h2")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """``docs`` with lines removed from ``text``, and n_lines, n_removed; all other columns pass through.
 
     A line goes if an equal line, or one within one edit, occurs earlier, in a document of smaller ``doc_id`` or higher
     up in the same one; it goes whether or not that earlier line stays itself. Lines below ``min_chars`` characters
-    stay and count for nothing. Lines of the same id and line number tie and stay (repeated rows). Rows with a null id
+    stay and count for nothing, but with ``exact_chars`` those of at least so many that are not blank go if an equal line
+    occurs earlier. Lines of the same id and line number tie and stay (repeated rows). Rows with a null id
     take no part. Null text stays null with no lines. Columns n_lines and n_removed of ``docs`` are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
     n = F.col("n")
     halves = F.array(*[F.xxhash64(F.lit(side), m, F.substr("line", F.lit(1), h) if side == 0 else F.substr("line", n - h + 1, h)) for m in (n, n - 1) for h in (F.floor(m / 2).cast("int"),) for side in (0, 1)])
-    lines = _lines(docs, min_chars)
+    lines = _lines(docs, min_chars, exact_chars)
     distinct = lines.withColumn("halves", halves).groupBy("h1", "h2")
-    distinct = staged(distinct.agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "no")).alias("first"), F.any_value("halves").alias("halves")), "lines")
-    near = near_lines(docs, distinct, min_chars).withColumn("near", F.lit(True))
+    distinct = staged(distinct.agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "no")).alias("first"), F.any_value("halves").alias("halves"), *([] if exact_chars is None else [F.any_value("n").alias("n")])), "lines")
+    near = near_lines(docs, distinct if exact_chars is None else distinct.filter(n >= min_chars), min_chars).withColumn("near", F.lit(True))
     verdict = distinct.filter("times > 1").select("h1", "h2", "first").join(near, ["h1", "h2"], "full")
     verdict = staged(verdict, "line-verdicts")
     gone = lines.select("doc_id", "row", "no", "h1", "h2").join(probe(verdict), ["h1", "h2"])

@@ -1,9 +1,6 @@
 """Cases of the second round of advice, in which an operator did less than the whole job."""
 
-import pytest
-from pyspark.sql import functions as F
-
-from offerlens.llm import decontaminate, licenses, linededup, neighbours
+from offerlens.llm import decontaminate, licenses, linededup
 
 # ------------------------------------------------------------------ benchmark
 
@@ -57,3 +54,13 @@ def test_notices_inside_lines_and_comment_blocks(spark, documents):
     rows = [(1, inline), (2, block), (3, block.replace("# ", " * ")), (4, f"{own}\nwords\n{inline}"), (5, f"some more words that stand above the notice\n{own}"), (6, "A license of the city to sell the fish"), (None, inline), (None, inline)]
     got = sorted((str(r["doc_id"]), r["license"], r["n_notices"]) for r in licenses.scan(documents(rows)).collect())
     assert got == [("1", "MIT", 1), ("2", "MIT-permission", 1), ("3", "MIT-permission", 1), ("4", "MIT", 1), ("5", "MIT", 1), ("6", None, 0), ("None", "MIT", 1), ("None", "MIT", 1)]
+
+
+# ------------------------------------------------------------------ lines
+
+
+def test_exact_repeats_of_short_lines_can_go(spark, documents):
+    docs = documents([(1, "Read more\n\n  \nabc"), (2, "Read more\nRead mora\n\n  \nxyz")])
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linededup.dedup_lines(docs, exact_chars=1).collect()}
+    assert got == {1: ("Read more\n\n  \nabc", 0), 2: ("Read mora\n\n  \nxyz", 1)}
+    assert linededup.dedup_lines(docs).filter("n_removed > 0").count() == 0
