@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -148,16 +149,19 @@ def search(vectors: DataFrame, queries: Column, k: int = K, trees: int = TREES,
     """(query_id, rank, vec_id, score): for each row of ``vectors`` (vec_id, embedding) that ``queries`` selects its ``k`` nearest.
 
     ``score`` is the Euclidean distance; ties go to the smaller id; a query's own id is never its neighbour. Rows with a
-    null id or a vector that is null, empty, zero or holds a null or non-finite component take no part, nor do vectors
-    of another length than the most frequent one. Rows equal in id and vector are one.
+    null id or a vector that is null, empty, zero or holds a null or non-finite component take no part. Each query is
+    answered among the vectors of its own length, by a forest per length. Rows equal in id and vector are one.
     """
-    spark = vectors.sparkSession
     usable = _usable(vectors)
-    most = usable.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    empty = usable.select(F.col("vec_id").cast("bigint").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    if most is None:
-        return empty
-    dim = most["dim"]
+    lengths = sorted(r["dim"] for r in usable.filter(queries).select(F.size("vec").alias("dim")).distinct().collect())
+    if not lengths:
+        return usable.select(F.col("vec_id").cast("bigint").alias("query_id"), F.lit(0).alias("rank"), F.col("vec_id").cast("bigint").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
+    return reduce(DataFrame.union, [_search(usable, queries, dim, k, trees, depth, share) for dim in lengths])
+
+
+def _search(usable: DataFrame, queries: Column, dim: int, k: int, trees: int, depth: int, share: float) -> DataFrame:
+    """``search`` among the vectors of length ``dim``."""
+    spark = usable.sparkSession
     usable = usable.filter(F.size("vec") == dim)
     places = F.dense_rank().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))
     distinct = usable.withColumn("n", places).filter(F.col("n") <= k + 1).groupBy("k1", "k2").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"), F.any_value("vec").alias("vec"))

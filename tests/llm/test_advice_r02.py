@@ -1,6 +1,8 @@
 """Cases of the second round of advice, in which an operator did less than the whole job."""
 
-from offerlens.llm import decontaminate, licenses, linededup
+from pyspark.sql import functions as F
+
+from offerlens.llm import decontaminate, licenses, linededup, neighbours
 
 # ------------------------------------------------------------------ benchmark
 
@@ -64,3 +66,12 @@ def test_exact_repeats_of_short_lines_can_go(spark, documents):
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linededup.dedup_lines(docs, exact_chars=1).collect()}
     assert got == {1: ("Read more\n\n  \nabc", 0), 2: ("Read mora\n\n  \nxyz", 1)}
     assert linededup.dedup_lines(docs).filter("n_removed > 0").count() == 0
+
+
+# ------------------------------------------------------------------ neighbours
+
+
+def test_vectors_of_every_length_are_answered(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [3.0, 0.0]), (100, [1.0, 0.0, 0.0]), (101, [1.0, 0.0, 2.0]), (200, [5.0])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), F.col("vec_id") % 100 == 0).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(0, 1, 1, 1.0), (0, 2, 2, 2.0), (100, 1, 101, 2.0)]
