@@ -6,7 +6,7 @@ import importlib
 
 from offerlens.llm.common import OPS
 
-MODULES = ("langid", "linededup", "simhash", "decontaminate", "pieces", "tokencount", "quality", "licenses", "neighbours", "suffixdedup")
+MODULES = ("langid", "linededup", "simhash", "decontaminate", "pieces", "tokencount", "quality", "licenses", "neighbours", "suffixdedup", "merkle", "bytepairs", "centroids")
 
 
 def load() -> dict:
