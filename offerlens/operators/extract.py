@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from offerlens.functions import dates, html, titles, urls
 from offerlens.functions.text import all_matches, first_match, head, sentence_list, squash
 from offerlens.operators.keys import first_by, limit_per_group
+from offerlens.operators.similarity import sequence_ratio
 
 PARSED = {"raw_title": "string", "heading": "string", "text": "string", "links": "array<struct<url:string,anchor:string>>"}
 NAMED_URL = r"https?://[^\s<>'\"]+"
@@ -525,33 +526,6 @@ def condition_sections(title: Column, summary: Column) -> Column:
 # ---------------------------------------------------------------- list/detail agreement
 
 
-def matched_characters(a: str, b: str) -> int:
-    """Characters in the longest common block and, to its left and right, in theirs; ties go to the earliest in ``a``, then ``b``."""
-    total, open_ = 0, [(0, len(a), 0, len(b))]
-    while open_:
-        i0, i1, j0, j1 = open_.pop()
-        best, at_i, at_j = 0, i0, j0
-        above = [0] * (j1 - j0 + 1)  # above[k]: length of the common block that ends before j0 + k in the row above
-        for i in range(i0, i1):
-            row, c = [0] * len(above), a[i]
-            for k in range(1, len(row)):
-                if b[j0 + k - 1] == c:
-                    row[k] = above[k - 1] + 1
-                    if row[k] > best:
-                        best, at_i, at_j = row[k], i - row[k] + 1, j0 + k - row[k]
-            above = row
-        if best:
-            total += best
-            open_ += [(i0, at_i, j0, at_j), (at_i + best, i1, at_j + best, j1)]
-    return total
-
-
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Matching-block similarity: twice the matched characters over both lengths; called on pruned pairs only."""
-    return pd.Series([2 * matched_characters(a, b) / (len(a) + len(b)) if a or b else 1.0 for a, b in zip(left, right)])
-
-
 def reconcile_detail(listed: DataFrame, detailed: DataFrame, key: str = "external_id", threshold: float = 0.55) -> DataFrame:
     """Listing row ⟕ detail row by id; a detail that is about something else loses to the listing.
 

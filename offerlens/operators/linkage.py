@@ -14,16 +14,12 @@ without writing each of them out.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions import dates, titles, urls
-from offerlens.functions.text import let
-from offerlens.operators.extract import sequence_ratio
+from offerlens.operators.similarity import RATIO, sequence_ratio, similar_titles
 
-RATIO = 0.78
 MIN_CORE = 3
 _SEP = "\u0001"
 
@@ -100,66 +96,6 @@ def keyed_announcements(anns: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- title pairs
 
 
-def _tokens(text: Column) -> Column:
-    """Characters numbered by occurrence, so that set overlap equals multiset overlap."""
-    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
-    return let(
-        chars,
-        lambda run: F.transform(
-            run, lambda c, i: F.concat(c, (i - F.array_position(run, c).cast("int") + 1).cast("string"))
-        ),
-    )
-
-
-def _prefixed(titles_df: DataFrame, frequency: DataFrame, ratio: float, side: str) -> DataFrame:
-    """Each title with its rarest tokens — enough of them that two similar titles must share one.
-
-    ratio >= t needs an overlap of at least t/(2-t) of either length, so the
-    prefix is all but that many tokens, plus one. Lossless for every length.
-    """
-    exploded = titles_df.select("provider_id", "norm", F.explode(_tokens(F.col("norm"))).alias("token"))
-    ranked = exploded.join(frequency, "token").groupBy("provider_id", "norm").agg(
-        F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("ranked")
-    )
-    need = F.ceil(F.length("norm") * F.lit(ratio / (2 - ratio)) - F.lit(1e-9))
-    prefix = F.slice(
-        F.transform("ranked", lambda t: t["token"]), F.lit(1), (F.length("norm") - need + 1).cast("int")
-    )
-    return ranked.select(
-        "provider_id", F.col("norm").alias(f"{side}_norm"), prefix.alias(f"{side}_prefix")
-    ).withColumn("token", F.explode(f"{side}_prefix"))
-
-
-def similar_titles(left: DataFrame, right: DataFrame, ratio: float = RATIO) -> DataFrame:
-    """Pairs of distinct titles of one provider whose matching-block ratio reaches ``ratio``.
-
-    A prefix-filter join on rare characters, pruned by length, then by exact
-    character overlap (an upper bound of the ratio), all in the JVM; only
-    survivors reach the Python similarity.
-    """
-    a = left.select("provider_id", "norm").distinct()
-    n = right.select("provider_id", "norm").distinct()
-    # One row per (character, occurrence): bounded by the alphabet, not by the data.
-    frequency = (
-        a.unionByName(n)
-        .select(F.explode(_tokens(F.col("norm"))).alias("token"))
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("freq"))
-    )
-    pa, pn = _prefixed(a, frequency, ratio, "a"), _prefixed(n, frequency, ratio, "n")
-    la, ln = F.length("a_norm"), F.length("n_norm")
-    near = 2 * F.least(la, ln) >= F.lit(ratio) * (la + ln) - F.lit(1e-9)
-    pairs = pa.join(pn, ["provider_id", "token"]).filter(near)
-    # Keep a pair at its first shared token only, instead of a distinct over all hits.
-    once = pairs.filter(F.get(F.array_intersect("a_prefix", "n_prefix"), 0) == F.col("token"))
-    shared = F.size(F.array_intersect(_tokens(F.col("a_norm")), _tokens(F.col("n_norm"))))
-    close = once.select("provider_id", "a_norm", "n_norm").filter(
-        2 * shared >= F.lit(ratio) * (la + ln) - F.lit(1e-9)
-    )
-    scored = close.withColumn("score", sequence_ratio("a_norm", "n_norm"))
-    return scored.filter(F.col("score") >= ratio)
-
-
 def _grams(text: Column, n: int) -> Column:
     return F.array_distinct(
         F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, n))
@@ -348,7 +284,8 @@ def evidence_of(activity_ids: DataFrame, links: DataFrame, notices: DataFrame) -
         F.min("quota_excerpt").alias("excerpt"),
         *[F.min(c).alias(c) for c in extra],
     )
-    scored = found.filter("score IS NOT NULL").unionByName(found.filter("score IS NULL").withColumn("score", sequence_ratio("__a", "__n")))
+    by_core = F.col("score").isNull()
+    scored = found.withColumn("score", F.coalesce("score", sequence_ratio(F.when(by_core, F.col("__a")), F.when(by_core, F.col("__n")))))
     kind = F.concat_ws(":", F.lit("latest_announcement"), "method", F.format_string("%.2f", "score"))
     return scored.withColumn("kind", kind).drop("__a", "__n")
 
@@ -357,8 +294,3 @@ def components_of(activity_ids: DataFrame, links: DataFrame, notices: DataFrame)
     """Sold-out parts that announcements add to chosen offers, as distinct rows (activity_id, status, period, component, evidence)."""
     rows = _written_pairs(activity_ids, links, notices).select("activity_id", F.explode("quota_components").alias("c"))
     return rows.select("activity_id", "c.status", "c.period", "c.component", "c.evidence").distinct()
-
-
-def required_overlap(length: int, ratio: float = RATIO) -> int:
-    """Tokens a title of this length must share with any title at ``ratio`` (for tests and sizing)."""
-    return math.ceil(length * ratio / (2 - ratio) - 1e-9)

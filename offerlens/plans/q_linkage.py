@@ -147,15 +147,53 @@ def link_titles_contained(t: Tables):
     return linkage.contained_cores(acts, anns)
 
 
-@query("link_titles_similar")
+# The matching-block ratio as SQL: the longest common block of two titles (earliest in the first, then in the second), then
+# the same to its left and to its right, until nothing is shared. A block is coded as length * 1000 + 999 - place.
+_BLOCK = """coalesce(list_max(flatten(list_transform(range(1, length({a}) + 1), lambda k: list_transform(range(1, length({a}) - k + 2),
+  lambda i: CASE WHEN contains({b}, substr({a}, i, k)) THEN k * 1000 + 999 - i END)))), 0)"""
+_CHARACTERS = "list_transform(range(1, length({x}) + 1), lambda i: substr({x}, i, 1) || '#' || length(list_filter(string_split(substr({x}, 1, i), ''), lambda c: c = substr({x}, i, 1))))"
+
+
+def ratio_sql(left: str, right: str) -> str:
+    """CTEs that end in ``alike``: (provider_id, a_norm, n_norm, score) of distinct titles (provider_id, norm) that reach the ratio."""
+    share = linkage.RATIO / 2
+    return f"""a_titles AS MATERIALIZED (SELECT provider_id, norm, {_CHARACTERS.format(x="norm")} AS chars FROM (SELECT DISTINCT provider_id, norm FROM {left} WHERE norm <> '')),
+n_titles AS MATERIALIZED (SELECT provider_id, norm, {_CHARACTERS.format(x="norm")} AS chars FROM (SELECT DISTINCT provider_id, norm FROM {right} WHERE norm <> '')),
+pairs AS MATERIALIZED (SELECT row_number() OVER () AS id, a.provider_id, a.norm AS a_norm, n.norm AS n_norm, len(a.chars) + len(n.chars) AS both_chars
+  FROM a_titles a JOIN n_titles n ON n.provider_id = a.provider_id AND least(len(a.chars), len(n.chars)) >= {share} * (len(a.chars) + len(n.chars)) - 1e-9
+  WHERE len(list_intersect(a.chars, n.chars)) >= {share} * (len(a.chars) + len(n.chars)) - 1e-9),
+blocks AS (SELECT id, a_norm AS a, n_norm AS b, {_BLOCK.format(a="a_norm", b="n_norm")} AS block FROM pairs
+  UNION ALL SELECT id, a, b, {_BLOCK.format(a="a", b="b")} FROM (
+    SELECT id, part.a AS a, part.b AS b FROM (
+      SELECT id, unnest([{{'a': substr(a, 1, i - 1), 'b': substr(b, 1, j - 1)}}, {{'a': substr(a, i + k), 'b': substr(b, j + k)}}]) AS part FROM (
+        SELECT id, a, b, k, i, instr(b, substr(a, i, k)) AS j FROM (SELECT id, a, b, block // 1000 AS k, 999 - block % 1000 AS i FROM blocks WHERE block > 0))))
+  WHERE a <> '' AND b <> ''),
+alike AS MATERIALIZED (SELECT provider_id, a_norm, n_norm, 2 * matched / both_chars AS score FROM pairs JOIN (SELECT id, sum(block // 1000) AS matched FROM blocks GROUP BY id) USING (id)
+  WHERE 2 * matched / both_chars >= {linkage.RATIO})"""
+
+
+_NORM = "lower(regexp_replace({x}, '[^0-9A-Za-z]', '', 'g'))"
+PART_TITLES_SQL = f"""acts AS MATERIALIZED (SELECT p_partkey AS k, p_brand AS provider_id, {_NORM.format(x="p_name")} AS norm, {_CORE.format(x="p_name")} AS core,
+  CASE WHEN p_size % 2 = 0 THEN p_size % 12 + 1 END AS month FROM part),
+anns AS MATERIALIZED (SELECT p_partkey AS k, p_brand AS provider_id, {_NORM.format(x="p_type || p_name")} AS norm, {_CORE.format(x="p_type || p_name")} AS core,
+  CASE p_size % 3 WHEN 0 THEN 7 WHEN 1 THEN p_size % 12 + 1 END AS month, p_size % 3 <> 0 AS sold FROM part)"""
+
+
+@query("link_titles_similar", f"WITH RECURSIVE {PART_TITLES_SQL}, {ratio_sql('acts', 'anns')} SELECT provider_id, a_norm, n_norm, round(score, 6) AS score FROM alike")
 def link_titles_similar(t: Tables):
-    """Similar part titles of one brand. No SQL: the matching-block ratio has no SQL form."""
+    """Similar part titles of one brand."""
     acts, anns = part_titles(t)
     out = linkage.similar_titles(acts, anns)
     return out.select("provider_id", "a_norm", "n_norm", F.round("score", 6).alias("score"))
 
 
-@query("link_document_titles")
+_LINE = f"coalesce(list_filter(string_split(text, chr(10)), lambda x: length(x) BETWEEN 4 AND 120)[1], '{titles.UNKNOWN_TITLE}')"
+_BARE = f"regexp_replace({_LINE}, '{titles.NOTICE_BRACKET}', '', 'g')"
+DOCUMENT_TITLES_SQL = f"""lines AS MATERIALIZED (SELECT source AS provider_id,
+  regexp_replace(lower(regexp_replace({_BARE}, '[^0-9A-Za-z\u4e00-\u9fff]', '', 'g')), '{titles.NOTICE_WORDS}', '', 'g') AS norm FROM documents)"""
+
+
+@query("link_document_titles", f"WITH RECURSIVE {DOCUMENT_TITLES_SQL}, {ratio_sql('lines', 'lines')} SELECT provider_id, a_norm, n_norm, round(score, 6) AS score FROM alike")
 def link_document_titles(t: Tables):
     """Similar titles among the documents of a source; the title is the first fitting line."""
     title = titles.best_title(F.lit(""), F.lit(""), F.col("text"))
@@ -165,8 +203,40 @@ def link_document_titles(t: Tables):
     return linkage.similar_titles(lines, lines).select("provider_id", "a_norm", "n_norm", F.round("score", 6).alias("score"))
 
 
-@query("apply_title_matches")
+_MONTHS = "(a.month IS NULL OR n.month IS NULL OR a.month = n.month)"
+_INSIDE = "((length(a.core) >= 3 AND contains(n.core, a.core)) OR (length(n.core) >= 3 AND contains(a.core, n.core)))"
+
+
+@query(
+    "apply_title_matches",
+    f"""WITH RECURSIVE {PART_TITLES_SQL}, {ratio_sql("acts", "anns")},
+n AS (SELECT provider_id, norm, core, month, bool_or(sold) AS sold FROM anns GROUP BY ALL),
+a AS (SELECT provider_id, norm, core, month FROM acts GROUP BY ALL),
+hit AS (SELECT a.provider_id, a.norm, a.core, a.month, bool_or(n.sold) AS sold FROM a JOIN n ON n.provider_id = a.provider_id AND {_MONTHS}
+  LEFT JOIN alike s ON s.provider_id = a.provider_id AND s.a_norm = a.norm AND s.n_norm = n.norm WHERE s.score IS NOT NULL OR {_INSIDE} GROUP BY ALL)
+SELECT CAST(k AS VARCHAR) AS activity_id, hit.sold IS NOT NULL AS matched, CASE WHEN hit.sold THEN 'sold_out' WHEN NOT hit.sold THEN 'partial_sold_out' ELSE 'not_marked_full' END AS new_status
+FROM acts LEFT JOIN hit ON hit.provider_id = acts.provider_id AND hit.norm = acts.norm AND hit.core = acts.core AND hit.month IS NOT DISTINCT FROM acts.month""",
+)
 def apply_title_matches(t: Tables):
     """Statuses from title matches alone: ratio or containment, months not in conflict."""
     acts, anns = part_titles(t)
     return linkage.apply_matches(acts, anns).select("activity_id", "matched", "new_status")
+
+
+def _key_sql(kind: str) -> str:
+    return f"'{kind}' || chr(1) || n.provider_id || chr(1) || n.{kind} || chr(1) || coalesce(CAST(pow(2, n.month - 1) AS INTEGER), 0)"
+
+
+@query(
+    "title_evidence_links",
+    f"""WITH RECURSIVE {PART_TITLES_SQL}, {ratio_sql("acts", "anns")}
+SELECT DISTINCT CAST(a.k AS VARCHAR) AS activity_id, {_key_sql("norm")} AS key, 'normalized_title_period' AS method, round(s.score, 6) AS score
+FROM acts a JOIN alike s ON s.provider_id = a.provider_id AND s.a_norm = a.norm JOIN anns n ON n.provider_id = a.provider_id AND n.norm = s.n_norm AND {_MONTHS}
+UNION ALL SELECT DISTINCT CAST(a.k AS VARCHAR), {_key_sql("core")}, 'normalized_title_period', NULL
+FROM acts a JOIN (SELECT DISTINCT provider_id, core, month FROM anns WHERE length(core) >= 3) n ON n.provider_id = a.provider_id AND {_MONTHS} AND length(a.core) >= 3 AND {_INSIDE}""",
+)
+def title_evidence_links(t: Tables):
+    """Evidence by title as (offer, announcement key) rows: one for all announcements of a title form and month set."""
+    acts, anns = part_titles(t)
+    links = linkage.activity_links(acts.withColumn("keys", F.expr("cast(array() as array<string>)")), linkage.title_links(acts, anns))
+    return links.select("activity_id", "key", "method", F.round("score", 6).alias("score"))

@@ -2,12 +2,15 @@
 
 import random
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from offerlens.functions import titles
-from offerlens.operators import extract, linkage, quota
+from offerlens.operators import linkage, quota, similarity
 
 SOLD, PART = "本活動回饋已全數額滿", "7月份週六加碼已額滿"
 ACT = "activity_id string, provider_id string, url string, title string, text string, quota_status string"
@@ -161,9 +164,87 @@ def test_hot_core_is_one_key_per_month_set(spark):
     assert all(r.new_status == "sold_out" for r in linkage.apply_matches(a, n).collect())
 
 
-def test_own_ratio_equals_the_standard_one():
-    rng = random.Random(11)
-    for _ in range(3000):
-        a, b = ("".join(rng.choice("abcd夜市") for _ in range(rng.randint(0, 14))) for _ in range(2))
-        m = sum(x.size for x in SequenceMatcher(None, a, b).get_matching_blocks())
-        assert extract.matched_characters(a, b) == m, (a, b)
+def all_pairs(left, right):
+    return {(p, a, b): SequenceMatcher(None, a, b).ratio() for p, a in set(left) for q, b in set(right) if p == q and a and b and SequenceMatcher(None, a, b).ratio() >= 0.78}
+
+
+@pytest.mark.parametrize("largest", [4096, 7])
+def test_similar_titles_of_any_alphabet_against_all_pairs(spark, largest):
+    """Mixed alphabets and lengths, hot providers, keys split by second and third grams and by blocks."""
+    rng = random.Random(largest)
+    syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve 夜市 超商 滿額 現金 咖啡".split()
+    stems = ["".join(rng.choices(syllables[: rng.choice((6, 30, 35))], k=rng.randint(1, 30))) for _ in range(24)] + ["".join(rng.choices("ab", k=rng.randint(1, 9))) for _ in range(14)]
+
+    def edited(t):
+        out = list(t)
+        for _ in range(rng.randint(0, len(out) // 4 + 1)):
+            at = rng.randrange(len(out) + 1)
+            out[at : at + rng.randint(0, 1)] = rng.choice(("", "x", "市", "th"))
+        return "".join(out)
+
+    titled = lambda n: [(rng.choice(("hot", "hot", "p2", None)), edited(rng.choice(stems))) for _ in range(n)]
+    left, right = titled(220), titled(220) + [("hot", ""), ("hot", None)]
+    left += right[:20]
+    cols = "provider_id string, norm string"
+    got = similarity.similar_titles(spark.createDataFrame(left, cols), spark.createDataFrame(right, cols), largest=largest).collect()
+    want = all_pairs([x for x in left if x[0] and x[1]], [x for x in right if x[0] and x[1]])
+    assert {(r.provider_id, r.a_norm, r.n_norm): r.score for r in got} == want
+    assert len(got) == len(want) > 200
+
+
+def test_no_key_stays_large_where_titles_share_enough(spark):
+    """5000 titles of one provider and one phrase: keys of two and three grams hold a small share of them."""
+    rng = random.Random(3)
+    words = "dining market coffee weekend cashback summer voucher station online travel rewards member".split()
+    rows = [(k, "hot", "special offer " + " ".join(rng.sample(words, 4)) + f" {k}") for k in range(5000)]
+    keys = similarity.title_keys(spark.createDataFrame(rows, "id bigint, provider_id string, norm string"), largest=400)
+    sizes = keys.groupBy("band", "key", "pair").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 2 * 400 + 100
+    assert sizes.filter("key LIKE '% %'").count() > 0
+
+
+def test_bounds_of_shared_grams_hold():
+    """Whatever two titles reach the ratio, they share as many grams as the keys rely on, and lie in neighbouring bands."""
+    rng = random.Random(12)
+    lows = similarity.bands(0.78, 400)
+    band = lambda t: sum(low <= len(t) for low in lows) - 1
+    seen = 0
+    for _ in range(6000):
+        a = "".join(rng.choices("abcdef夜", k=rng.randint(1, 40)))
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 4 + 1)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = rng.choice(("", "x", "a"))
+        b = "".join(b)
+        if not b or SequenceMatcher(None, a, b).ratio() < 0.78:
+            continue
+        seen += 1
+        low = lows[min(band(a), band(b))]
+        assert abs(band(a) - band(b)) <= 1
+        for width in (1, 2):
+            grams = [Counter(t[k : k + width] for k in range(len(t) - width + 1)) for t in (a, b)]
+            assert (grams[0] & grams[1]).total() >= max(similarity.shared_grams(len(t), low, 0.78, width) for t in (a, b))
+    assert seen > 2000
+
+
+def test_bound_of_matched_characters_is_the_longest_common_subsequence():
+    rng = random.Random(13)
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for k, y in enumerate(b):
+                before, row[k + 1] = row[k + 1], before + 1 if x == y else max(row[k], row[k + 1])
+        return row[-1]
+
+    titles = ["".join(rng.choices("abcd夜", k=rng.choice((1, 5, 30, 63, 64, 65, 130, 600)))) for _ in range(60)]
+    batch = similarity._Batch(titles, 0.78)
+    pairs = [(i, j) for i in range(60) for j in range(60)]
+    got = batch.close(np.array([i for i, _ in pairs]), np.array([j for _, j in pairs]))
+    for (i, j), close in zip(pairs, got):
+        a, b = sorted((titles[i], titles[j]), key=len)
+        reach = 2 * lcs(a, b) >= 0.78 * (len(a) + len(b))
+        assert close or not reach
+        if len(a) <= similarity.PATTERN:
+            assert close == reach
