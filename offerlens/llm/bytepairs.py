@@ -1,8 +1,9 @@
 """Byte-level BPE by a monoid tree reduction.
 
 Tokens of neighbouring byte strings form a monoid under *joining*: the tokens of a concatenation follow from the tokens of
-its parts. A piece is halved down to single bytes and joined up again. A join re-encodes a window at the boundary, one
-token wide on each side at first, and widens a side until the outermost token of that side comes out as it went in.
+its parts. A piece is halved down to leaves of a few bytes and joined up again. Unless the two tokens at the boundary are
+stable side by side, a join re-encodes a window there and widens each side until its outermost token comes out as it
+went in.
 
 That proves the tokens outside the window stable. Merging by rank gives ``t1 .. tn`` exactly if each token encodes to
 itself and each two neighbours encode to these two: the merges inside two neighbours are the same and in the same order
@@ -16,7 +17,7 @@ Decoding concatenates the tokens' bytes up a tree of halves. A text is split by
 from __future__ import annotations
 
 import base64
-import heapq
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -31,12 +32,10 @@ from pyspark.sql import functions as F
 from offerlens.llm.common import columns_of, op, table, utf8
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Matches, halves and boundary windows that a worker remembers each, and their greatest lengths in bytes.
-REMEMBERED, REMEMBERED_BYTES, HALF_BYTES = 400_000, 64, 8
+#: Matches, leaves and pairs of tokens that a worker remembers each; characters of a match that is remembered; bytes of a leaf.
+REMEMBERED, REMEMBERED_CHARS, LEAF_BYTES = 600_000, 32, 8
 #: Matches of a text that are in memory at a time; bytes of tokens that leave as one batch; ids of a leaf when decoding.
 MATCHES, BATCH_BYTES, LEAF = 1 << 16, 1 << 25, 1 << 12
-#: Windows of more parts are merged through a heap.
-SMALL = 48
 
 #: Code points that are letters or numbers since a later Unicode version than 16, which the tokenizer's
 #: splitter knows; to it they are neither.
@@ -75,11 +74,39 @@ class Splitter:
         self.strict = regex.compile(f"(?V1){strict}")
 
     def __call__(self, text: str) -> Iterator[list[str]]:
-        use = self.plain if text.isascii() or not self.newer.search(text) else self.strict
+        use = self.strict if self._newer(text) else self.plain
+        if len(text) <= MATCHES:
+            yield use.findall(text)
+            return
         found = use.finditer(text)
         while block := [m[0] for m in islice(found, MATCHES)]:
             yield block
 
+    def _newer(self, text: str) -> bool:
+        if text.isascii():
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.newer.search(text) is not None
+        return False
+
+
+class _Known(dict):
+    """Match -> its packed ids, as far as remembered."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, match: str) -> bytes:
+        ids = self.vocabulary.packed(match)
+        if len(match) <= REMEMBERED_CHARS:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[match] = ids
+        return ids
+
 
 class Vocabulary:
     """Encodes and decodes; ``tokens``: bytes by id."""
@@ -88,16 +115,16 @@ class Vocabulary:
         self.tokens = tokens
         self.rank = {t: k for k, t in enumerate(tokens) if t}
         self.split = Splitter(pattern)
-        self.windows: dict[tuple[bytes, bytes], list[bytes]] = {}
-        self.halves: dict[bytes, list[bytes]] = {}
-        self.known: dict[str, bytes] = {}
+        self.longest = max(map(len, tokens))
+        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.alone: dict[bytes, bool] = {}
+        self.leaves: dict[bytes, list[bytes]] = {}
+        self.known = _Known(self)
 
     def merged(self, window: bytes) -> list[bytes]:
-        """Tokens of a window from single bytes by the least rank, leftmost first."""
+        """Tokens of a string by the definition: from single bytes by the least rank, leftmost first."""
         rank = self.rank
         parts = [window[k : k + 1] for k in range(len(window))]
-        if len(parts) > SMALL:
-            return self._merged_by_heap(parts)
         none = len(self.tokens)
         pairs = [rank.get(a + b, none) for a, b in zip(parts, parts[1:])]
         while pairs and (best := min(pairs)) < none:
@@ -110,70 +137,99 @@ class Vocabulary:
                 pairs[at] = rank.get(parts[at] + parts[at + 1], none)
         return parts
 
-    def _merged_by_heap(self, parts: list[bytes]) -> list[bytes]:
-        rank, end = self.rank, len(parts)
-        left, right = list(range(-1, end - 1)), list(range(1, end + 1))
-        queue = [(rank[t], k, t) for k in range(end - 1) if (t := parts[k] + parts[k + 1]) in rank]
-        heapq.heapify(queue)
-        while queue:
-            _, k, token = heapq.heappop(queue)
-            if not parts[k] or right[k] >= end or parts[k] + parts[right[k]] != token:
-                continue  # one of the two has changed since
-            gone = right[k]
-            parts[k], parts[gone], right[k] = token, b"", right[gone]
-            if right[k] < end:
-                left[right[k]] = k
-            for at in (left[k], k):
-                if at >= 0 and right[at] < end and (t := parts[at] + parts[right[at]]) in rank:
-                    heapq.heappush(queue, (rank[t], at, t))
-        return [p for p in parts if p]
+    def stable(self, a: bytes, b: bytes) -> bool:
+        """Whether two tokens side by side encode to themselves."""
+        found = self.pairs.get((a, b))
+        if found is None:
+            found = self.pairs[a, b] = self._apart(a, b)
+        return found
+
+    def _apart(self, a: bytes, b: bytes) -> bool:
+        """Whether merging two tokens side by side never crosses from one to the other, and rebuilds both."""
+        rank, both, edge = self.rank, a + b, len(a) - 1
+        parts = [both[k : k + 1] for k in range(len(both))]
+        none = len(self.tokens)
+        ranks = [rank.get(x + y, none) for x, y in zip(parts, parts[1:])]
+        while (best := min(ranks)) < none:
+            at = ranks.index(best)
+            if at == edge:
+                return False
+            parts[at : at + 2] = [self.tokens[best]]
+            del ranks[at]
+            edge -= at < edge
+            if at:
+                ranks[at - 1] = rank.get(parts[at - 1] + parts[at], none)
+            if at < len(ranks):
+                ranks[at] = rank.get(parts[at] + parts[at + 1], none)
+        return len(parts) == 2
+
+    def _alone(self, token: bytes) -> bool:
+        found = self.alone.get(token)
+        if found is None:
+            found = self.alone[token] = self.merged(token) == [token]
+        return found
+
+    def window(self, data: bytes) -> list[bytes]:
+        """Tokens of a window: the one sequence of tokens that are all stable beside each other.
+
+        The longest token is tried first. The tokens in front of a place are the encoding of the bytes in front of it, so
+        they are the only ones there; a place from which nothing leads on is no boundary and is not tried again.
+        """
+        rank, out, place, size, dead = self.rank, [], 0, self.longest, set()
+        while place < len(data):
+            size = min(size, len(data) - place)
+            while size:
+                token = data[place : place + size]
+                if token in rank and place + size not in dead and (self.stable(out[-1], token) if out else self._alone(token)):
+                    break
+                size -= 1
+            if size:
+                out.append(token)
+                place, size = place + size, self.longest
+            else:
+                dead.add(place)
+                size = len(out[-1]) - 1
+                place -= len(out.pop())
+        return out
 
     def join(self, a: list[bytes], b: list[bytes]) -> list[bytes]:
         """Tokens of two neighbouring strings from the tokens of each."""
-        edge = (a[-1], b[0])
-        window = self.windows.get(edge)
-        if window is None:
-            window = self.windows[edge] = self.merged(a[-1] + b[0])
-        i = j = 1
+        if self.stable(a[-1], b[0]):
+            return a + b
+        i, j = min(2, len(a)), min(2, len(b))  # one token a side cannot come out as it went in
         while True:
+            window = self.window(b"".join(a[len(a) - i :]) + b"".join(b[:j]))
             left = i == len(a) or window[0] == a[-i]
             right = j == len(b) or window[-1] == b[j - 1]
             if left and right:
                 return a[: len(a) - i] + window + b[j:]
             i = i if left else min(2 * i, len(a))
             j = j if right else min(2 * j, len(b))
-            window = self.merged(b"".join(a[len(a) - i :]) + b"".join(b[:j]))
 
     def tree(self, data: bytes) -> list[bytes]:
-        """Tokens of a string, joined up from its halves; the first half is a power of two."""
-        out = self.halves.get(data)
-        if out is None:
-            if len(data) < 2:
-                return [data] if data else []
+        """Tokens of a string, joined up from its halves; the first half is a power of two, a leaf one window."""
+        if len(data) > LEAF_BYTES:
             middle = 1 << (len(data) - 1).bit_length() - 1
-            out = self.join(self.tree(data[:middle]), self.tree(data[middle:]))
-            if len(data) <= HALF_BYTES:
-                self.halves[data] = out
+            return self.join(self.tree(data[:middle]), self.tree(data[middle:]))
+        out = self.leaves.get(data)
+        if out is None:
+            out = self.leaves[data] = self.window(data)
         return out
 
-    def _packed(self, match: str) -> bytes:
+    def packed(self, match: str) -> bytes:
+        """Ids of one match: of itself if it is a token, else of its tree."""
         data = match.encode("utf-8", "replace")
         whole = self.rank.get(data)
         ids = [self.rank[t] for t in self.tree(data)] if whole is None else [whole]
-        out = np.array(ids, dtype="<u4").tobytes()
-        for memory in (self.windows, self.halves, self.known):
+        for memory in (self.pairs, self.leaves):
             if len(memory) >= REMEMBERED:
                 memory.clear()
-        if len(data) <= REMEMBERED_BYTES:
-            self.known[match] = out
-        return out
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; null is empty."""
-        known, out = self.known, []
-        for block in self.split(text) if text else ():
-            out.append(b"".join([known.get(m) or self._packed(m) for m in block]))
-        return b"".join(out)
+        known = self.known.__getitem__
+        return b"".join([b"".join(map(known, block)) for block in self.split(text)]) if text else b""
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a row of ids."""
@@ -231,41 +287,31 @@ def encode(docs: DataFrame, tokens: tuple[bytes, ...], keep: list[Column], patte
     return _map(rows, "ids", derive, columns_of(rows, "_text", "ids array<int>"))
 
 
-def _slices(ids: pa.ListArray) -> Iterator[np.ndarray]:
-    values = ids.values.to_numpy(zero_copy_only=False)
-    ends = ids.offsets.to_numpy()
-    return (values[a:b] for a, b in zip(ends, ends[1:]))
-
-
-def _bytes_column(rows: DataFrame, ids: str, keep: list[str], name: str, fn) -> DataFrame:
-    """Columns ``keep`` with ``name``: the bytes that ``fn`` makes of each row's ids; null ids are none."""
-    if name in keep:
-        raise ValueError(f"a kept column is named {name}")
+def decode(rows: DataFrame, tokens: tuple[bytes, ...], keep: list[str], ids: str = "ids") -> DataFrame:
+    """Columns ``keep`` of ``rows`` with ``coded``: the ids of column ``ids`` as little-endian unsigned 32-bit integers (``packed``) and the
+    bytes of their tokens (``decoded``). Null ids are none; an unknown id is an error. ``keep`` must not hold a column ``coded``.
+    """
+    if "coded" in keep:
+        raise ValueError("a kept column is named coded")
     chosen = rows.select(*keep, F.coalesce(ids, F.expr("cast(array() as array<int>)")).alias("_ids"))
+    shipped = rows.sparkSession.sparkContext.broadcast((tokens, public_tokenizers.PATTERN))  # as large as the vocabulary
+
+    def structs(held: list[tuple[bytes, bytes]]) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array([h[k] for h in held], pa.binary()) for k in (0, 1)], names=["packed", "decoded"])
 
     def derive(column: pa.Array) -> Iterator[pa.Array]:
-        held, size = [], 0
-        for row in _slices(column):
-            held.append(fn(row))
-            size += len(held[-1])
+        work, held, size = _vocabulary(*shipped.value), [], 0
+        values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        for a, b in zip(ends, ends[1:]):
+            held.append((values[a:b].astype("<u4").tobytes(), work.decode(values[a:b])))
+            size += len(held[-1][0]) + len(held[-1][1])
             if size >= BATCH_BYTES:
-                yield pa.array(held, pa.binary())
+                yield structs(held)
                 held, size = [], 0
         if held:
-            yield pa.array(held, pa.binary())
-
-    return _map(chosen, name, derive, columns_of(chosen, "_ids", f"{name} binary"))
-
-
-def decode(rows: DataFrame, tokens: tuple[bytes, ...], keep: list[str], ids: str = "ids") -> DataFrame:
-    """Columns ``keep`` of ``rows`` with ``decoded``, the bytes of the tokens in column ``ids``; an unknown id is an error."""
-    shipped = rows.sparkSession.sparkContext.broadcast((tokens, public_tokenizers.PATTERN))
-    return _bytes_column(rows, ids, keep, "decoded", lambda row: _vocabulary(*shipped.value).decode(row))
-
+            yield structs(held)
 
-def packed(rows: DataFrame, keep: list[str], ids: str = "ids") -> DataFrame:
-    """Columns ``keep`` of ``rows`` with ``packed``, the ids as little-endian unsigned 32-bit integers."""
-    return _bytes_column(rows, ids, keep, "packed", lambda row: row.astype("<u4").tobytes())
+    return _map(chosen, "coded", derive, columns_of(chosen, "_ids", "coded struct<packed:binary,decoded:binary>"))
 
 
 @op("op13_byte_pairs")
@@ -277,7 +323,5 @@ def op13_byte_pairs(spark, sf_dir):
     """
     tokens = read_ranks()
     ids = encode(table(spark, sf_dir, "documents"), tokens, [F.col("doc_id")])
-    counted = packed(ids.withColumn("n_tokens", F.size("ids").cast("bigint")), ["doc_id", "n_tokens", "ids"])
-    hashed = counted.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), "ids")
-    out = decode(hashed, tokens, ["doc_id", "n_tokens", "ids_sha256"])
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = decode(ids.withColumn("n_tokens", F.size("ids").cast("bigint")), tokens, ["doc_id", "n_tokens"])
+    return out.select("doc_id", "n_tokens", F.sha2("coded.packed", 256).alias("ids_sha256"), F.sha2("coded.decoded", 256).alias("decoded_sha256"))

@@ -162,6 +162,7 @@ def test_joins_of_any_cut_equal_the_whole(vocabulary):
         data = bytes(rnd.choice(b"abcdehinorst") for _ in range(rnd.randint(2, 70)))
         cut = rnd.randrange(1, len(data))
         assert vocabulary.join(vocabulary.merged(data[:cut]), vocabulary.merged(data[cut:])) == vocabulary.merged(data)
+        assert vocabulary.window(data) == vocabulary.tree(data) == vocabulary.merged(data)
 
 
 def test_every_code_point_splits_as_in_the_library():
@@ -193,7 +194,7 @@ def test_byte_pairs_of_no_rows_and_clashing_names(spark):
     with pytest.raises(ValueError):
         bytepairs.encode(empty.withColumn("ids", F.lit(1)), tokens, [F.col("ids")])
     rows = spark.createDataFrame([(1, [0, 5]), (2, None)], "doc_id bigint, ids array<int>")
-    assert [bytes(r["decoded"]) for r in bytepairs.decode(rows, tokens, ["doc_id"]).orderBy("doc_id").collect()] == [tokens[0] + tokens[5], b""]
+    assert [bytes(r["coded"]["decoded"]) for r in bytepairs.decode(rows, tokens, ["doc_id"]).orderBy("doc_id").collect()] == [tokens[0] + tokens[5], b""]
 
 
 # ------------------------------------------------------------------ clusters
