@@ -171,16 +171,14 @@ def cluster(points: DataFrame, seeds: list[list[int]], rounds: int = ROUNDS) ->
         shipped = spark.sparkContext.broadcast(move)  # k centroids
         schema = "row bigint, cluster int, upper double, lower double, added array<bigint>"
         out = _bucketed(beside.drop("vec_id").mapInArrow(_rounds(dim, k, shipped), schema), "bounds", parts)
-        totals = out.filter("added IS NOT NULL").select("cluster", F.posexplode("added").alias("at", "x"))
-        totals = totals.groupBy("cluster", "at").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x"), F.max("x").alias("most"))
+        whole = [F.sum(F.get("added", F.lit(c)).cast("decimal(38,0)")).alias(f"x{c}") for c in range(dim + 1)]
+        totals = out.filter("added IS NOT NULL").groupBy("cluster").agg(*whole, F.max(F.get("added", F.lit(dim + 1))).alias("radius"))
         radius = np.zeros(k)
-        for r in totals.collect():  # k * (dimensions + 2) rows
-            if r["at"] < dim:
-                sums[r["cluster"]][r["at"]] += int(r["x"])
-            elif r["at"] == dim:
-                counts[r["cluster"]] += int(r["x"])
-            else:
-                radius[r["cluster"]] = r["most"]
+        for r in totals.collect():  # k rows
+            own = r["cluster"]
+            sums[own] = [s + int(r[f"x{c}"]) for c, s in enumerate(sums[own])]
+            counts[own] += int(r[f"x{dim}"])
+            radius[own] = r["radius"]
         new = np.array([[s // n for s in sums[c]] if (n := counts[c]) else centroids[c].tolist() for c in range(k)], dtype=np.int64)
         move, centroids = moved(centroids, new, radius), new
         beside = out.filter("added IS NULL").select("row", "cluster", "upper", "lower").join(rows, "row").select(*beside.columns)
