@@ -89,50 +89,51 @@ def mode_filter(sources: DataFrame, mode: str) -> DataFrame:
     )
 
 
+#: Salts that share out the attempts of one key while its first ones are found.
+SALTS = 32
+
+
+def _first_attempts(attempts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(run_id, provider_id, role, form, k, free): per key the first attempts, in order, as many as its role has sources.
+
+    A key with a third of all attempts is cut in salted parts first, then once more as a whole.
+    """
+    forms = [(0, F.col("source_name")), (1, F.col("url")), (2, F.lit(""))]
+    ways = F.explode(F.array(*[F.struct(F.lit(f).alias("form"), k.alias("k")) for f, k in forms])).alias("w")
+    rows = attempts.select("run_id", "provider_id", "role", "seq", "ok", ways).select("run_id", "provider_id", "role", "seq", "ok", "w.form", "w.k")
+    rows = rows.join(keys, ["provider_id", "role", "form", "k"])
+    group = ["run_id", "provider_id", "role", "form", "k"]
+    for part in ([*group, F.pmod(F.xxhash64("seq"), F.lit(SALTS))], group):
+        rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*part).orderBy("seq"))).filter(F.col("rn") <= F.col("most"))
+    return rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("seq", "ok"))).alias("free"))
+
+
 def match_sources(sources: DataFrame, attempts: DataFrame) -> DataFrame:
-    """One-to-one: the n-th source of a match key takes the n-th attempt of that key in each run.
+    """One-to-one: in the order of the registry each source takes the first attempt of its provider and role that is left.
 
-    Sources match by name; unnamed ones by URL; those with neither by role
-    alone. The forms run in that order and each only sees attempts the earlier
-    ones left. Equal to a greedy walk as long as the sources of one provider and
-    role share a form. The rank on the attempt side is cut at the largest number
-    of sources per key (a registry-sized figure), below the shuffle, so a key
-    with a third of all attempts is never sorted whole in one task.
+    A source with a name matches by name, an unnamed one by URL, one with neither any attempt of its role, so forms
+    of one role compete. Who gets what in a run depends on the first attempts of each key only, as many as the role has
+    sources: these few are walked in one row per run, provider and role, of registry size. Attempts without a provider
+    or role match nobody.
 
     Returns ``run_id, attempt_seq, source_seq, provider_id, role, ok``.
     """
-    named = F.coalesce("name", F.lit("")) != ""
-    addressed = F.coalesce("url", F.lit("")) != ""
-    forms = [
-        (sources.filter(named), "name", "source_name"),
-        (sources.filter(~named & addressed), "url", "url"),
-        (sources.filter(~named & ~addressed), None, None),
-    ]
-    out: DataFrame | None = None
-    for src, s_col, a_col in forms:
-        keys = ["provider_id", "role"]
-        s = src.select("provider_id", "role", F.col("seq").alias("source_seq"), *([F.col(s_col).alias("k")] if s_col else []))
-        if s_col:
-            keys = [*keys, "k"]
-        biggest = s.groupBy(*keys).count().agg(F.max("count")).first()[0]
-        if not biggest:
-            continue
-        s = s.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("source_seq")))
-        a = attempts.select(
-            "run_id", "provider_id", "role", F.col("seq").alias("attempt_seq"), "ok",
-            *([F.col(a_col).alias("k")] if a_col else []),
-        )
-        # Drop attempts no source could take before anything is ranked.
-        a = a.join(s.select(*keys).distinct(), keys, "left_semi")
-        if out is not None:
-            a = a.join(out.select("run_id", "attempt_seq"), ["run_id", "attempt_seq"], "left_anti")
-        w = Window.partitionBy("run_id", *keys).orderBy("attempt_seq")
-        a = a.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= int(biggest))
-        hit = a.join(s, [*keys, "rn"]).select("run_id", "attempt_seq", "source_seq", "provider_id", "role", "ok")
-        out = hit if out is None else out.unionByName(hit)
-    if out is None:
-        return attempts.select("run_id", F.col("seq").alias("attempt_seq"), F.col("seq").alias("source_seq"), "provider_id", "role", "ok").limit(0)
-    return out
+    name, url = F.coalesce("name", F.lit("")), F.coalesce("url", F.lit(""))
+    form = F.when(name != "", 0).when(url != "", 1).otherwise(2)
+    s = sources.select("provider_id", "role", F.col("seq").alias("source_seq"), form.alias("form"), F.coalesce(F.nullif(name, F.lit("")), url).alias("k"))
+    s = s.withColumn("most", F.count(F.lit(1)).over(Window.partitionBy("provider_id", "role")))
+    free = _first_attempts(attempts, s.groupBy("provider_id", "role", "form", "k").agg(F.max("most").alias("most")))
+    rows = free.join(s, ["provider_id", "role", "form", "k"]).groupBy("run_id", "provider_id", "role").agg(F.array_sort(F.collect_list(F.struct("source_seq", "free"))).alias("walk"))
+
+    def take(taken: Column, source: Column) -> Column:
+        left = F.filter(source["free"], lambda a: ~F.exists(taken, lambda x: x["attempt_seq"] == a["seq"]))
+        first = F.transform(F.slice(left, 1, 1), lambda a: F.struct(source["source_seq"].alias("source_seq"), a["seq"].alias("attempt_seq"), a["ok"].alias("ok")))
+        return F.concat(taken, first)
+
+    kind = {f.name: f.dataType.simpleString() for f in (*s.schema, *attempts.schema)}
+    none = F.expr(f"cast(array() as array<struct<source_seq:{kind['source_seq']},attempt_seq:{kind['seq']},ok:{kind['ok']}>>)")
+    hits = rows.select("run_id", "provider_id", "role", F.explode(F.aggregate("walk", none, take)).alias("m"))
+    return hits.select("run_id", "m.attempt_seq", "m.source_seq", "provider_id", "role", "m.ok")
 
 
 def extended_checks(attempts: DataFrame, matched: DataFrame, providers: DataFrame) -> DataFrame:
@@ -161,28 +162,28 @@ def request_health(
     """Registered sources versus follow-up checks per run: one row per level and group.
 
     Scan sources are judged by their scan summary (``scans``: provider_id,
-    complete), all others by their matched attempt.
+    complete, and run_id if it differs by run), all others by their matched
+    attempt. ``mode`` status counts the sources that such a run visits.
     """
     keys = ["run_id", "provider_id"] if by_provider else ["run_id"]
     used = mode_filter(sources, mode)
     is_scan = F.coalesce(F.col("adapter") == scan_adapter, F.lit(False))
     matched = match_sources(used.filter(~is_scan), attempts)
-    expected = per_run(runs, used.select("provider_id", "seq", is_scan.alias("scan")))
-    ok_match = matched.filter("ok").groupBy("run_id", F.col("source_seq").alias("seq"), "provider_id").agg(
-        F.lit(True).alias("hit")
-    )
-    registered = expected.join(ok_match, ["run_id", "seq", "provider_id"], "left")
-    good = F.coalesce("hit", F.lit(False))
+    # Counts of the registry and counts of what succeeded meet per key; the registry is not spread over the runs.
+    hits = matched.filter("ok").groupBy(*keys).agg(F.count(F.lit(1)).alias("hits"))
     if scans is not None:
-        registered = registered.join(scans.select("provider_id", F.col("complete").alias("scan_ok")), "provider_id", "left")
-        good = F.when(F.col("scan"), F.coalesce("scan_ok", F.lit(False))).otherwise(good)
+        each = used.filter(is_scan).groupBy("provider_id").agg(F.count(F.lit(1)).alias("n"))
+        done = scans.filter("complete").join(each, "provider_id")
+        if "run_id" not in scans.columns:
+            done = per_run(runs, done.select("provider_id", "n"))
+        hits = hits.unionByName(done.groupBy(*keys).agg(F.sum("n").alias("hits"))).groupBy(*keys).agg(F.sum("hits").alias("hits"))
+    if by_provider:
+        wanted = per_run(runs, used.groupBy("provider_id").agg(F.count(F.lit(1)).alias("expected")))
     else:
-        good = good & ~F.col("scan")
-    reg = (
-        registered.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("expected"), F.count_if(good).alias("succeeded"))
-        .withColumn("level", F.lit("registered"))
-        .withColumn("check_group", F.lit("all"))
+        wanted = runs.select("run_id").withColumn("expected", used.agg(F.count(F.lit(1))).scalar())
+    zero = F.lit(0).cast("bigint")
+    reg = wanted.join(hits, keys, "left").select(
+        *keys, "expected", F.coalesce("hits", zero).alias("succeeded"), F.lit("registered").alias("level"), F.lit("all").alias("check_group")
     )
     ext = extended_checks(attempts, matched, providers)
     levels = (

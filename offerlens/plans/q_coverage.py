@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from offerlens.operators import coverage
-from offerlens.plans.base import ATTEMPTS_SQL, REGISTRY_SQL, Tables, attempts, query, registry
+from offerlens.plans.base import ATTEMPTS_SQL, REGISTRY_SQL, Tables, attempts, query, registry, text
 
 METRIC_SQL = """greatest(expected - succeeded, 0) AS failed, CASE WHEN expected > 0 THEN round_even(succeeded / expected, 4) ELSE 1.0 END AS rate,
   CASE WHEN expected > 0 AND succeeded = 0 THEN 'unavailable' WHEN succeeded = expected THEN 'complete' ELSE 'partial' END AS status"""
@@ -93,6 +93,66 @@ def request_health(t: Tables):
     return _health(t).select("run_id", "level", "check_group", "expected", "succeeded", "failed", "rate", "status")
 
 
+def mixed_registry(t: Tables):
+    """Sources of every form: bare ones before named and addressed ones of the same role, and an id scan."""
+    n = F.col("n_nationkey")
+    rows = [(0, "", "", "activity_listing", ""), (1, "s0", "", "activity_listing", ""), (2, "", "own", "activity_listing", ""), (3, "", "", "announcement_listing", ""),
+            (4, "s2", "", "announcement_listing", ""), (5, "", "", "announcement_listing", ""), (6, "scan", "", "status_page", "fullpay_id_scan")]
+    each = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(r, ("no", "name", "url", "role", "adapter"))]) for r in rows]))
+    sources = t.nation.select(n, each.alias("s")).select(
+        text("p", n).alias("provider_id"), (n.cast("bigint") * 10 + F.col("s.no")).alias("seq"), "s.name", "s.url", "s.role", "s.adapter"
+    )
+    first = attempts(t).filter("role = 'activity_listing'").groupBy("provider_id").agg(F.min_by("url", "seq").alias("first_url"))
+    sources = sources.join(first, "provider_id", "left").withColumn("url", F.when(F.col("url") == "own", F.coalesce("first_url", F.lit("none"))).otherwise(F.col("url")))
+    return sources.drop("first_url")
+
+
+# The walk of the registry, source by source; ``taken`` holds what the sources before took in a run.
+_STEPS = ["walk_0 AS (SELECT run_id, provider_id, []::BIGINT[] AS taken FROM (SELECT DISTINCT run_id FROM attempts) CROSS JOIN (SELECT DISTINCT provider_id FROM mixed))"]
+for _no in range(6):
+    _STEPS.append(
+        f"hit_{_no} AS MATERIALIZED (SELECT w.run_id, w.provider_id, m.seq AS source_seq, m.role, min(a.seq) AS attempt_seq, min_by(a.ok, a.seq) AS ok FROM walk_{_no} w JOIN mixed m ON m.provider_id = w.provider_id AND m.no = {_no}"
+        f" JOIN attempts a ON a.run_id = w.run_id AND a.provider_id = m.provider_id AND a.role = m.role AND (m.name = '' OR a.source_name = m.name) AND (m.name <> '' OR m.url = '' OR a.url = m.url)"
+        f" AND NOT list_contains(w.taken, a.seq) GROUP BY ALL), walk_{_no + 1} AS MATERIALIZED (SELECT w.run_id, w.provider_id, CASE WHEN h.attempt_seq IS NULL THEN taken ELSE list_append(taken, h.attempt_seq) END AS taken"
+        f" FROM walk_{_no} w LEFT JOIN hit_{_no} h USING (run_id, provider_id))"
+    )
+MIXED_SQL = f"""{ATTEMPTS_SQL}, {REGISTRY_SQL},
+own AS (SELECT provider_id, min_by(url, seq) AS url FROM attempts WHERE role = 'activity_listing' GROUP BY 1),
+mixed AS MATERIALIZED (SELECT p.provider_id, s.no, CAST(substr(p.provider_id, 2) AS BIGINT) * 10 + s.no AS seq, s.name, CASE WHEN s.no = 2 THEN coalesce(own.url, 'none') ELSE '' END AS url, s.role, s.adapter
+  FROM providers p CROSS JOIN (VALUES (0, '', 'activity_listing', ''), (1, 's0', 'activity_listing', ''), (2, '', 'activity_listing', ''), (3, '', 'announcement_listing', ''),
+    (4, 's2', 'announcement_listing', ''), (5, '', 'announcement_listing', ''), (6, 'scan', 'status_page', 'fullpay_id_scan')) s(no, name, role, adapter) LEFT JOIN own USING (provider_id)),
+{", ".join(_STEPS)},
+hits AS ({" UNION ALL ".join(f"SELECT run_id, attempt_seq, source_seq, provider_id, role, ok FROM hit_{_no}" for _no in range(6))})"""
+
+
+@query("source_match_mixed", f"WITH {MIXED_SQL} SELECT * FROM hits")
+def source_match_mixed(t: Tables):
+    """One-to-one matching where bare, named and addressed sources of a role compete for the same attempts."""
+    return coverage.match_sources(mixed_registry(t).filter("adapter = ''"), attempts(t))
+
+
+def _mode_sql(mode: str, roles: str) -> str:
+    own = f"(SELECT * FROM hits WHERE role IN ({roles}))"
+    return f"""SELECT '{mode}' AS mode, run_id, 'registered' AS level, 'all' AS check_group, (SELECT count(*) FROM mixed WHERE role IN ({roles})) AS expected,
+    (SELECT count(*) FROM {own} h WHERE h.run_id = r.run_id AND ok) + (SELECT count(*) FROM scans s JOIN mixed m USING (provider_id) WHERE s.run_id = r.run_id AND complete AND adapter <> '' AND role IN ({roles})) AS succeeded FROM r
+  UNION ALL SELECT '{mode}', run_id, 'extended', coalesce(check_group, 'all'), count(*), count(*) FILTER (ok) FROM (SELECT *, CASE role WHEN 'activity_probe' THEN 'numeric_probe' WHEN 'status_page' THEN 'status' WHEN 'activity_detail' THEN 'detail' ELSE 'other' END AS check_group
+    FROM attempts WHERE provider_id IN (SELECT provider_id FROM providers) AND seq NOT IN (SELECT attempt_seq FROM {own})) GROUP BY GROUPING SETS ((run_id, check_group), (run_id))"""
+
+
+@query(
+    "request_health_modes",
+    f"""WITH {MIXED_SQL}, r AS (SELECT DISTINCT run_id FROM attempts), scans AS (SELECT run_id, provider_id, bool_and(ok) AS complete FROM attempts WHERE role = 'activity_probe' GROUP BY ALL),
+h AS ({_mode_sql("full", "'activity_listing', 'announcement_listing', 'status_page'")} UNION ALL {_mode_sql("status", "'announcement_listing', 'status_page'")})
+SELECT mode, run_id, level, check_group, expected, succeeded, {METRIC_SQL} FROM h""",
+)
+def request_health_modes(t: Tables):
+    """Request health of full and of status runs; a scan source is as good as its provider's probes of the run."""
+    a, providers, sources = attempts(t), registry(t)[0], mixed_registry(t)
+    scans = a.filter("role = 'activity_probe'").groupBy("run_id", "provider_id").agg(F.bool_and("ok").alias("complete"))
+    parts = [coverage.request_health(sources, a, providers, _runs(a), mode, scans).withColumn("mode", F.lit(mode)) for mode in ("full", "status")]
+    return parts[0].unionByName(parts[1]).select("mode", "run_id", "level", "check_group", "expected", "succeeded", "failed", "rate", "status")
+
+
 GAPS_SQL = f"""{HEALTH_SQL},
 scope AS (SELECT p.provider_id, count(s.seq) AS n, count(*) FILTER (s.seq IS NOT NULL AND coalesce(s.coverage_scope, 'complete') = 'complete') AS complete, min_by(s.url, s.seq) AS url
   FROM providers p LEFT JOIN (SELECT * FROM sources WHERE role = 'activity_listing') s USING (provider_id) GROUP BY 1),

@@ -1,3 +1,4 @@
+import random
 import json
 
 import pytest
@@ -183,6 +184,58 @@ def test_match_forms(spark):
     assert got == {(1, 2), (2, 3), (3, 1)}
 
 
+def greedy(sources, attempts):
+    """The walk: sources in registry order, each with its first attempt that is left, run by run."""
+    out = set()
+    for run in {a[0] for a in attempts}:
+        taken = set()
+        for provider, role, seq, name, url in sorted(sources, key=lambda s: s[2]):
+            for r, p, ro, source_name, u, ok, at in sorted(attempts, key=lambda a: a[6]):
+                if r == run and (p, ro) == (provider, role) and at not in taken and (not name or source_name == name) and (name or not url or u == url):
+                    taken.add(at)
+                    out.add((run, at, seq, p, ro, ok))
+                    break
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mixed_forms_equal_the_walk(spark, seed):
+    rng = random.Random(seed)
+    sources = [(rng.choice("pq"), rng.choice("rs"), k, rng.choice(("", "", "n1", "n2")), rng.choice(("", "u1", "u2"))) for k in range(24)]
+    attempts = [(f"run{rng.randrange(3)}", rng.choice("pqx"), rng.choice("rst"), rng.choice(("n1", "n2", "n3")), rng.choice(("u1", "u2", "u3")), rng.random() < 0.5, k) for k in range(150)]
+    s = spark.createDataFrame(sources, "provider_id string, role string, seq bigint, name string, url string")
+    a = spark.createDataFrame(attempts, "run_id string, provider_id string, role string, source_name string, url string, ok boolean, seq bigint")
+    assert {tuple(r) for r in coverage.match_sources(s, a).collect()} == greedy(sources, attempts)
+    assert coverage.match_sources(s.limit(0), a).count() == 0
+
+
+def test_health_by_mode_and_scan(spark):
+    """Scan sources go by their summary, a status run counts what it visits, per provider and per run alike."""
+    s = spark.createDataFrame(
+        [("p", "activity_listing", 1, "a", "", ""), ("p", "activity_probe", 2, "b", "", "fullpay_id_scan"), ("q", "announcement_listing", 3, "c", "", ""), ("q", "activity_listing", 4, "d", "", "famipay_listing")],
+        "provider_id string, role string, seq bigint, name string, url string, adapter string",
+    )
+    a = spark.createDataFrame(
+        [("r", "p", "activity_listing", "a", "", True, 1), ("r", "p", "activity_probe", "b", "", False, 2), ("r", "q", "announcement_listing", "c", "", False, 3), ("r", "q", "activity_listing", "d", "", True, 4)],
+        "run_id string, provider_id string, role string, source_name string, url string, ok boolean, seq bigint",
+    )
+    providers, runs = s.select("provider_id").distinct(), a.select("run_id").distinct()
+
+    def health(mode, scans, **kw):
+        out = coverage.request_health(s, a, providers, runs, mode, scans, **kw)
+        return {(r.asDict().get("provider_id"), r.level, r.check_group): (r.expected, r.succeeded) for r in out.collect()}
+
+    scans = spark.createDataFrame([("p", True), ("q", True)], "provider_id string, complete boolean")
+    assert health("full", scans)[None, "registered", "all"] == (4, 3)
+    assert health("full", scans)[None, "extended", "numeric_probe"] == (1, 0)
+    assert health("full", scans.filter("provider_id = 'q'"))[None, "registered", "all"] == (4, 2)
+    assert health("full", None)[None, "registered", "all"] == (4, 2)
+    assert health("full", scans.withColumn("run_id", F.lit("other")))[None, "registered", "all"] == (4, 2)
+    assert health("status", scans)[None, "registered", "all"] == (2, 1)
+    by = health("full", scans, by_provider=True)
+    assert (by["p", "registered", "all"], by["q", "registered", "all"]) == ((2, 2), (2, 1))
+
+
 def test_calendar_switches_to_count(spark):
     rows = [(f"p{i}", "P", f"T{i:02d}", f"https://e/{i}", None, "2026-08-01", "2026-08-31" if i < 26 else "2026-09-01", "active", "not_marked_full", i) for i in range(28)]
     df = spark.createDataFrame(rows, "provider_id string, provider_name string, title string, url string, external_id string, s string, e string, lifecycle string, quota_status string, seq int").select(
