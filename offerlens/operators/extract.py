@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -365,41 +365,47 @@ def explode_news(captures: DataFrame, keep: list[str], n: int | None = None, sou
 # ---------------------------------------------------------------- links
 
 
+def link_rules(spark: SparkSession, patterns: dict[str, list[str]], max_links: dict[str, int] | int | None = None) -> DataFrame:
+    """Rules (source, patterns, max_links) as rows of a table, the form in which ``discover_links`` takes them."""
+    limit = max_links.get if isinstance(max_links, dict) else lambda _: max_links
+    return spark.createDataFrame([(s, p, limit(s)) for s, p in sorted(patterns.items())], "source string, patterns array<string>, max_links int")
+
+
 def discover_links(
     documents: DataFrame,
-    source_patterns: dict[str, list[str]],
-    max_links: dict[str, int] | int | None,
+    rules: DataFrame | dict[str, list[str]],
+    max_links: dict[str, int] | int | None = None,
     source: str = "source_id",
     listing_url: str = "final_url",
     domains: list[str] | None = None,
 ) -> DataFrame:
     """Links of a listing whose URL or anchor fits one of the listing's own patterns.
 
-    A listing is one row, so filtering, de-duplication and the link limit work
-    on its array and nothing is shuffled. A source without a limit keeps all
-    its links. Patterns come from the registry (a
-    config file): each source's patterns are folded into one literal regex, so
-    there is no theta join and every regex is compiled once per task.
+    ``rules`` (source, patterns, max_links) are rows of the registry and join by
+    source, so the plan is the same for ten sources and for ten thousand. A
+    listing is one row: filtering, de-duplication and the link limit work on its
+    array and only the join moves it, unless the rules are small enough to be
+    sent to it. A source's patterns become one regex in its row, which a task
+    compiles once for all links of a page. A source without a limit keeps all
+    its links; one without rules or patterns has none.
     """
+    if isinstance(rules, dict):
+        rules = link_rules(documents.sparkSession, rules, max_links)
+    alternatives = F.array_join(F.transform("patterns", lambda p: F.concat(F.lit("(?:"), p, F.lit(")"))), "|")
+    own = rules.filter(F.size("patterns") > 0).select(
+        F.col("source").alias(source), F.concat(F.lit("(?iu)"), alternatives).alias("__regex"), F.col("max_links").alias("__limit")
+    )
+    documents = documents.join(own, source)
 
     def wanted(link: Column) -> Column:
-        haystack = F.concat(link["url"], F.lit("\n"), link["anchor"])
-        hit = F.lit(False)
-        for name, patterns in sorted(source_patterns.items()):
-            regex = "(?iu)" + "|".join(f"(?:{p})" for p in patterns)
-            hit = F.when(F.col(source) == name, haystack.rlike(regex)).otherwise(hit)
+        hit = F.regexp_instr(F.concat(link["url"], F.lit("\n"), link["anchor"]), F.col("__regex")) > 0
         hit = hit & urls.url_scheme(link["url"]).isin("http", "https")
         if domains is not None:
             known = F.array(*[F.lit(d.lower().rstrip(".")) for d in domains])
             hit = hit & F.arrays_overlap(urls.host_suffixes(urls.url_host(link["url"])), known)
         return hit
 
-    per_source = max_links if isinstance(max_links, dict) else {}
-    limit = F.coalesce(
-        *[F.when(F.col(source) == n, F.lit(m)) for n, m in sorted(per_source.items())],
-        F.lit(max_links if isinstance(max_links, int) else None).cast("int"),
-        F.size("__all"),
-    )
+    limit = F.coalesce(F.col("__limit"), F.size("__all"))
     hits = F.transform(
         F.filter("links", wanted),
         lambda x: F.struct(urls.canonical_url(x["url"]).alias("canonical_url"), x["url"].alias("link_url"), x["anchor"].alias("anchor")),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from offerlens import schemas
 from offerlens.functions import dates, urls
 from offerlens.operators.keys import first_by
+from offerlens.operators.ranking import with_rank
 
 FAR_FUTURE = "9999-12-31"
 
@@ -66,6 +67,11 @@ def order_sections(report: DataFrame) -> DataFrame:
     return report.orderBy(section_rank(schemas.SECTIONS), *section_order())
 
 
+def rank_sections(report: DataFrame, tie: str = "seq") -> DataFrame:
+    """The sorted report with each row's ``rank`` (from 1); ``tie`` decides between equal rows."""
+    return with_rank(report, [section_rank(schemas.SECTIONS), *section_order(), F.col(tie)])
+
+
 def section_rank(order: tuple[str, ...] = schemas.PUBLISH_SECTION_ORDER) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in order]), F.col("section"))
 

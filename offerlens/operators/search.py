@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from offerlens.functions.dates import as_date_lit
 from offerlens.functions.text import all_matches
+from offerlens.operators.ranking import with_rank
 
 UPCOMING_DAYS, ENDING_DAYS = 14, 7
 CATEGORIES = ("featured", "high-return", "upcoming", "ending", "sold-out", "all")
@@ -103,7 +104,7 @@ def search(df: DataFrame, query: str = "", provider: str = "", category: str = "
     return out
 
 
-def order_results(df: DataFrame, category: str = "featured", collation: str | None = "zh_Hant") -> DataFrame:
+def result_order(category: str = "featured", collation: str | None = "zh_Hant") -> list[Column]:
     """Score (featured, high-return) or end date (ending), then start date, then title; missing dates last."""
     order: list[Column] = []
     if category in ("featured", "high-return"):
@@ -111,9 +112,55 @@ def order_results(df: DataFrame, category: str = "featured", collation: str | No
     if category == "ending":
         order.append(F.col("end_date").asc_nulls_last())
     title = F.coalesce("title", F.lit(""))
-    return df.orderBy(
-        *order, F.col("start_date").asc_nulls_last(), F.collate(title, collation) if collation else title
-    )
+    return [*order, F.col("start_date").asc_nulls_last(), F.collate(title, collation) if collation else title]
+
+
+def order_results(df: DataFrame, category: str = "featured", collation: str | None = "zh_Hant") -> DataFrame:
+    return df.orderBy(*result_order(category, collation))
+
+
+def rank_results(df: DataFrame, category: str = "featured", tie: str = "seq", collation: str | None = "zh_Hant") -> DataFrame:
+    """Results with their ``rank`` (from 1) in the order of a category; ``tie`` decides between equal ones."""
+    return with_rank(df, [*result_order(category, collation), F.col(tie)])
+
+
+# ---------------------------------------------------------------- search by an index
+
+#: Characters of a gram of the index; shorter queries are looked up by a full scan.
+GRAM = 3
+#: Rarest grams of a query whose rows are intersected before the text is read.
+RAREST = 3
+
+
+def write_postings(df: DataFrame, path: str, key: str) -> None:
+    """The index of ``search_text``: one row (gram, key) per row and distinct gram, sorted by gram across files.
+
+    Written with the catalogue. A gram's rows lie side by side, so a look-up reads the row groups whose range holds it.
+    """
+    text = F.coalesce("search_text", F.lit(""))
+    grams = F.transform(F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: F.substring(text, i, GRAM))
+    rows = df.select(key, F.explode(F.array_distinct(F.when(F.length(text) >= GRAM, grams))).alias("gram"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(parts, "gram", key).sortWithinPartitions("gram", key).write.parquet(path)
+
+
+def search_indexed(df: DataFrame, postings: DataFrame, key: str, query: str) -> DataFrame:
+    """Rows of the catalogue whose ``search_text`` contains ``query``, any case; the same rows as a full scan.
+
+    The rarest grams of the query are intersected in the index and only rows that have them all are read and verified.
+    Queries shorter than a gram, the empty one included, are looked up by a scan.
+    """
+    wanted = query.lower()
+    hit = F.col("search_text").contains(wanted)
+    if len(wanted) < GRAM:
+        return df.filter(hit)
+    grams = sorted({wanted[k : k + GRAM] for k in range(len(wanted) - GRAM + 1)})
+    found = postings.filter(F.col("gram").isin(*grams)).groupBy("gram").count().collect()  # a row per gram of the query
+    if len(found) < len(grams):
+        return df.filter(F.lit(False))
+    rarest = [r["gram"] for r in sorted(found, key=lambda r: (r["count"], r["gram"]))[:RAREST]]
+    keys = postings.filter(F.col("gram").isin(*rarest)).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(rarest))
+    return df.join(keys.select(key), key, "left_semi").filter(hit)
 
 
 def with_badge(df: DataFrame, as_of: dt.date | str) -> DataFrame:

@@ -6,6 +6,9 @@ rather than an array, so an offer with unbounded evidence is never one row.
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,16 +38,44 @@ def is_bootstrapped(history: DataFrame) -> bool:
     return not history.isEmpty()
 
 
-def conditional_only(prev_evidence: DataFrame, pack: q.RulePack = q.ZH_PACK) -> DataFrame:
+def pack_hash(pack: q.RulePack = q.ZH_PACK) -> str:
+    """Identity of a rule pack: a digest of its families and patterns in order."""
+    rules = sorted((family, *patterns) for family, patterns in pack.rules.items())
+    return hashlib.sha256(json.dumps(rules, ensure_ascii=False).encode()).hexdigest()
+
+
+def judge_excerpts(evidence: DataFrame, stored: DataFrame | None = None, pack: q.RulePack = q.ZH_PACK) -> DataFrame:
+    """Verdicts (excerpt_hash, pack_hash, quota_status, is_new) of all excerpts of ``evidence``, each under ``pack``.
+
+    ``stored`` holds verdicts of earlier runs (excerpt_hash, pack_hash, quota_status). Only excerpts it has no verdict of
+    under this pack are classified; after a rule change these are all of them. Equal excerpts are one; a null
+    excerpt has no verdict. The rows are what to store for the next run.
+    """
+    now = pack_hash(pack)
+    excerpts = evidence.filter("excerpt IS NOT NULL").select(F.sha2("excerpt", 256).alias("excerpt_hash"), "excerpt")
+    excerpts = excerpts.groupBy("excerpt_hash").agg(F.any_value("excerpt").alias("excerpt"))
+    columns = ["excerpt_hash", F.lit(now).alias("pack_hash"), "quota_status"]
+    if stored is None:
+        return q.with_quota(excerpts, "excerpt", pack).select(*columns, F.lit(True).alias("is_new"))
+    known = stored.filter(F.col("pack_hash") == now).select("excerpt_hash", "quota_status")
+    fresh = q.with_quota(excerpts.join(known, "excerpt_hash", "left_anti"), "excerpt", pack).select(*columns, F.lit(True).alias("is_new"))
+    kept = known.join(excerpts.select("excerpt_hash"), "excerpt_hash", "left_semi").select(*columns, F.lit(False).alias("is_new"))
+    return kept.unionByName(fresh)
+
+
+def conditional_only(prev_evidence: DataFrame, pack: q.RulePack = q.ZH_PACK, verdicts: DataFrame | None = None) -> DataFrame:
     """Per key: does all its stored evidence fail to show a sold-out under today's rules?
 
-    Classified row by row in the scan stage, then one map-side combined flag
-    per key.
+    Classified row by row in the scan stage, or looked up in ``verdicts`` (see
+    ``judge_excerpts``), then one map-side combined flag per key.
     """
-    judged = q.with_quota(prev_evidence.select("activity_id", "excerpt"), "excerpt", pack)
-    return judged.groupBy("activity_id").agg(
-        (~F.bool_or(F.col("quota_status").isin(*STICKY))).alias("conditional_only")
-    )
+    if verdicts is None:
+        judged = q.with_quota(prev_evidence.select("activity_id", "excerpt"), "excerpt", pack)
+    else:
+        known = verdicts.filter(F.col("pack_hash") == pack_hash(pack)).select("excerpt_hash", "quota_status")
+        judged = prev_evidence.select("activity_id", F.sha2("excerpt", 256).alias("excerpt_hash")).join(known, "excerpt_hash", "left")
+    sold = F.coalesce(F.col("quota_status").isin(*STICKY), F.lit(False))
+    return judged.groupBy("activity_id").agg((~F.bool_or(sold)).alias("conditional_only"))
 
 
 def merge_sticky(
@@ -53,13 +84,15 @@ def merge_sticky(
     prev_evidence: DataFrame | None = None,
     exempt: Column | None = None,
     pack: q.RulePack = q.ZH_PACK,
+    verdicts: DataFrame | None = None,
 ) -> DataFrame:
     """Batch rows with confirmed history kept.
 
     A confirmed (partial) sell-out survives absence of the notice, an app-only
     answer or a failed source; app-only survives absence. Evidence that today's
     rules no longer accept is not carried. ``exempt`` marks rows whose earlier
-    app-only answer came from a page shared with another brand.
+    app-only answer came from a page shared with another brand. ``verdicts``
+    spare judging stored evidence again.
 
     Adds ``previous_status`` (NULL for new keys) and ``carry_evidence``.
     """
@@ -73,7 +106,7 @@ def merge_sticky(
         joined = joined.withColumn("conditional_only", F.lit(False))
     else:
         wanted = prev_evidence.join(batch.select("activity_id"), "activity_id", "left_semi")
-        joined = joined.join(conditional_only(wanted, pack), "activity_id", "left")
+        joined = joined.join(conditional_only(wanted, pack, verdicts), "activity_id", "left")
     retracted = F.coalesce("conditional_only", F.lit(False))
     free = F.coalesce(exempt, F.lit(False)) if exempt is not None else F.lit(False)
     was, now = F.col("previous_status"), F.col("quota_status")

@@ -1,11 +1,15 @@
 """Queries over the supplement, highlights, calendar, catalogue search and facets."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.operators import publish, rewards, search
 from offerlens.operators.coverage import per_run
 from offerlens.operators.periods import with_lifecycle
 from offerlens.plans.base import AS_OF, LIVE_SQL, OFFERS_SQL, Tables, day, offers, query, registry, text
+from offerlens.session import new_table_dir, staged
 
 # ---------------------------------------------------------------- supplement
 
@@ -198,6 +202,38 @@ def search_results(t: Tables):
     return search.order_results(hits, "featured").select("seq", "title", "score")
 
 
+_RANKS = {"featured": "score DESC, ", "high-return": "score DESC, ", "ending": "end_date NULLS LAST, ", "all": ""}
+_PICKS = {"featured": "(cat_high_return OR cat_upcoming OR cat_ending OR quota_status = 'partial_sold_out')", "high-return": "cat_high_return", "ending": "cat_ending", "all": "true"}
+
+
+@query(
+    "search_ranked",
+    f"WITH {SEARCH_SQL}, plain AS (SELECT * REPLACE (score - CASE WHEN is_explicit THEN 60 ELSE 0 END AS score) FROM sc) "
+    + " UNION ALL ".join(f"SELECT '{c}' AS category, seq, row_number() OVER (ORDER BY {_RANKS[c]}start_date NULLS LAST, title COLLATE zh, seq) AS rank FROM plain WHERE {_PICKS[c]}" for c in _RANKS),
+)
+def search_ranked(t: Tables):
+    """The place of every result of four categories, titles in Chinese collation."""
+    cats = staged(search.with_score(search.with_categories(catalogue(t), AS_OF)), "catalogue")
+    parts = [search.rank_results(search.search(cats, "", "", c), c).select(F.lit(c).alias("category"), "seq", "rank") for c in _RANKS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_ASKED = ("Offer 2-HIGH", "nation_3 ", "% sold", "r 1", "回饋", "o", "no such words")
+
+
+@query(
+    "search_indexed",
+    f"WITH {SEARCH_SQL} " + " UNION ALL ".join(f"SELECT '{q}' AS query, seq FROM cat WHERE contains(search_text, '{q.lower()}')" for q in _ASKED),
+)
+def search_indexed(t: Tables):
+    """Look-ups of any length through the written index of grams, verified in the rows they lead to."""
+    cat = staged(search.with_categories(catalogue(t), AS_OF), "catalogue")
+    path = new_table_dir(t.spark, "postings")
+    search.write_postings(cat, path, "seq")
+    postings = t.spark.read.parquet(path)
+    return reduce(DataFrame.unionByName, [search.search_indexed(cat, postings, "seq", q).select(F.lit(q).alias("query"), "seq") for q in _ASKED])
+
+
 @query(
     "badges",
     f"""WITH {SEARCH_SQL} SELECT seq, CASE WHEN lifecycle = 'upcoming' AND a = 1 THEN '明日開始' WHEN lifecycle = 'upcoming' THEN a || ' 天後開始'

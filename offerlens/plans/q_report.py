@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from offerlens import schemas
 from offerlens.operators import publish, report
 from offerlens.plans import q_coverage, q_state
 from offerlens.plans.base import QUERIES, AS_OF, LIVE_SQL, Tables, offers, query, text
@@ -46,6 +47,16 @@ def section_report(t: Tables):
     return out.select("seq", "provider_name", "title", "lifecycle", "section")
 
 
+@query(
+    "section_report_ranked",
+    f"""WITH {LIVE_SQL} SELECT seq, section, row_number() OVER (ORDER BY list_position({list(schemas.SECTIONS)}, section), coalesce(start_date, DATE '9999-12-31'), provider_name, title, seq) AS rank
+FROM sectioned WHERE lifecycle <> 'ended'""",
+)
+def section_report_ranked(t: Tables):
+    """The order of the whole report as a column."""
+    return report.rank_sections(report.section_report(offers(t), AS_OF)).select("seq", "section", "rank")
+
+
 @query(
     "section_summary",
     f"""WITH {LIVE_SQL} SELECT count(*) FILTER (lifecycle <> 'ended') AS included_non_expired, count(*) FILTER (lifecycle = 'ended') AS expired_excluded,

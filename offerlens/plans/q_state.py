@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from offerlens.functions import quota
 from offerlens.functions.urls import canonical_url
 from offerlens.operators import coverage, extract, frontier, state
 from offerlens.plans.base import LIVE_SQL, OFFERS_SQL, AS_OF, REGISTRY_SQL, Tables, attempts, day, offers, query, registry, text
@@ -9,6 +10,7 @@ from offerlens.plans.q_coverage import GAPS_SQL
 from offerlens.plans.q_extract import LINKS_SQL
 from offerlens.plans.q_urls import canonical_sql
 from offerlens.operators.periods import with_lifecycle
+from offerlens.session import staged
 
 SPLIT = "2024-01-16"
 STATUSES = {
@@ -73,6 +75,46 @@ def sticky_merge(t: Tables):
     return _merged(t).select("activity_id", "previous_status", "quota_status", "carry_evidence", "quota_evidence_complete")
 
 
+def _stored_verdicts(t: Tables):
+    """Verdicts as an earlier run stored them: of the evidence of its first days, and all of them under other rules too."""
+    before, _ = _halves(t)
+    early = _worded(before.filter(F.dayofmonth("ts") <= EARLY_DAY))
+    old_rules = quota.RulePack({k: v for k, v in quota.ZH_PACK.rules.items() if k != next(iter(quota.ZH_PACK.rules))})
+    kept = [state.judge_excerpts(early), state.judge_excerpts(_worded(before), pack=old_rules)]
+    return staged(kept[0].unionByName(kept[1]).drop("is_new"), "verdicts")
+
+
+EARLY_DAY = 8
+
+
+def _worded(df):
+    """Evidence whose excerpts name the value, so that many differ."""
+    return _evidence(df).withColumn("excerpt", F.concat("excerpt", F.lit("（"), F.col("ord") % 500, F.lit("）")))
+
+
+_EXCERPT = "CASE WHEN value > 40 THEN '若額滿則停止回饋' ELSE '本活動回饋已全數額滿' END || '（' || (event_id % 500) || '）'"
+
+
+@query(
+    "evidence_verdicts",
+    f"""WITH {SEEN_SQL}, e AS (SELECT {_EXCERPT} AS excerpt, value > 40 AS conditional, day(ts) AS d FROM o WHERE ts < TIMESTAMP '{SPLIT}')
+SELECT sha256(excerpt) AS excerpt_hash, CASE WHEN conditional THEN 'not_marked_full' ELSE 'sold_out' END AS quota_status, NOT bool_or(d <= {EARLY_DAY}) AS is_new FROM e GROUP BY excerpt, conditional""",
+)
+def evidence_verdicts(t: Tables):
+    """Verdicts of all stored excerpts; only those without a verdict under today's rules are judged."""
+    before, _ = _halves(t)
+    return state.judge_excerpts(_worded(before), _stored_verdicts(t)).select("excerpt_hash", "quota_status", "is_new")
+
+
+@query("sticky_merge_stored", f"WITH {HALVES_SQL} SELECT activity_id, was AS previous_status, quota_status, carry_evidence FROM merged")
+def sticky_merge_stored(t: Tables):
+    """The sticky merge with evidence judged by stored verdicts; the same rows as ``sticky_merge``."""
+    before, after = _halves(t)
+    verdicts = staged(state.judge_excerpts(_worded(before), _stored_verdicts(t)), "verdicts")
+    out = state.merge_sticky(_last(after), _last(before), _worded(before), verdicts=verdicts)
+    return out.select("activity_id", "previous_status", "quota_status", "carry_evidence")
+
+
 @query("status_changes", f"WITH {HALVES_SQL} SELECT activity_id, was AS from_status, quota_status AS to_status FROM merged WHERE was <> quota_status")
 def status_changes(t: Tables):
     before, _ = _halves(t)
