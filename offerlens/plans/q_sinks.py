@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from offerlens.functions.urls import canonical_url
 from offerlens.operators import state
 from offerlens.plans.base import OFFERS_SQL, ATTEMPTS_SQL, Tables, attempts, offers, query, text
 from offerlens.plans.q_urls import canonical_sql
@@ -87,6 +88,24 @@ def sink_history(t: Tables):
     return rows.select("activity_id", "url", "first_seen_at", "last_seen_at", "external_id", F.lit(len(versions.versions(t.spark, base))).alias("versions"))
 
 
+@query(
+    "sink_history_buckets",
+    f"""WITH {OFFERS_SQL}, d AS (SELECT max(start_date) AS last FROM offers)
+SELECT external_id AS activity_id, {canonical_sql('url')} AS url, CASE WHEN quota_status = 'sold_out' THEN 'd1' ELSE 'd2' END AS first_seen_at,
+  CASE WHEN start_date = last THEN 'd2' ELSE 'd1' END AS last_seen_at FROM offers, d WHERE quota_status = 'sold_out' OR start_date = last""",
+)
+def sink_history_buckets(t: Tables):
+    """A history in buckets: the second run, of the last day's offers, rewrites only the buckets of its keys."""
+    base = new_table_dir(t.spark, "history")
+    versions.commit_buckets(base, 1, "activities", _stored(t).withColumn("url", canonical_url(F.col("url"))), "activity_id", lambda _, rows: rows)
+    last = offers(t).agg(F.max("start_date")).scalar()
+    day = offers(t).filter(F.col("start_date") == last).select(F.col("external_id").alias("activity_id"))
+    batch = _batch(t).join(day, "activity_id", "left_semi")
+    none = _stored(t).limit(0)
+    versions.commit_buckets(base, 2, "activities", batch, "activity_id", lambda old, rows: state.upsert(none if old is None else old, rows))
+    return versions.read_buckets(t.spark, base, "activities").select("activity_id", "url", "first_seen_at", "last_seen_at")
+
+
 @query(
     "sink_frontier",
     """SELECT 'p' || n_nationkey AS provider_id, CAST(CASE WHEN n_regionkey = 1 THEN n_nationkey + 100 ELSE n_nationkey END AS BIGINT) AS highest_valid_event_id,

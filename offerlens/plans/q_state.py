@@ -115,6 +115,32 @@ def sticky_merge_stored(t: Tables):
     return out.select("activity_id", "previous_status", "quota_status", "carry_evidence")
 
 
+@query(
+    "sticky_exempt",
+    f"""WITH {HALVES_SQL}, x AS (SELECT *, was = 'unknown_app_only' AND now = 'not_marked_full' AND event_id % 2 = 0 AS corrected FROM merged)
+SELECT activity_id, was AS previous_status, CASE WHEN corrected THEN now ELSE quota_status END AS quota_status, carry_evidence AND NOT coalesce(corrected, false) AS carry_evidence FROM x""",
+)
+def sticky_exempt(t: Tables):
+    """Earlier app-only answers of a page shared with another brand (every second row) neither stay nor leave evidence."""
+    before, after = _halves(t)
+    out = state.merge_sticky(_last(after), _last(before), _evidence(before), exempt=F.col("event_id") % 2 == 0)
+    return out.select("activity_id", "previous_status", "quota_status", "carry_evidence")
+
+
+@query(
+    "component_merge",
+    """WITH c AS (SELECT l_orderkey AS k, l_linenumber AS n, ['b' || (l_partkey % 4), 'a1'] AS cur, ['a' || (l_partkey % 5), 'b' || (l_suppkey % 3), 'c' || (l_orderkey % 2)] AS prev FROM lineitem)
+SELECT k, n, array_to_string(list_concat(list_reverse(list_filter(prev, lambda x: NOT list_contains(cur, x))), cur), ' ') AS components FROM c""",
+)
+def component_merge(t: Tables):
+    """Components of one offer: those missing now come back in front."""
+    name = lambda letter, c, m: F.concat(F.lit(letter), (F.col(c) % m).cast("string"))
+    cur = F.array(name("b", "l_partkey", 4), F.lit("a1"))
+    prev = F.array(name("a", "l_partkey", 5), name("b", "l_suppkey", 3), name("c", "l_orderkey", 2))
+    rows = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), cur.alias("cur"), prev.alias("prev"))
+    return rows.select("k", "n", F.array_join(state.merge_components(F.col("cur"), F.col("prev")), " ").alias("components"))
+
+
 @query("status_changes", f"WITH {HALVES_SQL} SELECT activity_id, was AS from_status, quota_status AS to_status FROM merged WHERE was <> quota_status")
 def status_changes(t: Tables):
     before, _ = _halves(t)

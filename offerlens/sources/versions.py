@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offerlens.session import staged
+
 MARKER = "_COMMITTED"
 
 
@@ -58,6 +62,50 @@ def commit_run(
     return True
 
 
+# ---------------------------------------------------------------- tables in buckets
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def bucket_versions(spark: SparkSession, base: str, table: str, version: int | None = None) -> dict[int, int]:
+    """Bucket -> the version whose files hold it, as of a committed version; a table has few buckets."""
+    manifest = read_state(spark, base, f"{table}.buckets", version)
+    return {} if manifest is None else {r["bucket"]: r["version"] for r in manifest.collect()}
+
+
+def read_buckets(spark: SparkSession, base: str, table: str, version: int | None = None, only: set[int] | None = None) -> DataFrame | None:
+    """A bucketed table, or some of its buckets, as of a committed version; None if nothing is stored."""
+    held = bucket_versions(spark, base, table, version)
+    paths = [f"{base}/v={v}/{table}/bucket={b}" for b, v in sorted(held.items()) if only is None or b in only]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def commit_buckets(
+    base: str, version: int, table: str, batch: DataFrame, key: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], buckets: int = 64
+) -> set[int]:
+    """Commit a version of which only the buckets with keys of ``batch`` are written; returns these.
+
+    ``merge`` makes the new rows of these buckets from the stored ones (None if there are none) and the batch. All other
+    buckets are carried by reference: the version's manifest names for each bucket the version that holds it, so versions
+    must not be deleted while a manifest names them. ``buckets`` stays the same for the life of a table. Repeating a
+    committed version writes nothing.
+    """
+    spark = batch.sparkSession
+    if version in versions(spark, base):
+        return set()
+    held = bucket_versions(spark, base, table)
+    batch = staged(batch.withColumn("bucket", _bucket(key, buckets)), "batch")
+    touched = {r["bucket"] for r in batch.select("bucket").distinct().collect()}
+    new = merge(read_buckets(spark, base, table, None, touched) if held else None, batch.drop("bucket"))
+    new = new.withColumn("bucket", _bucket(key, buckets))
+    manifest = spark.createDataFrame(sorted((held | dict.fromkeys(touched, version)).items()), "bucket int, version int")
+    # Rows of a bucket go to one task and one file.
+    commit_run(spark, base, version, {table: new.repartition("bucket"), f"{table}.buckets": manifest.coalesce(1)}, {table: ["bucket"]})
+    return touched
+
+
 def append_fact(df: DataFrame, path: str, run_id: str) -> None:
     """Facts of one run in their own partition folder; writing the run again replaces only that folder."""
     df.drop("run_id").write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
