@@ -66,6 +66,18 @@ def probe(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def columns_of(df: DataFrame, without: str, *more: str) -> str:
     """Schema text of ``df`` without one column and with ``more``."""
     return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != without] + list(more))

@@ -8,8 +8,8 @@ one. This is compared for every item that has the windows. Items of one template
 kin and cost one row.
 
 A text is read up to three times: with the capitalised words inside sentences as names, with all capitalised words as
-names, and as plain lower-cased words, which finds copies in other case. A plain window inside a run whose values
-contradict each other does not count.
+names, and as plain lower-cased words, which finds copies in other case. A plain window is a verbatim copy and always
+counts, whatever stands around it; values decide between template windows only.
 
 A fixed-size bitmap of the benchmark's window hashes goes to all tasks and keeps nearly all other windows from being
 shuffled; the join decides. A larger benchmark makes it pass more, never less.
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import columns_of, op, probe, table
+from offerlens.llm.common import columns_of, op, probe, spare, table
 from offerlens.session import staged
 
 #: Tokens of a window. Shorter items are one window; below ``LEAST`` tokens a template says too little, and only plain words are compared.
@@ -182,8 +182,8 @@ def _windows(df: DataFrame, sizes: dict[bool, tuple[int, ...]] | None, sieve=Non
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, row, item_id, n_windows) of the rows of ``docs`` whose text holds part of an item of ``benchmark``.
 
-    ``row`` is ``xxhash64(doc_id, text)``, which tells rows of one id apart; equal rows are one. ``item_id`` is the
-    smallest item found, ``n_windows`` the distinct windows of the text that match. Items of under ``LEAST`` tokens are
+    ``row`` is ``xxhash64(doc_id, text)``, which tells rows of one id apart; equal rows are one. ``item_id`` is the item
+    that most windows match, the smallest of such, ``n_windows`` the distinct windows of the text that match. Items of under ``LEAST`` tokens are
     found word for word only. Items without a token take no part; nor do null and empty texts.
     """
     spark = docs.sparkSession
@@ -206,18 +206,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     apart = F.coalesce(F.col("pos") - F.lag("pos").over(along) >= F.col("size"), F.lit(True))
     found = found.withColumn("apart", apart).withColumn("run", F.sum(F.col("apart").cast("int")).over(along.rangeBetween(Window.unboundedPreceding, 0)))
     pair = F.arrays_zip(F.col("islots").alias("i"), F.col("slots").alias("d"))
-    found = found.groupBy(*occurrence, "run").agg(
-        F.min("item_id").alias("item_id"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"), F.collect_set(F.struct("begin", "end")).alias("at"),
-        F.struct(F.min("begin").alias("begin"), F.max("end").alias("end")).alias("whole"),
-    )
-    good = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")
-    found = found.groupBy("doc_id", "row", "kin").agg(
-        F.collect_list(F.when(good, F.struct("item_id", (F.col("reading") == _PLAIN).alias("plain"), "at"))).alias("good"),
-        F.collect_list(F.when(~good & (F.col("reading") == F.col("ireading")), F.col("whole"))).alias("bad"),
-    )
-    found = found.select("doc_id", "row", "bad", F.inline("good")).select("doc_id", "row", "bad", "item_id", "plain", F.inline("at"))
-    spoilt = F.exists("bad", lambda x: (x["begin"] <= F.col("begin")) & (F.col("end") <= x["end"]))
-    return found.filter(~F.col("plain") | ~spoilt).groupBy("doc_id", "row").agg(F.min("item_id").alias("item_id"), F.count_distinct("begin").cast("int").alias("n_windows"))
+    found = found.groupBy(*occurrence, "run").agg(F.min("item_id").alias("item_id"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"), F.collect_set(F.struct("begin", "end")).alias("at"))
+    good = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")  # plain windows have no pairs
+    found = found.filter(good).select("doc_id", "row", "item_id", F.inline("at")).select("doc_id", "row", "item_id", "begin").distinct()
+    found = staged(found, "matches")
+    most = found.groupBy("doc_id", "row", "item_id").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id", "row").agg(F.min(F.struct(-F.col("n"), "item_id"))["item_id"].alias("item_id"))
+    count = found.groupBy("doc_id", "row").agg(F.count_distinct("begin").cast("int").alias("n_windows"))
+    count = count.withColumnsRenamed({"doc_id": "id", "row": "of"})
+    return most.join(count, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("of"))).select("doc_id", "row", "item_id", "n_windows")
 
 
 def flag(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -229,9 +225,13 @@ def flag(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold benchmark text."""
-    found = staged(contaminated(docs, benchmark), "contaminated").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
-    return docs.join(probe(found), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("doc_id", "text") == F.col("_row")), "left_anti")
+    """``docs`` without the rows that hold benchmark text; columns pass, whatever their names.
+
+    Equal rows stay or go together. Null and empty texts stay, long ones are read whole, and empty tables change nothing.
+    """
+    whose, which = spare(docs, "_id", "_row")
+    found = staged(contaminated(docs, benchmark), "contaminated").select(F.col("doc_id").alias(whose), F.col("row").alias(which))
+    return docs.join(probe(found), F.col("doc_id").eqNullSafe(F.col(whose)) & (F.xxhash64("doc_id", "text") == F.col(which)), "left_anti")
 
 
 @op("op7_decontaminate")

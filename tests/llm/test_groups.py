@@ -187,7 +187,29 @@ def test_slots_must_be_consistent(spark, documents):
     bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
     rows = [(1, item.replace("5", "8").replace("7", "2")), (2, item.replace("5 red", "8 red"))]
     got = {r["doc_id"]: r["contaminated"] for r in decontaminate.flag(documents(rows), bench).collect()}
-    assert got[1] and not got[2]
+    assert got[1] and got[2]  # the second holds 14 words of the item as they stand
+    short = " ".join(item.split()[:13])  # no eight words without a number
+    bench = spark.createDataFrame([(1, short)], "item_id bigint, text string")
+    rows = [(1, short.replace("5", "8").replace("7", "2")), (2, short.replace("5 red", "8 red").replace("7", "2").replace("5 green", "9 green")), (3, short)]
+    got = {r["doc_id"]: r["contaminated"] for r in decontaminate.flag(documents(rows), bench).collect()}
+    assert got == {1: True, 2: False, 3: True}
+
+
+def test_words_that_stand_verbatim_always_count(spark, documents):
+    """Whatever is changed around them, eight words of an item in a row are found."""
+    rnd = random.Random(17)
+    vocabulary = ["Ann", "Tom", "Rome", *"takes gives counts holds red blue old small bag box stones apples and then to of the river house".split()]
+    items = [" ".join(rnd.choice(vocabulary) if rnd.random() < 0.75 else str(rnd.randint(2, 40)) for _ in range(rnd.randint(9, 24))) for _ in range(25)]
+    docs, want = [], []
+    for k in range(150):
+        words = rnd.choice(items).split()
+        at = rnd.randrange(len(words) - 7)
+        out = [w if at <= j < at + 8 else str(rnd.randint(50, 99)) if w.isdigit() else rnd.choice((w, "Oslo" if w[0].isupper() else "green")) for j, w in enumerate(words)]
+        docs.append((k, "some words before " + " ".join(out) + " and some behind"))
+        want.append(k)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {r["doc_id"] for r in decontaminate.flag(documents(docs), bench).filter("contaminated").collect()}
+    assert got == set(want)
 
 
 def test_benchmark_query_equals_plain_windows(spark):
