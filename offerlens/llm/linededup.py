@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import op, probe, table
+from offerlens.llm.common import op, probe, spare, table
 from offerlens.session import staged
 
 #: Shorter lines are layout (headings, list marks, closings) and stay.
@@ -102,7 +102,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int |
     up in the same one; it goes whether or not that earlier line stays itself. Lines below ``min_chars`` characters
     stay and count for nothing, but with ``exact_chars`` those of at least so many that are not blank go if an equal line
     occurs earlier. Lines of the same id and line number tie and stay (repeated rows). Rows with a null id
-    take no part. Null text stays null with no lines. Columns n_lines and n_removed of ``docs`` are replaced.
+    take no part. Null text stays null with no lines, an empty text is one blank line, long texts are read whole, and an
+    empty table stays empty. Columns n_lines and n_removed of ``docs`` are replaced, any others pass, whatever their names.
     """
     docs = docs.drop("n_lines", "n_removed")
     n = F.col("n")
@@ -115,16 +116,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int |
     verdict = staged(verdict, "line-verdicts")
     gone = lines.select("doc_id", "row", "no", "h1", "h2").join(probe(verdict), ["h1", "h2"])
     gone = gone.filter(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "no") > F.col("first")))
-    gone = gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("no")).alias("_gone"))
-    gone = gone.withColumnsRenamed({"doc_id": "_id", "row": "_row"})
-    out = docs.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left")
+    whose, which, places = spare(docs, "_id", "_row", "_gone")
+    gone = gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("no")).alias(places))
+    gone = gone.withColumnsRenamed({"doc_id": whose, "row": which})
+    out = docs.join(gone, (F.col("doc_id") == F.col(whose)) & (F.xxhash64("text") == F.col(which)), "left")
     all_lines = F.split("text", "\n", -1)
-    bounds = F.concat(F.array(F.lit(-1)), "_gone", F.array(F.size(all_lines)))
-    kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_gone") + 1), lambda k: F.slice(all_lines, F.element_at(bounds, k) + 2, F.element_at(bounds, k + 1) - F.element_at(bounds, k) - 1)))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    bounds = F.concat(F.array(F.lit(-1)), places, F.array(F.size(all_lines)))
+    kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size(places) + 1), lambda k: F.slice(all_lines, F.element_at(bounds, k) + 2, F.element_at(bounds, k + 1) - F.element_at(bounds, k) - 1)))
+    text = F.when(F.col(places).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     lines_in = F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines))
-    return out.select(*columns, lines_in.alias("n_lines"), F.coalesce(F.array_size("_gone"), F.lit(0)).alias("n_removed"))
+    return out.select(*columns, lines_in.alias("n_lines"), F.coalesce(F.array_size(places), F.lit(0)).alias("n_removed"))
 
 
 _SQL = f"""
