@@ -35,6 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-equal fingerprints the document of the smallest id stays, with all rows of that id; rows without an id stay."""
     prepare(spark)
+    docs = docs.select(*COLUMNS)
     found = simhash.near_duplicates(docs)
     gone = staged(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
     return docs.join(probe(gone), F.col("doc_id") == F.col("_id"), "left_anti").select(*COLUMNS)
@@ -43,7 +44,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark, re-parameterised ones included, go."""
     prepare(spark)
-    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return decontaminate.remove_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
