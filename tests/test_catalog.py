@@ -21,18 +21,15 @@ def test_query_matches_sql(spark, con, sf, name):
     assert ok, message
 
 
-def test_only_similarity_queries_lack_sql():
-    assert {n for n, q in QUERIES.items() if not q.sql} == {
-        "link_titles_similar",
-        "link_document_titles",
-        "apply_title_matches",
-    }
+def test_every_query_has_sql():
+    assert {n for n, q in QUERIES.items() if not q.sql} == set()
 
 
 # Pages and payloads need a parser; the title ratio runs on pruned pairs.
 PYTHON = {
     "page_extract", "page_text", "page_links", "link_indegree", "listing_links", "event_links", "json_documents", "chunk_recovery", "next_round",
     "detail_reconcile", "announcement_evidence", "link_titles_similar", "link_document_titles", "apply_title_matches",
+    "title_evidence_links",
 }
 
 
