@@ -30,6 +30,8 @@ from offerlens.llm.suffixsort import Spool, sorted_suffixes
 LENGTH, PIECE = 50, 16
 #: Bytes of a document that are hashed at a time, and of segments that a task holds before it sends them.
 STRETCH, SEND = 1 << 20, 16 << 20
+#: Bytes of short documents that are hashed together.
+TOGETHER = 1 << 15
 #: Shards into which a task parts what it gets; it sorts one at a time, so more of them need less scratch space at once.
 SHARDS = 16
 #: Bytes of a name that tell whether documents share it; a longer match of names only lets more segments through.
@@ -54,13 +56,7 @@ def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(name, start, bytes) of the runs of windows of equal name, in order; nothing below ``LENGTH`` bytes."""
     out = []
     for begin in range(0, max(len(data) - LENGTH + 1, 0), STRETCH):
-        m = _hashes(data[begin : begin + STRETCH + LENGTH - 1])
-        width, reach = 1, LENGTH - PIECE + 1
-        while 2 * width <= reach:
-            m = np.minimum(m[:-width], m[width:])
-            width *= 2
-        if width < reach:
-            m = np.minimum(m[: len(m) - (reach - width)], m[reach - width :])
+        m = _window_names(data[begin : begin + STRETCH + LENGTH - 1])
         first = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
         out.append((m[first], first + begin, np.diff(np.append(first, len(m))) + LENGTH - 1))
     if not out:
@@ -68,6 +64,48 @@ def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _window_names(data: np.ndarray) -> np.ndarray:
+    """Least hash of the pieces of each window of ``LENGTH`` bytes."""
+    m = _hashes(data)
+    width, reach = 1, LENGTH - PIECE + 1
+    while 2 * width <= reach:
+        m = np.minimum(m[:-width], m[width:])
+        width *= 2
+    return np.minimum(m[: len(m) - (reach - width)], m[reach - width :]) if width < reach else m
+
+
+def segments_of(values: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``segments`` of each value, in order; short values next to each other are hashed together."""
+    begin = 0
+    while begin < len(values):
+        end, size = begin + 1, len(values[begin] or b"")
+        while end < len(values) and size + len(values[end] or b"") <= TOGETHER:
+            size += len(values[end] or b"")
+            end += 1
+        if end == begin + 1 or size < LENGTH:
+            yield from (segments(_bytes(v)) for v in values[begin:end])
+        else:
+            yield from _together(values[begin:end])
+        begin = end
+
+
+def _together(values: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    sizes = np.array([len(v or b"") for v in values], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    m = _window_names(_bytes(b"".join(v or b"" for v in values)))
+    inside = np.ones(len(m) + 1, dtype=bool)  # windows that lie in one value; one more closes the last run
+    inside[-1] = False
+    for e in ends[:-1].tolist():
+        inside[max(e - LENGTH + 1, 0) : e] = False
+    fresh = np.flatnonzero(inside[:-1] & np.concatenate(([True], (m[1:] != m[:-1]) | ~inside[:-2])))
+    stop = np.flatnonzero(~inside)
+    close = stop[np.searchsorted(stop, fresh)]
+    length = np.minimum(np.append(fresh[1:], len(m)), close) - fresh + LENGTH - 1
+    names, cuts = m[fresh], np.searchsorted(fresh, ends)
+    for a, b, base in zip([0, *cuts[:-1].tolist()], cuts.tolist(), (ends - sizes).tolist()):
+        yield names[a:b], fresh[a:b] - base, length[a:b]
+
+
 def _short(name: np.ndarray) -> np.ndarray:
     """The leading ``NAME_BYTES`` bytes of names, as numbers."""
     return name >> np.uint64(64 - 8 * NAME_BYTES)
@@ -81,7 +119,7 @@ def _names(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
     """(part, names, docs, counts): by part of the name space the distinct names of each document of a batch."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        found = [np.unique(_short(segments(_bytes(v))[0])) for v in batch.column(1).to_pylist()]
+        found = [np.unique(_short(name)) for name, _, _ in segments_of(batch.column(1).to_pylist())]
         name = np.concatenate(found) if found else np.zeros(0, np.uint64)
         row = np.repeat(np.arange(len(found)), [len(x) for x in found])
         part = (name >> np.uint64(8)) % np.uint64(parts)
@@ -146,8 +184,8 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         rows = batch.column(1).to_numpy(zero_copy_only=False)
-        for r, (value, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
-            name, start, size = segments(_bytes(value))
+        values = batch.column(2).to_pylist()
+        for r, (value, wanted, (name, start, size)) in enumerate(zip(values, batch.column(3), segments_of(values))):
             at = np.flatnonzero(np.isin(_short(name), np.unique(wanted.values.to_numpy().view(np.uint64))))
             if not len(at):
                 continue

@@ -103,9 +103,13 @@ def _star_places(text: np.ndarray, chunk: int = 1 << 20) -> Iterator[np.ndarray]
 
 def _keys(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """First bytes of the suffixes as big-endian words, zeros behind the end."""
-    place = at[:, None] + np.arange(8 * WORDS)
-    inside = place < len(text)
-    raw = np.where(inside, text[np.minimum(place, len(text) - 1)], 0).astype(np.uint8)
+    width = 8 * WORDS
+    raw = np.zeros((len(at), width), dtype=np.uint8)
+    whole = at <= len(text) - width
+    if whole.any():
+        raw[whole] = np.lib.stride_tricks.sliding_window_view(text, width)[at[whole]]
+    for k in np.flatnonzero(~whole).tolist():  # at most ``width`` places
+        raw[k, : len(text) - at[k]] = text[at[k] :]
     return raw.view(">u8").astype(np.uint64)
 
 

@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from offerlens.llm import bytepairs, centroids, merkle
+from offerlens.llm import bytepairs, centroids, merkle, suffixdedup
 from offerlens.llm.queries import load
 from tests import oracle
 
@@ -300,3 +300,16 @@ def test_too_large_components_are_an_error(spark):
     vectors = spark.createDataFrame([(1, [2e5] * 64)], "vec_id bigint, embedding array<double>")
     with pytest.raises(Exception, match="too large"):
         centroids.integers(vectors).collect()
+
+
+# ------------------------------------------------------------------ passages
+
+
+def test_documents_hashed_together_have_the_segments_of_each_alone(monkeypatch):
+    rnd = random.Random(21)
+    for _ in range(150):
+        monkeypatch.setattr(suffixdedup, "TOGETHER", rnd.choice((100, 1000, 1 << 15)))
+        values = [None if rnd.random() < 0.1 else bytes(rnd.choice(b"ab") for _ in range(rnd.choice((0, 3, 49, 50, 51, 99, 300, 900)))) for _ in range(rnd.randint(1, 40))]
+        for got, value in zip(list(suffixdedup.segments_of(values)), values, strict=True):
+            for a, b in zip(got, suffixdedup.segments(suffixdedup._bytes(value))):
+                assert np.array_equal(a, b)
