@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from offerlens.functions import dates, quota
 from offerlens.operators import periods, rewards
 from offerlens.plans.base import AS_OF, OFFERS_SQL, Tables, day, lifecycle_sql, offers, query, text
+from offerlens.session import spread
 
 # Order dates are moved 29 years on, into the years the parser accepts.
 S = "CAST(CAST(o_orderdate AS DATE) + INTERVAL 29 YEAR AS DATE)"
@@ -137,7 +138,8 @@ def long_text_decisions(t: Tables):
     far = F.concat(F.repeat(F.lit("條款文字"), 5250), text(" 2026/7/"), (k % 28 + 1).cast("string"), text("～2026/8/31"))
     month = F.concat(F.repeat(F.lit("x"), 1200), (F.col("c_nationkey") % 12 + 1).cast("string"), text("月"))
     notice = F.concat(text("本活動回饋已全數額滿"), F.repeat(F.lit("長"), 590), k.cast("string"))
-    rows = t.customer.select("c_custkey", dates.resolve_period(far).alias("p"), dates.mentioned_months(month).alias("m"), quota.quota_of(notice).alias("q"))
+    customers = spread(t.customer.select("c_custkey", "c_nationkey"))
+    rows = customers.select("c_custkey", dates.resolve_period(far).alias("p"), dates.mentioned_months(month).alias("m"), quota.quota_of(notice).alias("q"))
     return rows.select(
         "c_custkey", F.col("p.start").alias("start_date"), F.col("p.end").alias("end_date"), F.array_join("m", ",").alias("months"),
         F.col("q.status").alias("quota_status"), F.length("q.excerpt").cast("bigint").alias("excerpt_chars"),

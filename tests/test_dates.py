@@ -86,3 +86,24 @@ def test_months(spark):
         dates.mentioned_months(F.col("t")).alias("m")
     ).first()
     assert row.m == [7, 8, 9]
+
+
+def test_long_texts_are_dealt_over_all_cores(spark, tmp_path):
+    """A customer table of one row group is one task to read; the long texts made of it are parsed by many."""
+    from offerlens.plans.q_periods import long_text_decisions
+    from offerlens.plans.base import Tables
+
+    spark.createDataFrame([(k, k % 25) for k in range(40)], "c_custkey bigint, c_nationkey int").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    out = long_text_decisions(Tables(spark, str(tmp_path)))
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert {(r["c_custkey"], r["months"]) for r in out.collect()} == {(k, str(k % 25 % 12 + 1)) for k in range(40)}
+
+
+def test_texts_without_colon_tab_or_label(spark):
+    """What is looked for before a regex runs does not change its result."""
+    rows = ["startDate: 2026-07-01\nendDate: 2026-07-02", "\u017ftartDate: 2026-07-01 endDate: 2026-07-02", "startDate\uff1a2026-07-01", "a\t\r\tb 2026/7/1~2026/7/2", "回饋期間\t2026/7/1", None, ""]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k int, text string")
+    got = {r["k"]: r for r in df.select("k", dates.resolve_period(F.col("text")).alias("p"), dates.low_window(F.col("text")).alias("low"), F.size(dates.period_windows(F.col("text"))).alias("n")).collect()}
+    assert [got[k]["p"]["confidence"] for k in range(7)] == ["high", "high", "none", "low", "low", "none", "none"]
+    assert got[3]["low"] == "a b 2026/7/1~2026/7/2" and got[5]["low"] is None and got[6]["low"] == ""
+    assert [got[k]["n"] for k in (3, 4, 6)] == [0, 1, 0]
