@@ -1,8 +1,10 @@
 """Status tracker with keyed state and timers: sticky status, change feed and expiry inside the stream, and a compacted log.
 
 State of a key is the three newest observations that the sticky rules depend on, its status, and when it was last seen.
-Each batch emits one row per touched key that says what became of it, so the change feed is a filter of the log and not
-a join with earlier batches. A key that nobody observed for long enough leaves the state through an event-time timer.
+Keys are held together in ``BUCKETS`` buckets, as each call to the state store costs far more than the work on a key: a batch
+reads and writes a bucket once. Each batch emits one row per touched key that says what became of it, so the change feed
+is a filter of the log and not a join with earlier batches. A key that nobody observed for long enough leaves the state
+through the event-time timer of its bucket, which is set to the earliest of its keys.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ DECISIVE = (*STICKY, "confirmed_available")
 NOTHING = "not_marked_full"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _SEEN = ("decisive", "telling", "last")
-STATE = ", ".join(f"{n}_ts bigint, {n}_seq bigint, {n}_status string" for n in _SEEN) + ", observations bigint, status string, timer bigint"
+STATE = ", ".join(f"{n}_ts bigint, {n}_seq bigint, {n}_status string" for n in _SEEN) + ", observations bigint, status string, due bigint"
+#: Buckets of keys; fixed for the life of a checkpoint.
+BUCKETS = 256
 LOG = "kind string, from_status string, to_status string, observations bigint, last_seen timestamp"
 
 
@@ -36,49 +40,77 @@ def sticky(newest: dict[str, tuple | None]) -> str:
 
 
 class StatusProcessor(StatefulProcessor):
-    """Folds observations (ts, seq, quota_status) of a key; ``idle_ms`` after the last one the key is forgotten."""
+    """Folds observations (key, ts, seq, quota_status) of the keys of a bucket; ``idle_ms`` after its last one a key is forgotten."""
 
-    def __init__(self, key: str, idle_ms: int) -> None:
-        self.key, self.idle_ms = key, idle_ms
+    def __init__(self, key: str, kind: str, idle_ms: int) -> None:
+        self.key, self.kind, self.idle_ms = key, kind, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("status", STATE)
-
-    def _row(self, key, kind: str, before: str | None, now: str | None, observations: int, last_us: int) -> pd.DataFrame:
-        seen = pd.Timestamp(last_us, unit="us")
-        return pd.DataFrame([(key[0], kind, before, now, observations, seen)], columns=[self.key, "kind", "from_status", "to_status", "observations", "last_seen"])
+        self.state = handle.getListState("keys", f"k {self.kind}, {STATE}")
+        self.timer = handle.getValueState("timer", "due bigint")
+
+    def _held(self) -> dict:
+        """Key to (newest decisive, telling and last observation, observations, status, due)."""
+        held = {}
+        for row in self.state.get() if self.state.exists() else ():
+            newest = [None if row[3 * k + 3] is None else tuple(row[3 * k + 1 : 3 * k + 4]) for k in range(len(_SEEN))]
+            held[row[0]] = (newest, *row[10:13])
+        return held
+
+    def _keep(self, held: dict) -> None:
+        """Write the keys and set the timer to the earliest one that would be forgotten."""
+        rows = [(key, *[v for seen in newest for v in (seen or (None, None, None))], *rest) for key, (newest, *rest) in held.items()]
+        if rows:
+            self.state.put(rows)
+        elif self.state.exists():
+            self.state.clear()
+        before = self.timer.get()[0] if self.timer.exists() else None
+        due = min((h[3] for h in held.values()), default=None)
+        if before != due:
+            if before is not None:
+                self.handle.deleteTimer(before)
+                self.timer.clear()
+            if due is not None:
+                self.handle.registerTimer(due)
+                self.timer.update((due,))
+
+    def _rows(self, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=[self.key, "kind", "from_status", "to_status", "observations", "last_seen"])
+        return out.assign(last_seen=pd.to_datetime(out["last_seen"], unit="us"))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        newest: dict[str, tuple | None] = dict.fromkeys(_SEEN)
-        count, before, timer = 0, None, None
-        if held is not None:
-            newest = {n: None if held[3 * k + 2] is None else tuple(held[3 * k : 3 * k + 3]) for k, n in enumerate(_SEEN)}
-            count, before, timer = held[9:12]
+        held = self._held()
+        whole = self.kind in ("tinyint", "smallint", "int", "bigint")
+        found: dict = {}
         for frame in rows:
-            count += len(frame)
-            for ts, seq, status in zip(frame["ts"], frame["seq"], frame["quota_status"]):
+            for k, ts, seq, status in zip(frame[self.key], frame["ts"], frame["seq"], frame["quota_status"]):
+                k = None if pd.isna(k) else int(k) if whole else k
+                if k not in found:
+                    found[k] = [list(held[k][0]) if k in held else [None] * len(_SEEN), held[k][1] if k in held else 0]
+                newest = found[k][0]
+                found[k][1] += 1
+                status = None if pd.isna(status) else status
                 seen = (ts.value // 1000, int(seq), status)
-                for name, counts in zip(_SEEN, (status in DECISIVE, status != NOTHING, True)):
-                    if counts and (newest[name] is None or seen > newest[name]):
-                        newest[name] = seen
-        now = sticky(newest)
-        last_us = newest["last"][0]
-        due = last_us // 1000 + self.idle_ms
-        if timer != due:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(due)
-        flat = [v for n in _SEEN for v in (newest[n] or (None, None, None))]
-        self.state.update((*flat, count, now, due))
-        kind = "new" if held is None else "same" if before == now else "change"
-        yield self._row(key, kind, before, now, count, last_us)
+                for n, counts in enumerate((status in DECISIVE, status != NOTHING, True)):
+                    if counts and (newest[n] is None or seen > newest[n]):
+                        newest[n] = seen
+        out = []
+        for k, (newest, count) in found.items():
+            now, before, last_us = sticky(dict(zip(_SEEN, newest))), held[k][2] if k in held else None, newest[-1][0]
+            out.append((k, "new" if k not in held else "same" if before == now else "change", before, now, count, last_us))
+            held[k] = (newest, count, now, last_us // 1000 + self.idle_ms)
+        self._keep(held)
+        yield self._rows(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.state.get()
-        self.state.clear()
-        yield self._row(key, "expired", held[10], None, held[9], held[6])
+        # The timer that has run out is gone; those of other keys of the bucket may be due as well.
+        self.timer.clear()
+        held, mark = self._held(), max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        gone = {k for k, h in held.items() if h[3] <= mark}
+        out = [(k, "expired", held[k][2], None, held[k][1], held[k][0][-1][0]) for k in gone]
+        self._keep({k: h for k, h in held.items() if k not in gone})
+        yield self._rows(out)
 
     def close(self) -> None:
         pass
@@ -121,7 +153,8 @@ def track(observations: DataFrame, key: str, lateness: str, idle_ms: int, table:
     spark = observations.sparkSession
     rows = observations.select(key, "ts", F.col("seq").cast("bigint").alias("seq"), "quota_status").withWatermark("ts", lateness)
     kind = rows.schema[key].dataType.simpleString()
-    found = rows.groupBy(key).transformWithStateInPandas(StatusProcessor(key, idle_ms), f"`{key}` {kind}, {LOG}", "Append", "eventTime")
+    buckets = rows.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")).groupBy("__bucket")
+    found = buckets.transformWithStateInPandas(StatusProcessor(key, kind, idle_ms), f"`{key}` {kind}, {LOG}", "Append", "eventTime")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/log/batch_id={batch_id}")

@@ -67,3 +67,20 @@ def test_reading_takes_one_version_and_few_batches(spark, tmp_path):
     assert max(read[2:]) <= 4
     batch = state.sticky_status(spark.read.parquet(src), ["k"], "quota_status", ["ts", "seq"]).select("k", F.col("quota_status").alias("to_status"))
     assert now.select("k", "to_status").exceptAll(batch).count() == 0
+
+
+def test_keys_share_state_calls_and_timers(spark, tmp_path):
+    """Many keys are held in few buckets: state is called once per bucket and batch, not once per key, and results stay per key."""
+    src, table, ckpt = (str(tmp_path / n) for n in ("src", "table", "ckpt"))
+    many = 3 * keyed.BUCKETS
+    add(spark, src, [(f"k{n}", f"2024-01-0{n % 3 + 1}", n, "sold_out" if n % 2 else "not_marked_full") for n in range(many)] + [(None, "2024-01-02", many, "sold_out")])
+    run(spark, src, table, ckpt, every=100)
+    add(spark, src, [("late", "2024-01-13T12:00", many + 1, "sold_out"), ("k1", "2024-01-13", many + 2, "not_marked_full")])
+    run(spark, src, table, ckpt, every=100)
+    log = spark.read.parquet(f"{table}/log")
+    # The watermark is 01-12T12:00: keys seen on 01-01 and 01-02 have expired, those of 01-03 and the newer ones live.
+    gone = {r.k for r in log.filter("kind = 'expired'").collect()}
+    assert gone == {None} | {f"k{n}" for n in range(many) if n % 3 < 2 and n != 1}
+    assert {r.k for r in keyed.current_status(spark, table, "k").collect()} == {"late", "k1"} | {f"k{n}" for n in range(many) if n % 3 == 2}
+    stores = log.filter("kind = 'same'").collect()
+    assert [(r.k, r.from_status, r.to_status, r.observations) for r in stores] == [("k1", "sold_out", "sold_out", 2)]
