@@ -54,7 +54,7 @@ class StatusProcessor(StatefulProcessor):
         """Key to (newest decisive, telling and last observation, observations, status, due)."""
         held = {}
         for row in self.state.get() if self.state.exists() else ():
-            newest = [None if row[3 * k + 3] is None else tuple(row[3 * k + 1 : 3 * k + 4]) for k in range(len(_SEEN))]
+            newest = [None if row[3 * k + 1] is None else tuple(row[3 * k + 1 : 3 * k + 4]) for k in range(len(_SEEN))]
             held[row[0]] = (newest, *row[10:13])
         return held
 
@@ -76,8 +76,8 @@ class StatusProcessor(StatefulProcessor):
                 self.timer.update((due,))
 
     def _rows(self, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=[self.key, "kind", "from_status", "to_status", "observations", "last_seen"])
-        return out.assign(last_seen=pd.to_datetime(out["last_seen"], unit="us"))
+        rows = [(*row, pd.Timestamp(last_us, unit="us")) for *row, last_us in rows]
+        return pd.DataFrame(rows, columns=[self.key, "kind", "from_status", "to_status", "observations", "last_seen"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self._held()
@@ -87,7 +87,9 @@ class StatusProcessor(StatefulProcessor):
             for k, ts, seq, status in zip(frame[self.key], frame["ts"], frame["seq"], frame["quota_status"]):
                 k = None if pd.isna(k) else int(k) if whole else k
                 if k not in found:
-                    found[k] = [list(held[k][0]) if k in held else [None] * len(_SEEN), held[k][1] if k in held else 0]
+                    # An observation without a status does not outlast its batch.
+                    before, count = held[k][:2] if k in held else ([None] * len(_SEEN), 0)
+                    found[k] = [[seen if seen and seen[2] is not None else None for seen in before], count]
                 newest = found[k][0]
                 found[k][1] += 1
                 status = None if pd.isna(status) else status

@@ -84,3 +84,13 @@ def test_keys_share_state_calls_and_timers(spark, tmp_path):
     assert {r.k for r in keyed.current_status(spark, table, "k").collect()} == {"late", "k1"} | {f"k{n}" for n in range(many) if n % 3 == 2}
     stores = log.filter("kind = 'same'").collect()
     assert [(r.k, r.from_status, r.to_status, r.observations) for r in stores] == [("k1", "sold_out", "sold_out", 2)]
+
+
+def test_a_key_of_null_statuses_expires(spark, tmp_path):
+    """An observation without a status is not told apart from none by later batches, yet its key is forgotten like any other."""
+    src, table, ckpt = (str(tmp_path / n) for n in ("src", "table", "ckpt"))
+    for rows in ([("n", "2024-01-02", 1, None)], [("d", "2024-01-20", 2, "sold_out")]):
+        add(spark, src, rows)
+        run(spark, src, table, ckpt)
+    log = spark.read.parquet(f"{table}/log").filter("k = 'n'").collect()
+    assert {(r.kind, r.last_seen) for r in log} == {("new", dt.datetime(2024, 1, 2)), ("expired", dt.datetime(2024, 1, 2))}
