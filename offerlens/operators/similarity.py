@@ -7,9 +7,11 @@ as wide as lengths of similar titles may differ, so these lie in one band or in
 to be sure of a bigram meet under single characters by the same rule.
 
 A key that holds more than ``LARGEST_KEY`` titles is split by the second rarest shared gram, then by the third, as far
-as the titles of its band must share so many; what is still larger is dealt as pairs of blocks. Under a key an upper
-bound of the matched characters, the longest common subsequence, is computed for thousands of pairs at a time in the
-bits of machine words. Few pairs pass; each of them is scored once.
+as the titles of its band must share so many; what is still larger is dealt as pairs of blocks. Where titles would meet
+more often under such keys than if all of a (provider, band) met once, as in prose of one language, these all meet in
+pairs of blocks and no key is made. Two upper bounds of the matched characters, those that both titles hold and the longest
+common subsequence, are computed for thousands of pairs at a time in the bits of machine words. Few pairs pass; each
+of them is scored once.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ RATIO = 0.78
 #: Titles that meet under one key at most, before it is split; grams that a key is split by at most.
 LARGEST_KEY, DEPTH = 4096, 3
 #: Characters of the bit pattern of a title; those behind it count as matched. Pairs that are bounded at a time.
-PATTERN, PAIRS = 512, 1 << 17
-#: Characters fall into so many classes for the bound; equal ones always into the same.
-CLASSES = 127
+PATTERN, PAIRS = 512, 1 << 14
+#: Characters fall into so many classes for the bounds; equal ones always into the same. Repeats of a class that have a bit.
+CLASSES, REPEATS = 127, 16
 
 
 @F.pandas_udf(T.DoubleType())
@@ -91,11 +93,21 @@ def _keyed(titles: DataFrame, ratio: float) -> DataFrame:
     return rows.select("id", "provider_id", "band", "own", "must", sure.alias("sure"), F.slice(F.transform("grams", lambda g: g["gram"]), F.lit(1), needed).alias("grams"))
 
 
+def _key_spots() -> Column:
+    """(last, key) of the grams under which a title meets others, with the place of the gram in ``grams``."""
+    return F.posexplode(F.slice("grams", F.lit(1), F.greatest(F.size("grams") - F.least(F.col("sure"), F.lit(DEPTH)) + 1, F.lit(0)))).alias("last", "key")
+
+
 def title_keys(titles: DataFrame, ratio: float = RATIO, largest: int = LARGEST_KEY) -> DataFrame:
-    """(provider_id, band, key, pair, id, own): where titles (id, provider_id, norm) meet; ``pair`` is a pair of blocks of a key."""
-    rows = staged(_keyed(titles, ratio), "title-grams")
-    spot = F.posexplode(F.slice("grams", F.lit(1), F.greatest(F.size("grams") - F.least(F.col("sure"), F.lit(DEPTH)) + 1, F.lit(0)))).alias("last", "key")
-    keys = rows.select("*", spot)
+    """(provider_id, band, key, pair, id, own, side): where titles (id, provider_id, norm) meet; ``pair`` is a pair of blocks of a key.
+
+    ``side`` tells the two blocks of a pair apart (0 and 1); 2 stands for a block paired with itself.
+    """
+    return _split_keys(staged(_keyed(titles, ratio), "title-grams"), largest)
+
+
+def _split_keys(rows: DataFrame, largest: int) -> DataFrame:
+    keys = rows.select("*", _key_spots())
     group = ["provider_id", "band", "key"]
     done = None
     for depth in range(1, DEPTH + 1):
@@ -112,9 +124,29 @@ def title_keys(titles: DataFrame, ratio: float = RATIO, largest: int = LARGEST_K
         tail = F.slice("grams", F.col("last") + 2, F.greatest(more - F.col("last") - 1, F.lit(0)))
         keys = marked.filter(split).select(*rows.columns, F.col("key").alias("head"), F.col("last").alias("past"), F.posexplode(tail).alias("step", "gram"))
         keys = keys.select(*rows.columns, (F.col("past") + F.col("step") + 1).alias("last"), F.concat_ws(" ", "head", "gram").alias("key"))
+    return _dealt(done)
+
+
+def _dealt(keys: DataFrame) -> DataFrame:
+    """Titles of keys of several blocks in every pair of blocks that holds their own."""
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(k, own) * F.col("blocks") + F.greatest(k, own))
-    return done.select(*group, F.explode(pairs).alias("pair"), "id", "own")
+    side = lambda k: F.when(k == own, 2).when(own < k, 0).otherwise(1)
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda k: F.struct((F.least(k, own) * F.col("blocks") + F.greatest(k, own)).alias("pair"), side(k).alias("side")),
+    )
+    return keys.select("provider_id", "band", "key", F.explode(pairs).alias("p"), "id", "own").select("provider_id", "band", "key", "p.pair", "id", "own", "p.side")
+
+
+def _meetings(rows: DataFrame, largest: int) -> DataFrame:
+    """The keys of titles by grams, or, where that makes fewer pairs, one key for all titles of a (provider, band)."""
+    group = ["provider_id", "band"]
+    met = rows.select(*group, _key_spots()).groupBy(*group, "key").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    met = met.groupBy(*group).agg(F.sum(F.col("n") * F.col("n")).alias("met"))
+    crowded = rows.groupBy(*group).agg(F.count(F.lit(1)).cast("double").alias("n")).join(met, group).filter(F.col("met") >= F.col("n") * F.col("n"))
+    crowded = staged(crowded.select(*group, F.ceil(F.col("n") / largest).cast("int").alias("blocks")), "crowded")
+    together = rows.join(crowded, group).select(*group, F.lit("").alias("key"), "blocks", "id", "own")
+    return _split_keys(rows.join(crowded.select(*group), group, "left_anti").select(*rows.columns), largest).unionByName(_dealt(together))
 
 
 class _Batch:
@@ -132,6 +164,28 @@ class _Batch:
         self.masks = np.zeros((len(points), CLASSES + 1, self.words), dtype=np.uint64)
         row, place = np.nonzero(cut < CLASSES)
         np.bitwise_or.at(self.masks, (row, cut[row, place], place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+        self._hold()
+
+    def _hold(self) -> None:
+        """A bit per class and repeat that a title holds, in as many words as the titles need; further repeats are only counted."""
+        counts = np.zeros((len(self.text), CLASSES + 1), dtype=np.int64)
+        for at in range(self.text.shape[1]):
+            counts[np.arange(len(self.text)), self.text[:, at]] += 1
+        counts = counts[:, :CLASSES]
+        kept = np.minimum(counts, REPEATS)
+        self.more = (counts - kept).sum(axis=1)
+        first = np.concatenate([[0], np.cumsum(kept.max(axis=0, initial=0))])
+        self.held = np.zeros((-(-int(first[-1]) // 64), len(self.text)), dtype=np.uint64)
+        for c in np.flatnonzero(np.diff(first)):
+            for bit in range(first[c], first[c + 1]):
+                self.held[bit // 64] |= (kept[:, c] > bit - first[c]).astype(np.uint64) << np.uint64(bit % 64)
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the characters that the pairs of rows both hold, in any order, let them reach the ratio; no similar pair fails."""
+        both = np.minimum(self.more[a], self.more[b])
+        for word in self.held:
+            both += np.bitwise_count(word[a] & word[b])
+        return 2 * both >= self.ratio * (self.size[a] + self.size[b]) - 1e-9
 
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the pairs of rows may reach the ratio by lengths alone."""
@@ -174,16 +228,17 @@ class _Batch:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], ratio: float) -> Iterator[pa.RecordBatch]:
-    """Pairs under equal keys that pass the bound; rows (key columns ..., own, a, n, norm) come sorted by key."""
+    """Pairs under equal keys that pass the bound; rows (key columns ..., own, a, n, norm, side) come sorted by key."""
     held: list[tuple] = []
 
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         keys = np.array([0, *np.cumsum([x[:4] != y[:4] for x, y in zip(rows, rows[1:])])])
-        own, is_a, is_n = (np.array([r[c] for r in rows]) for c in (4, 5, 6))
+        own, is_a, is_n, side = (np.array([r[c] for r in rows]) for c in (4, 5, 6, 8))
         batch = _Batch([r[7] for r in rows], ratio)
         left: list[np.ndarray] = []
         right: list[np.ndarray] = []
         found: list[tuple[int, int]] = []
+        waiting = 0
 
         def flush() -> None:
             if left:
@@ -198,18 +253,23 @@ def _candidates(batches: Iterator[pa.RecordBatch], ratio: float) -> Iterator[pa.
             if not len(same):
                 break
             a, b = same, same + step
-            ok = (own[a] | own[b]) & ((is_a[a] & is_n[b]) | (is_n[a] & is_a[b])) & batch.near(a, b)
+            # Two titles of one block meet where the block is paired with itself.
+            ok = (own[a] | own[b]) & ((side[a] != side[b]) | (side[a] == 2)) & ((is_a[a] & is_n[b]) | (is_n[a] & is_a[b])) & batch.near(a, b)
+            a, b = a[ok], b[ok]
+            ok = batch.common(a, b)
             left.append(a[ok])
             right.append(b[ok])
-            if sum(map(len, left)) >= PAIRS:
+            waiting += len(left[-1])
+            if waiting >= PAIRS:
                 flush()
+                waiting = 0
         flush()
         out = {(rows[x][0], rows[p][7], rows[q][7]) for x, y in found for p, q in ((x, y), (y, x)) if is_a[p] and is_n[q]}
         if out:
             yield pa.RecordBatch.from_pylist([{"provider_id": p, "a_norm": a, "n_norm": n} for p, a, n in sorted(out, key=lambda r: (r[0] or "", *r[1:]))], pa.schema([("provider_id", pa.string()), ("a_norm", pa.string()), ("n_norm", pa.string())]))
 
     for batch in batches:
-        held += zip(*[batch.column(c).to_pylist() for c in range(8)])
+        held += zip(*[batch.column(c).to_pylist() for c in range(9)])
         if len(held) > 2048 and held[0][:4] != held[-1][:4]:  # whole keys; the last one may go on
             end = next(k for k in range(len(held) - 1, 0, -1) if held[k - 1][:4] != held[-1][:4])
             yield from solve(held[:end])
@@ -231,8 +291,8 @@ def similar_titles(left: DataFrame, right: DataFrame, ratio: float = RATIO, larg
     )
     titles = sides.filter("provider_id IS NOT NULL AND norm <> ''").groupBy("provider_id", "norm").agg(F.max("is_a").alias("is_a"), F.max("is_n").alias("is_n"))
     titles = staged(titles.withColumn("id", F.monotonically_increasing_id()), "titles")
-    keys = title_keys(titles.select("id", "provider_id", "norm"), ratio, largest)
-    rows = keys.join(titles.select("id", "norm", "is_a", "is_n"), "id").select("provider_id", "band", "key", "pair", "own", "is_a", "is_n", "norm")
+    keys = _meetings(staged(_keyed(titles.select("id", "provider_id", "norm"), ratio), "title-grams"), largest)
+    rows = keys.join(titles.select("id", "norm", "is_a", "is_n"), "id").select("provider_id", "band", "key", "pair", "own", "is_a", "is_n", "norm", "side")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     group = ["provider_id", "band", "key", "pair"]
     rows = rows.repartition(parts, *group).sortWithinPartitions(*group)

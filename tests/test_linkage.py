@@ -248,3 +248,35 @@ def test_bound_of_matched_characters_is_the_longest_common_subsequence():
         assert close or not reach
         if len(a) <= similarity.PATTERN:
             assert close == reach
+
+
+def test_titles_of_one_language_meet_once(spark):
+    """Where most titles share most grams, all of a band meet once in pairs of blocks, not again under every gram."""
+    rng = random.Random(8)
+    syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it".split()
+    rows = [(k, "hot", "".join(rng.choices(syllables, k=20))) for k in range(300)]
+    titles_ = spark.createDataFrame(rows, "id bigint, provider_id string, norm string")
+    keys = similarity._meetings(similarity._keyed(titles_, 0.78), 64).collect()
+    assert {r.key for r in keys} == {""}
+    home = [r for r in keys if r.own]
+    groups = {}
+    for r in home:
+        groups.setdefault((r.band, r.pair), []).append(r)
+    met = Counter()
+    for members in groups.values():
+        for i, x in enumerate(members):
+            for y in members[i + 1 :]:
+                if x.side != y.side or x.side == 2:
+                    met[frozenset((x.id, y.id))] += 1
+    assert len({r.band for r in home}) == 1 and len(met) == 300 * 299 // 2 and set(met.values()) == {1}
+
+
+def test_bound_of_common_characters_loses_no_pair():
+    rng = random.Random(14)
+    titles_ = ["".join(rng.choices("abcd夜", k=rng.choice((1, 5, 30, 64, 130)))) for _ in range(50)]
+    batch = similarity._Batch(titles_, 0.78)
+    pairs = [(i, j) for i in range(50) for j in range(50)]
+    got = batch.common(np.array([i for i, _ in pairs]), np.array([j for _, j in pairs]))
+    for (i, j), ok in zip(pairs, got):
+        a, b = titles_[i], titles_[j]
+        assert ok or 2 * (Counter(a) & Counter(b)).total() < 0.78 * (len(a) + len(b))
