@@ -10,7 +10,7 @@ from offerlens.plans.q_coverage import GAPS_SQL
 from offerlens.plans.q_extract import LINKS_SQL
 from offerlens.plans.q_urls import canonical_sql
 from offerlens.operators.periods import with_lifecycle
-from offerlens.session import staged
+from offerlens.session import spread, staged
 
 SPLIT = "2024-01-16"
 STATUSES = {
@@ -400,6 +400,7 @@ def evidence_identity(t: Tables):
     """Two notices that share their first 500 characters stay two; the one that is stored already is not doubled."""
     k = F.col("c_custkey").cast("string").alias("activity_id")
     excerpt = lambda v: F.concat(F.repeat(F.lit("同"), 500), F.lit(v)).alias("excerpt")
-    row = lambda v, n: t.customer.select(k, F.lit("u").alias("source_url"), excerpt(v), F.lit(n).alias("ord"))
-    merged = state.merge_evidence(row("a", 1), row("a", 1).unionByName(row("b", 2)), t.customer.select(k))
+    customers = spread(t.customer.select("c_custkey"))
+    row = lambda v, n: customers.select(k, F.lit("u").alias("source_url"), excerpt(v), F.lit(n).alias("ord"))
+    merged = state.merge_evidence(row("a", 1), row("a", 1).unionByName(row("b", 2)), customers.select(k))
     return merged.select("activity_id", F.right("excerpt", F.lit(1)).alias("variant"), F.length("excerpt").alias("excerpt_chars"))

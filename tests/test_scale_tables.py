@@ -74,3 +74,18 @@ def test_link_rules_do_not_grow_the_plan(spark):
     assert {x for s, x in found[0] if s == "s1"} == {"0", "1"} and {x for s, x in found[0] if s == "s3"} == {"0", "1", "2", "3"} and {x for s, x in found[0] if s == "s2"} == {"1"}
     assert {s for s, _ in found[0]} == {f"s{k}" for k in range(10)} and {s for s, _ in found[1]} == {f"s{k}" for k in range(20)}
     assert extract.discover_links(docs, {"s1": []}).count() == 0
+
+
+def test_pages_and_evidence_are_dealt_over_all_cores(spark, tmp_path):
+    """One row group of orders or customers is one task to read; pages and excerpts made of them lie in many."""
+    from offerlens.plans import base, q_state
+
+    spark.range(400).select(F.col("id").alias("o_orderkey")).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(40).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    tables, cores = base.Tables(spark, str(tmp_path)), spark.sparkContext.defaultParallelism
+    pages = base.order_pages(tables, base.text("<", F.col("o_orderkey"), ">"))
+    assert pages.rdd.getNumPartitions() >= cores
+    assert {(r["page_id"], r["items"]) for r in pages.collect()} == {(p, "".join(f"<{p * 20 + k}>" for k in range(20))) for p in range(20)}
+    merged = q_state.evidence_identity(tables)
+    assert "Repartition" in merged._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((int(r["activity_id"]), r["variant"]) for r in merged.collect()) == [(k, v) for k in range(40) for v in "ab"]
