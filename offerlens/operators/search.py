@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from offerlens.functions.dates import as_date_lit
 from offerlens.functions.text import all_matches
 from offerlens.operators.ranking import with_rank
+from offerlens.session import spread
 
 UPCOMING_DAYS, ENDING_DAYS = 14, 7
 CATEGORIES = ("featured", "high-return", "upcoming", "ending", "sold-out", "all")
@@ -133,15 +134,16 @@ RAREST = 3
 
 
 def write_postings(df: DataFrame, path: str, key: str) -> None:
-    """The index of ``search_text``: one row (gram, key) per row and distinct gram, sorted by gram across files.
+    """The index of ``search_text``: one row (gram, key) per row and distinct gram, every file sorted by gram.
 
-    Written with the catalogue. A gram's rows lie side by side, so a look-up reads the row groups whose range holds it.
+    Written with the catalogue. A file holds the grams of its own rows, so texts are dealt once and their many grams are
+    never shuffled; a look-up reads of each file the pages whose range holds its grams.
     """
-    text = F.coalesce("search_text", F.lit(""))
+    text = F.col("search_text")
+    narrow = spread(df.select(key, F.coalesce(text, F.lit("")).alias("search_text")))
     grams = F.transform(F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: F.substring(text, i, GRAM))
-    rows = df.select(key, F.explode(F.array_distinct(F.when(F.length(text) >= GRAM, grams))).alias("gram"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(parts, "gram", key).sortWithinPartitions("gram", key).write.parquet(path)
+    rows = narrow.select(key, F.explode(F.array_distinct(F.when(F.length(text) >= GRAM, grams))).alias("gram"))
+    rows.sortWithinPartitions("gram", key).write.parquet(path)
 
 
 def search_indexed(df: DataFrame, postings: DataFrame, key: str, query: str) -> DataFrame:

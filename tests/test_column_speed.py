@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerlens.functions import quota, text, urls
+from offerlens.operators import search
+from offerlens.plans import q_linkage, q_run
+from offerlens.plans.base import Tables
 
 WORDS = sorted({w for rules in quota.ZH_WORDS.values() for groups in rules for g in groups for w in g})
 #: Sentences that the rules accept, and the words alone and in pairs.
@@ -71,3 +74,37 @@ def test_identifiers_without_query_or_name(spark):
     )
     got = [tuple(r) for r in rows.select(urls.event_identifiers(F.col("u"), F.col("t")), urls.mentioned_urls(F.col("t"))).collect()]
     assert got == [(["e1"], ["https://b.c/d"]), (["7", "zz", "q9"], []), (["ab"], []), ([], None), ([], None)]
+
+
+def _dealt(df) -> int:
+    return df.rdd.getNumPartitions()
+
+
+def test_pages_of_a_run_are_dealt(spark, sf):
+    """Before, one task wrote all pages of a file of one row group."""
+    assert _dealt(q_run.pages(Tables(spark, sf), "d1").select("capture_id")) >= 8
+
+
+def test_offers_and_notices_are_dealt(spark, sf, monkeypatch):
+    monkeypatch.setattr(q_linkage, "staged", lambda df, name: df)
+    t = Tables(spark, sf)
+    assert _dealt(q_linkage.linked_offers(t).select("activity_id")) >= 8
+    assert _dealt(q_linkage.notices(t).select("announcement_id")) >= 8
+
+
+def test_index_is_written_without_a_shuffle_of_grams(spark, tmp_path):
+    """Before, all grams were computed twice, for the ranges and for the rows, and shuffled."""
+    texts = ["Offer one", "offer two 回饋 回饋", "of", "", None, "offer one"]
+    rows = spark.createDataFrame([(k, t and t.lower()) for k, t in enumerate(texts)], "seq long, search_text string")
+    path = str(tmp_path / "postings")
+    search.write_postings(rows, path, "seq")
+    found = spark.read.parquet(path)
+    want = {(t[i : i + 3].lower(), k) for k, t in enumerate(texts) if t for i in range(len(t) - 2)}
+    got = [(r["gram"], r["seq"]) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+    per_file = found.groupBy(F.input_file_name()).agg(F.countDistinct("seq").alias("n"), F.collect_set("seq").alias("keys")).collect()
+    held = [k for r in per_file for k in r["keys"]]
+    assert sorted(held) == sorted(set(held))  # the grams of a row lie in one file
+    for asked in ("offer one", "回饋", "one", "of", "", "none"):
+        hits = {r["seq"] for r in search.search_indexed(rows, found, "seq", asked).collect()}
+        assert hits == {k for k, t in enumerate(texts) if t is not None and asked in t.lower()}
