@@ -1,11 +1,13 @@
 """Removal of repeated passages: every byte that a 50-byte string of an earlier document covers goes.
 
-Equal strings have to meet, and only those. Each 50-byte window is named after the smallest hash of its 16-byte pieces;
-neighbouring windows mostly share that name, and such a run of windows is a segment.
+Equal strings have to meet, and only those. Each 50-byte window takes the 16-byte piece of smallest hash in it. Windows
+that take the same piece and lie similarly about it have 33 bytes or more in common; these bytes and the way they lie are
+the name of the window. Neighbouring windows mostly share a name, and such a run of windows is a segment.
 
 1. Names that occur in one document only are dropped: tasks send the distinct names of a batch of documents once.
-2. Segments of the others go to shards by name, so all windows of equal bytes are in one shard; a batch sends equal
-   segments once, whatever number of its documents hold them.
+2. Segments of the others go to shards by name, so all windows of equal bytes are in one shard; a task sends equal
+   segments of neighbouring documents once, whatever number of these hold them. A piece that many documents hold in other
+   surroundings has as many names, which lie in as many shards.
 3. A shard, which may be far larger than memory, sorts the suffixes of its segments by external induced sorting
    (``suffixsort``). Windows that share 50 bytes lie side by side, and the smallest id among their documents decides for
    all of them. A name with a single segment text needs no order.
@@ -15,28 +17,34 @@ neighbouring windows mostly share that name, and such a run of windows is a segm
 from __future__ import annotations
 
 import struct
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlens.llm.common import op, table
+from offerlens.llm.common import op, spans, table
 from offerlens.llm.suffixsort import Spool, sorted_suffixes
 
 LENGTH, PIECE = 50, 16
-#: Bytes of a document that are hashed at a time, and of segments that a task holds before it sends them.
-STRETCH, SEND = 1 << 20, 16 << 20
+#: Windows whose piece is so many bytes from their start have the same bytes in common; the last is out of reach.
+SIDES = (0, 18, LENGTH - PIECE + 1)
+#: Bytes of a document that are hashed at a time (their arrays fit a core's cache), and of segments that a task holds
+#: before it sends them.
+STRETCH, SEND = 1 << 16, 16 << 20
 #: Bytes of short documents that are hashed together.
 TOGETHER = 1 << 15
 #: Shards into which a task parts what it gets; it sorts one at a time, so more of them need less scratch space at once.
-SHARDS = 16
-#: Bytes of a name that tell whether documents share it; a longer match of names only lets more segments through.
-NAME_BYTES = 6
+#: Shards that have no more than so many bytes of segments together are sorted as one.
+SHARDS, JOIN = 16, 4 << 20
 _MULT = 0x9E3779B97F4A7C15
+#: Bits of a hash that give way to the place of its piece, of which ``STRETCH`` and ``TOGETHER`` stay far below.
+_PLACE = np.uint64((1 << 20) - 1)
 _OCCURRENCE = np.dtype([("segment", "<i8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i8")])
 _SEGMENT = np.dtype([("name", "<u8"), ("size", "<i8"), ("least", "<i8")])
 
@@ -47,6 +55,10 @@ def _hashes(data: np.ndarray) -> np.ndarray:
     while size < PIECE:
         h = h[:-size] * np.uint64(pow(_MULT, size, 1 << 64)) + h[size:]
         size *= 2
+    return _mixed(h)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -65,13 +77,27 @@ def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _window_names(data: np.ndarray) -> np.ndarray:
-    """Least hash of the pieces of each window of ``LENGTH`` bytes."""
-    m = _hashes(data)
+    """Name of each window of ``LENGTH`` bytes, from nothing but its bytes.
+
+    A window takes the piece of smallest hash, the first of several. By the side on which that piece lies, the bytes that
+    all windows of this piece and side have in common make the name.
+    """
+    h = _hashes(data)
+    m = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     width, reach = 1, LENGTH - PIECE + 1
     while 2 * width <= reach:
         m = np.minimum(m[:-width], m[width:])
         width *= 2
-    return np.minimum(m[: len(m) - (reach - width)], m[reach - width :]) if width < reach else m
+    m = np.minimum(m[: len(m) - (reach - width)], m[reach - width :]) if width < reach else m
+    first = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
+    piece, end = (m[first] & _PLACE).astype(np.int64), np.append(first[1:], len(m))
+    turns = [piece - side + 1 for side in SIDES[1:-1]]
+    first = np.sort(np.concatenate([first, *[t[(first < t) & (t < end)] for t in turns]]))
+    piece, sides = (m[first] & _PLACE).astype(np.int64), np.array(SIDES)
+    side = np.searchsorted(sides, piece - first, side="right") - 1
+    begin, last = piece - sides[side], piece - sides[side + 1] + 1 + LENGTH - PIECE  # of the pieces that cover what is common
+    name = h[begin] * np.uint64(_MULT) + h[begin + PIECE] * np.uint64(pow(_MULT, 2, 1 << 64)) + h[last] * np.uint64(pow(_MULT, 3, 1 << 64))
+    return np.repeat(_mixed(name + side.astype(np.uint64)), np.diff(np.append(first, len(m))))
 
 
 def segments_of(values: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -107,8 +133,13 @@ def _together(values: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarr
 
 
 def _short(name: np.ndarray) -> np.ndarray:
-    """The leading ``NAME_BYTES`` bytes of names, as numbers."""
-    return name >> np.uint64(64 - 8 * NAME_BYTES)
+    """The leading 32 bits of names, which tell names of one part apart; names that agree only let more segments through."""
+    return (name >> np.uint64(32)).astype(np.uint32)
+
+
+def _part(name: np.ndarray, parts: int) -> np.ndarray:
+    """Part of a name, from the bits that are not in ``_short``."""
+    return ((name & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int32)
 
 
 def _bytes(value: bytes | None) -> np.ndarray:
@@ -119,17 +150,16 @@ def _names(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
     """(part, names, docs, counts): by part of the name space the distinct names of each document of a batch."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        found = [np.unique(_short(name)) for name, _, _ in segments_of(batch.column(1).to_pylist())]
+        found = [np.unique(name) for name, _, _ in segments_of(batch.column(1).to_pylist())]
         name = np.concatenate(found) if found else np.zeros(0, np.uint64)
         row = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        part = (name >> np.uint64(8)) % np.uint64(parts)
-        order = np.argsort(part.astype(np.int32), kind="stable")
-        name, row, part = name[order], row[order], part[order].astype(np.int32)
+        part = _part(name, parts)
+        order = np.argsort(part, kind="stable")
+        name, row, part = _short(name[order]), row[order], part[order]
         rows = []
         for a, b in _cuts(part):
             docs, counts = np.unique(row[a:b], return_counts=True)
-            packed = name[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES].tobytes()
-            rows.append((int(part[a]), packed, ids[docs].astype(np.int64).tobytes(), counts.astype(np.int32).tobytes()))
+            rows.append((int(part[a]), name[a:b].astype("<u4").tobytes(), ids[docs].astype(np.int64).tobytes(), counts.astype(np.int32).tobytes()))
         if rows:
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "names", "docs", "counts"])
@@ -142,8 +172,7 @@ def _cuts(key: np.ndarray) -> list[tuple[int, int]]:
 
 def _shared(part: pa.Table) -> pa.Table:
     """(doc_id, name) of the names of one part that occur in more than one document."""
-    packed = np.frombuffer(b"".join(part["names"].to_pylist()), dtype=np.uint8).reshape(-1, NAME_BYTES)
-    name = np.pad(packed, ((0, 0), (0, 8 - NAME_BYTES))).view("<u8").ravel()
+    name = np.frombuffer(b"".join(part["names"].to_pylist()), dtype="<u4")
     doc = np.concatenate([np.repeat(np.frombuffer(d, dtype=np.int64), np.frombuffer(c, dtype=np.int32)) for d, c in zip(part["docs"].to_pylist(), part["counts"].to_pylist())])
     order = np.argsort(name, kind="stable")
     name, doc = name[order], doc[order]
@@ -151,12 +180,21 @@ def _shared(part: pa.Table) -> pa.Table:
     size = np.diff(np.append(first, len(name)))
     several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
     keep = np.repeat(several, size)
-    return pa.table({"doc_id": pa.array(doc[keep]), "name": pa.array(name[keep].view(np.int64))})
+    return pa.table({"doc_id": pa.array(doc[keep]), "name": pa.array(name[keep].view(np.int32))})
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers by byte, all lowest bytes first, which compresses better."""
+    return np.ascontiguousarray(numbers, dtype="<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(raw: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view("<i8").ravel()
 
 
 def _send(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """(part, pack): the segments of shared names, packed with their occurrences."""
-    texts: dict[bytes, int] = {}
+    texts: dict[bytes, int] = defaultdict(count().__next__)
     names: list[np.ndarray] = []
     occ: list[np.ndarray] = []
     held = 0
@@ -164,8 +202,8 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
     def flush() -> pa.RecordBatch:
         name, found = np.concatenate(names), np.concatenate(occ)
         pieces = list(texts)
-        of = ((name >> np.uint64(24)) % np.uint64(parts))[found["segment"]]
-        order = np.argsort(of.astype(np.int32), kind="stable")
+        of = _part(name, parts)[found["segment"]]
+        order = np.argsort(of, kind="stable")
         found, of = found[order], of[order]
         rows = []
         for a, b in _cuts(of):
@@ -173,9 +211,10 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
             own = [pieces[j] for j in mine.tolist()]
             head = struct.pack("<qq", len(own), b - a)
             sizes = np.array([len(p) for p in own], dtype=np.int64)
-            pack = b"".join([head, name[mine].tobytes(), sizes.tobytes(), *[np.ascontiguousarray(found[f][a:b]).tobytes() for f in _OCCURRENCE.names], *own])
+            pack = b"".join([head, _short(name[mine]).astype("<u4").tobytes(), _planes(sizes), *[_planes(found[f][a:b]) for f in _OCCURRENCE.names], *own])
             rows.append((int(of[a]), zstandard.ZstdCompressor(level=3).compress(pack)))
         texts.clear()
+        texts.default_factory = count().__next__
         names.clear()
         occ.clear()
         cols = list(zip(*rows))
@@ -186,13 +225,13 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
         rows = batch.column(1).to_numpy(zero_copy_only=False)
         values = batch.column(2).to_pylist()
         for r, (value, wanted, (name, start, size)) in enumerate(zip(values, batch.column(3), segments_of(values))):
-            at = np.flatnonzero(np.isin(_short(name), np.unique(wanted.values.to_numpy().view(np.uint64))))
+            some, short = np.sort(wanted.values.to_numpy().view(np.uint32)), _short(name)
+            at = np.flatnonzero(some[np.minimum(np.searchsorted(some, short), len(some) - 1)] == short)
             if not len(at):
                 continue
-            begin, index = len(texts), np.empty(len(at), dtype=np.int64)
-            for k, (s, n) in enumerate(zip(start[at].tolist(), size[at].tolist())):
-                index[k] = texts.setdefault(value[s : s + n], len(texts))
-                held += n
+            begin, stretches = len(texts), map(slice, start[at].tolist(), (start[at] + size[at]).tolist())
+            index = np.fromiter(map(texts.__getitem__, map(value.__getitem__, stretches)), np.int64, len(at))
+            held += int(size[at].sum())
             new = np.flatnonzero(index >= begin)
             fresh, where = np.unique(index[new], return_index=True)
             names.append(name[at][new[where]])
@@ -206,6 +245,26 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
         yield flush()
 
 
+def _portions(sizes: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Runs of items of about ``most`` bytes together, an item at least."""
+    total = np.cumsum(sizes)
+    begin = 0
+    while begin < len(sizes):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + most, side="right")))
+        yield begin, end
+        begin = end
+
+
+def _equal(text: np.ndarray, first: np.ndarray, second: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes (one at least) at both places are equal."""
+    out = np.empty(len(size), dtype=bool)
+    for a, b in _portions(size):
+        run, at = spans(size[a:b])
+        same = text[first[a:b][run] + at] == text[second[a:b][run] + at]
+        out[a:b] = np.logical_and.reduceat(same, np.cumsum(size[a:b]) - size[a:b])
+    return out
+
+
 class _Shard:
     """The segments of one shard, on disk, and their answer."""
 
@@ -221,19 +280,31 @@ class _Shard:
         self.keys.append(np.array([xxhash.xxh3_64_intdigest(x) for x in texts], dtype=np.uint64))
         self.text.append(np.frombuffer(b"".join(texts), np.uint8))
 
+    def take(self, other: _Shard) -> None:
+        """Move what another shard holds here."""
+        base = len(self.segments)
+        for mine, its in ((self.found, other.found), (self.segments, other.segments), (self.keys, other.keys), (self.text, other.text)):
+            for begin in range(0, len(its), 1 << 20):
+                x = its.read(begin, begin + (1 << 20))
+                if mine is self.found:
+                    x = x.copy()
+                    x["segment"] += base
+                mine.append(x)
+            its.close()
+
     def answer(self) -> Iterator[pa.RecordBatch]:
         """(doc, row, from, to): the bytes to remove, a run for each stretch of covered windows of an occurrence."""
         if not len(self.segments):
             return
-        seg, keys, text = self.segments.mapped(), self.keys.mapped(), self.text.mapped()
+        seg, keys, text = self.segments.mapped(), np.asarray(self.keys.mapped()), np.asarray(self.text.mapped())
         name, size, least = np.asarray(seg["name"]), np.asarray(seg["size"]), np.asarray(seg["least"])
         offset = np.cumsum(size) - size
         # equal texts of different packs are one: the first stands for all
-        order = np.lexsort((np.arange(len(name)), keys, name))
-        same = np.concatenate(([False], (name[order][1:] == name[order][:-1]) & (keys[order][1:] == keys[order][:-1])))
-        for k in np.flatnonzero(same).tolist():  # equal hashes are compared
-            a, b = order[k - 1], order[k]
-            same[k] = size[a] == size[b] and np.array_equal(text[offset[a] : offset[a] + size[a]], text[offset[b] : offset[b] + size[b]])
+        order = np.lexsort((keys, name))
+        n_of, k_of, s_of = name[order], keys[order], size[order]
+        same = np.concatenate(([False], (n_of[1:] == n_of[:-1]) & (k_of[1:] == k_of[:-1]) & (s_of[1:] == s_of[:-1])))
+        alike = np.flatnonzero(same)  # equal hashes are compared
+        same[alike] = _equal(text, offset[order[alike - 1]], offset[order[alike]], s_of[alike])
         lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
         stands = np.empty(len(order), dtype=np.int64)
         stands[order] = order[lead]
@@ -274,10 +345,13 @@ class _Shard:
     def _lowest(self, mixed, place, size, offset, joint, text) -> np.ndarray:
         """For each place of the joined texts the smallest document that holds the window there."""
         joined = Spool(np.uint8)
-        for j in mixed.tolist():
-            joined.append(np.append(text[offset[j] : offset[j] + size[j]], np.uint8(0)))
+        for a, b in _portions(size[mixed] + 1):
+            run, at = spans(size[mixed[a:b]] + 1)
+            piece = text[np.minimum(offset[mixed[a:b]][run] + at, len(text) - 1)]
+            piece[np.cumsum(size[mixed[a:b]] + 1) - 1] = 0
+            joined.append(piece)
         joined.append(np.array([255], dtype=np.uint8))
-        whole = joined.mapped()
+        whole = np.asarray(joined.mapped())
         out = Spool(np.int64)
         for begin in range(0, len(whole), 1 << 20):
             out.append(np.full(min(1 << 20, len(whole) - begin), np.iinfo(np.int64).max))
@@ -326,16 +400,16 @@ def _unpack(pack: bytes, shards: list[_Shard]) -> None:
     n, m = struct.unpack_from("<qq", raw)
     at = 16
     new, found = np.empty(n, dtype=_SEGMENT), np.empty(m, dtype=_OCCURRENCE)
-    new["name"], new["size"] = np.frombuffer(raw, np.uint64, n, at), np.frombuffer(raw, np.int64, n, at + 8 * n)
-    at += 16 * n
+    new["name"], new["size"] = np.frombuffer(raw, "<u4", n, at), _numbers(raw, n, at + 4 * n)
+    at += 12 * n
     for f in _OCCURRENCE.names:
-        found[f] = np.frombuffer(raw, np.int64, m, at)
+        found[f] = _numbers(raw, m, at)
         at += 8 * m
     new["least"] = np.iinfo(np.int64).max
     np.minimum.at(new["least"], found["segment"], found["doc"])
     ends = (np.cumsum(new["size"]) + at).tolist()
     sizes = new["size"].tolist()
-    shard = ((new["name"] >> np.uint64(8)) % np.uint64(len(shards))).astype(np.int64)
+    shard = (new["name"] % np.uint64(len(shards))).astype(np.int64)
     place = np.empty(n, dtype=np.int64)
     for k, to in enumerate(shards):
         mine = np.flatnonzero(shard == k)
@@ -351,12 +425,21 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k, pack in zip(batch.column(0).to_pylist(), batch.column(1)):
             if k != now:
-                for shard in shards:
-                    yield from shard.answer()
+                yield from _answers(shards)
                 now, shards = k, [_Shard() for _ in range(SHARDS)]
             _unpack(pack.as_py(), shards)
+    yield from _answers(shards)
+
+
+def _answers(shards: list[_Shard]) -> Iterator[pa.RecordBatch]:
+    held = _Shard()
     for shard in shards:
-        yield from shard.answer()
+        if len(held.text) + len(shard.text) > JOIN:
+            yield from held.answer()
+            held = shard
+        else:
+            held.take(shard)
+    yield from held.answer()
 
 
 def _cut(data: bytes, runs: np.ndarray) -> tuple[bytes, int, int]:
@@ -384,14 +467,15 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     rows = all_rows.filter("doc_id IS NOT NULL")
     named = rows.filter(F.octet_length("data") >= LENGTH)
     parted = named.mapInArrow(lambda it: _names(it, parts), "part int, names binary, docs binary, counts binary")
-    shared = parted.groupBy("part").applyInArrow(_shared, "doc_id bigint, name bigint")
+    shared = parted.groupBy("part").applyInArrow(_shared, "doc_id bigint, name int")
     wanted = shared.groupBy("doc_id").agg(F.collect_list("name").alias("wanted")).withColumnRenamed("doc_id", "id")
-    dealt = rows.repartition(parts, "doc_id")  # used twice, moved once
-    some = dealt.join(wanted, F.col("doc_id") == F.col("id")).select("doc_id", F.xxhash64("data").alias("row"), "data", "wanted")
+    same_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("data"))
+    dealt = rows.repartition(parts, "doc_id").withColumn("row", F.dense_rank().over(same_id).cast("bigint"))  # used twice, moved once
+    some = dealt.join(wanted, F.col("doc_id") == F.col("id")).select("doc_id", "row", "data", "wanted")
     packs = some.mapInArrow(lambda it: _send(it, parts), "part int, pack binary")
-    runs = packs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_solve, "doc bigint, row bigint, `from` bigint, to bigint")
+    runs = packs.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(_solve, "doc bigint, row bigint, `from` bigint, to bigint")
     runs = runs.groupBy("doc").agg(F.collect_list(F.struct("row", "from", "to")).alias("runs"))
-    both = dealt.join(runs, F.col("doc_id") == F.col("doc"), "left").select("doc_id", F.xxhash64("data").alias("row"), "data", "runs")
+    both = dealt.join(runs, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "row", "data", "runs")
     rest = all_rows.filter("doc_id IS NULL").select("doc_id", F.lit(0).cast("bigint").alias("row"), "data", F.lit(None).cast(both.schema["runs"].dataType).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

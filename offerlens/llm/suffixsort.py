@@ -157,10 +157,12 @@ class _Queue:
         self.text, self.cap = text, cap
         self.files: dict[int, Spool] = {}
         self.least = np.zeros(257, dtype=np.uint8)  # nothing in common with an entry that never was
+        self.known = np.zeros(257, dtype=bool)  # bytes that have had entries
 
     def put(self, byte: int, pos: int) -> None:
         self.files.setdefault(byte, Spool(_ENTRY)).append(np.array([(pos, 0)], dtype=_ENTRY))
         self.least[byte] = 255
+        self.known[byte] = True
 
     def length(self, byte: int) -> int:
         return len(self.files[byte]) if byte in self.files else 0
@@ -186,10 +188,8 @@ class _Queue:
         start = np.where(first, 0, np.concatenate(([0], order[:-1] + 1)))
         common = least(start, order)
         common[first] = np.minimum(common[first], self.least[byte[first]])
-        known = np.zeros(257, dtype=bool)
-        known[[b for b, f in self.files.items() if len(f)]] = True
         value = np.minimum(self.cap, common.astype(np.int16) + 1)
-        value[first & ~known[byte]] = 0
+        value[first & ~self.known[byte]] = 0
         last = np.flatnonzero(np.append(first[1:], True))
         present = byte[last]
         rest = np.full(len(last), 255, dtype=np.uint8)
@@ -203,6 +203,7 @@ class _Queue:
                 out = np.empty(b - a, dtype=_ENTRY)
                 out["pos"], out["lcp"] = pos[order[a:b]] - 1, value[a:b]
                 self.files.setdefault(int(byte[a]), Spool(_ENTRY)).append(out)
+                self.known[byte[a]] = True
 
 
 def _prefix(text: np.ndarray, a: int, b: int, cap: int) -> int:

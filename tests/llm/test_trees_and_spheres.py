@@ -8,6 +8,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -313,3 +314,49 @@ def test_documents_hashed_together_have_the_segments_of_each_alone(monkeypatch):
         for got, value in zip(list(suffixdedup.segments_of(values)), values, strict=True):
             for a, b in zip(got, suffixdedup.segments(suffixdedup._bytes(value))):
                 assert np.array_equal(a, b)
+
+
+def test_a_piece_in_many_surroundings_has_many_names():
+    rnd = np.random.default_rng(5)
+    tries = rnd.integers(97, 123, (4000, 24)).astype(np.uint8)  # longer than a piece, shorter than what a name stands for
+    piece = min(tries, key=lambda x: int(suffixdedup._hashes(x).min()))
+    count = {}
+    for _ in range(300):
+        text = np.concatenate([rnd.integers(97, 123, 60), piece, rnd.integers(97, 123, 60)]).astype(np.uint8)
+        for name in suffixdedup.segments(text)[0].tolist():
+            count[name] = count.get(name, 0) + 1
+    assert max(count.values()) == 1  # 300 where the piece alone is the name
+    period = np.tile(np.frombuffer(b"abcdefg", np.uint8), 5000)
+    assert len(suffixdedup.segments(period)[0]) == 1
+
+
+def test_windows_of_equal_bytes_have_equal_names():
+    rnd = random.Random(22)
+    for _ in range(60):
+        pool = [bytes(rnd.choice(b"ab") for _ in range(rnd.randint(1, 90))) for _ in range(4)]
+        name_of = {}
+        for _ in range(8):
+            value = b"".join(rnd.choice(pool) for _ in range(rnd.randint(1, 8)))
+            for name, start, size in zip(*(x.tolist() for x in suffixdedup.segments(suffixdedup._bytes(value)))):
+                for p in range(start, start + size - 49):
+                    assert name_of.setdefault(value[p : p + 50], name) == name
+
+
+def test_each_partition_of_segments_gets_one_part(spark, documents):
+    plan = suffixdedup.dedup_passages(documents([(1, "a" * 60)]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "direct_shuffle_partition_id(part" in plan  # a hash of the part gives some partitions several parts and others none
+
+
+def test_shards_sorted_as_one_answer_like_each_alone(monkeypatch):
+    rnd = random.Random(23)
+    pool = ["".join(rnd.choices("abcd ", k=70)).encode() for _ in range(6)]
+    values = [b"".join(rnd.choice(pool)[rnd.randint(0, 20) :] for _ in range(6)) for _ in range(30)]
+    names = sorted({int(x) for v in values for x in suffixdedup._short(suffixdedup.segments(suffixdedup._bytes(v))[0]).view(np.int32)})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array([1] * 30), pa.array(values), pa.array([names] * 30, pa.list_(pa.int32()))], names=["doc_id", "row", "data", "wanted"])
+    answers = []
+    for join in (0, 2000, 4 << 20):
+        monkeypatch.setattr(suffixdedup, "JOIN", join)
+        monkeypatch.setattr(suffixdedup, "SEND", 1 if join else 16 << 20)
+        packs = pa.Table.from_batches(suffixdedup._send(iter([batch]), 3)).sort_by("part").to_batches()
+        answers.append(sorted(tuple(r.values()) for out in suffixdedup._solve(iter(packs)) for r in out.to_pylist()))
+    assert answers[0] and answers[0] == answers[1] == answers[2]
