@@ -36,12 +36,15 @@ LENGTH, PIECE = 50, 16
 SIDES = (0, 18, LENGTH - PIECE + 1)
 #: Bytes of a document that are hashed at a time (their arrays fit a core's cache), and of segments that a task holds
 #: before it sends them.
-STRETCH, SEND = 1 << 16, 16 << 20
+STRETCH, SEND = 1 << 16, 32 << 20
 #: Bytes of short documents that are hashed together.
 TOGETHER = 1 << 15
 #: Shards into which a task parts what it gets; it sorts one at a time, so more of them need less scratch space at once.
 #: Shards that have no more than so many bytes of segments together are sorted as one.
 SHARDS, JOIN = 16, 4 << 20
+#: Names that a task holds before it sends them: with few names to a part at a time, the number of rows sent would grow
+#: with the square of the input.
+HOLD = 2 << 20
 _MULT = 0x9E3779B97F4A7C15
 #: Bits of a hash that give way to the place of its piece, of which ``STRETCH`` and ``TOGETHER`` stay far below.
 _PLACE = np.uint64((1 << 20) - 1)
@@ -94,7 +97,7 @@ def _window_names(data: np.ndarray) -> np.ndarray:
     turns = [piece - side + 1 for side in SIDES[1:-1]]
     first = np.sort(np.concatenate([first, *[t[(first < t) & (t < end)] for t in turns]]))
     piece, sides = (m[first] & _PLACE).astype(np.int64), np.array(SIDES)
-    side = np.searchsorted(sides, piece - first, side="right") - 1
+    side = sum((piece - first >= s).astype(np.int64) for s in SIDES[1:-1])
     begin, last = piece - sides[side], piece - sides[side + 1] + 1 + LENGTH - PIECE  # of the pieces that cover what is common
     name = h[begin] * np.uint64(_MULT) + h[begin + PIECE] * np.uint64(pow(_MULT, 2, 1 << 64)) + h[last] * np.uint64(pow(_MULT, 3, 1 << 64))
     return np.repeat(_mixed(name + side.astype(np.uint64)), np.diff(np.append(first, len(m))))
@@ -139,30 +142,48 @@ def _short(name: np.ndarray) -> np.ndarray:
 
 def _part(name: np.ndarray, parts: int) -> np.ndarray:
     """Part of a name, from the bits that are not in ``_short``."""
-    return ((name & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.int32)
+    return ((name & np.uint64(0xFFFFFFFF)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int32)  # 16 bits sort faster
 
 
 def _bytes(value: bytes | None) -> np.ndarray:
     return np.frombuffer(value or b"", dtype=np.uint8)
 
 
+def _distinct(name: np.ndarray) -> np.ndarray:
+    name = np.sort(name)
+    return name[np.concatenate((name[1:] != name[:-1], [True]))] if len(name) else name
+
+
 def _names(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """(part, names, docs, counts): by part of the name space the distinct names of each document of a batch."""
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        found = [np.unique(name) for name, _, _ in segments_of(batch.column(1).to_pylist())]
-        name = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    """(part, names, docs, counts): by part of the name space the distinct names of each document."""
+    names: list[np.ndarray] = []
+    docs: list[np.ndarray] = []
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        name, row, ids = np.concatenate(names), np.repeat(np.arange(len(names)), [len(x) for x in names]), np.concatenate(docs)
         part = _part(name, parts)
         order = np.argsort(part, kind="stable")
-        name, row, part = _short(name[order]), row[order], part[order]
+        name, row, part = _short(name[order]).astype("<u4"), row[order], part[order]
         rows = []
         for a, b in _cuts(part):
-            docs, counts = np.unique(row[a:b], return_counts=True)
-            rows.append((int(part[a]), name[a:b].astype("<u4").tobytes(), ids[docs].astype(np.int64).tobytes(), counts.astype(np.int32).tobytes()))
-        if rows:
-            cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "names", "docs", "counts"])
+            first = np.flatnonzero(np.concatenate(([True], row[a + 1 : b] != row[a : b - 1])))
+            rows.append((int(part[a]), name[a:b].tobytes(), _planes(ids[row[a:b][first]]), _planes(np.diff(np.append(first, b - a)))))
+        names.clear()
+        docs.clear()
+        cols = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["part", "names", "docs", "counts"])
+
+    for batch in batches:
+        found = [_distinct(name) for name, _, _ in segments_of(batch.column(1).to_pylist())]
+        names += found
+        docs.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        held += sum(len(x) for x in found)
+        if held >= HOLD:
+            yield flush()
+            held = 0
+    if held:
+        yield flush()
 
 
 def _cuts(key: np.ndarray) -> list[tuple[int, int]]:
@@ -173,9 +194,9 @@ def _cuts(key: np.ndarray) -> list[tuple[int, int]]:
 def _shared(part: pa.Table) -> pa.Table:
     """(doc_id, name) of the names of one part that occur in more than one document."""
     name = np.frombuffer(b"".join(part["names"].to_pylist()), dtype="<u4")
-    doc = np.concatenate([np.repeat(np.frombuffer(d, dtype=np.int64), np.frombuffer(c, dtype=np.int32)) for d, c in zip(part["docs"].to_pylist(), part["counts"].to_pylist())])
-    order = np.argsort(name, kind="stable")
-    name, doc = name[order], doc[order]
+    doc = np.concatenate([np.repeat(_numbers(d), _numbers(c)) for d, c in zip(part["docs"].to_pylist(), part["counts"].to_pylist())])
+    order = np.sort((name.astype(np.uint64) << np.uint64(32)) | np.arange(len(name), dtype=np.uint64))  # far fewer than 2 ** 32
+    name, doc = (order >> np.uint64(32)).astype(np.uint32), doc[(order & np.uint64(0xFFFFFFFF)).astype(np.int64)]
     first = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
     size = np.diff(np.append(first, len(name)))
     several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
@@ -188,7 +209,8 @@ def _planes(numbers: np.ndarray) -> bytes:
     return np.ascontiguousarray(numbers, dtype="<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _numbers(raw: bytes, n: int, at: int) -> np.ndarray:
+def _numbers(raw: bytes, n: int | None = None, at: int = 0) -> np.ndarray:
+    n = len(raw) // 8 if n is None else n
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view("<i8").ravel()
 
 
@@ -232,9 +254,7 @@ def _send(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
             begin, stretches = len(texts), map(slice, start[at].tolist(), (start[at] + size[at]).tolist())
             index = np.fromiter(map(texts.__getitem__, map(value.__getitem__, stretches)), np.int64, len(at))
             held += int(size[at].sum())
-            new = np.flatnonzero(index >= begin)
-            fresh, where = np.unique(index[new], return_index=True)
-            names.append(name[at][new[where]])
+            names.append(name[at[index > np.maximum.accumulate(np.append(begin - 1, index[:-1]))]])  # of new texts, numbered as they come
             out = np.empty(len(at), dtype=_OCCURRENCE)
             out["segment"], out["doc"], out["row"], out["start"] = index, ids[r], rows[r], start[at]
             occ.append(out)
@@ -394,8 +414,8 @@ class _Shard:
         open_.close()
 
 
-def _unpack(pack: bytes, shards: list[_Shard]) -> None:
-    """Add a pack to the shards, by name."""
+def _unpack(pack: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(segments, occurrences, texts) of a pack."""
     raw = zstandard.ZstdDecompressor().decompress(pack)
     n, m = struct.unpack_from("<qq", raw)
     at = 16
@@ -407,27 +427,45 @@ def _unpack(pack: bytes, shards: list[_Shard]) -> None:
         at += 8 * m
     new["least"] = np.iinfo(np.int64).max
     np.minimum.at(new["least"], found["segment"], found["doc"])
-    ends = (np.cumsum(new["size"]) + at).tolist()
-    sizes = new["size"].tolist()
-    shard = (new["name"] % np.uint64(len(shards))).astype(np.int64)
-    place = np.empty(n, dtype=np.int64)
+    return new, found, raw[at:]
+
+
+def _into(shards: list[_Shard], packs: list[tuple[np.ndarray, np.ndarray, bytes]]) -> None:
+    """Add packs to the shards, by name."""
+    if not packs:
+        return
+    base = np.cumsum([0] + [len(new) for new, _, _ in packs])
+    for (_, found, _), b in zip(packs, base.tolist()):
+        found["segment"] += b
+    new, found, raw = np.concatenate([p[0] for p in packs]), np.concatenate([p[1] for p in packs]), b"".join(p[2] for p in packs)
+    ends = np.cumsum(new["size"])
+    shard = (new["name"] % np.uint64(len(shards))).astype(np.uint8)
+    of = shard[found["segment"]]
+    place = np.empty(len(new), dtype=np.int64)
     for k, to in enumerate(shards):
         mine = np.flatnonzero(shard == k)
         place[mine] = np.arange(len(mine))
-        own = found[shard[found["segment"]] == k].copy()
+        own = found[of == k]
         own["segment"] = place[own["segment"]]
-        to.add(new[mine], [raw[ends[j] - sizes[j] : ends[j]] for j in mine.tolist()], own)
+        stretches = map(slice, (ends[mine] - new["size"][mine]).tolist(), ends[mine].tolist())
+        to.add(new[mine], list(map(raw.__getitem__, stretches)), own)
 
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Answers of all shards of the parts in a partition; packs come sorted by part."""
-    now, shards = None, []
+    now, shards, packs, held = None, [], [], 0
     for batch in batches:
         for k, pack in zip(batch.column(0).to_pylist(), batch.column(1)):
             if k != now:
+                _into(shards, packs)
                 yield from _answers(shards)
-                now, shards = k, [_Shard() for _ in range(SHARDS)]
-            _unpack(pack.as_py(), shards)
+                now, shards, packs, held = k, [_Shard() for _ in range(SHARDS)], [], 0
+            packs.append(_unpack(pack.as_py()))
+            held += len(packs[-1][2])
+            if held >= JOIN:  # dealt to the shards together
+                _into(shards, packs)
+                packs, held = [], 0
+    _into(shards, packs)
     yield from _answers(shards)
 
 
