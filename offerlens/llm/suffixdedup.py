@@ -4,7 +4,7 @@ Equal strings have to meet, and only those. Each 50-byte window takes the 16-byt
 that take the same piece and lie similarly about it have 33 bytes or more in common; these bytes and the way they lie are
 the name of the window. Neighbouring windows mostly share a name, and such a run of windows is a segment.
 
-1. Names that occur in one document only are dropped: tasks send the distinct names of a batch of documents once.
+1. Names that occur in one document only are dropped: tasks send the distinct names of many documents together.
 2. Segments of the others go to shards by name, so all windows of equal bytes are in one shard; a task sends equal
    segments of neighbouring documents once, whatever number of these hold them. A piece that many documents hold in other
    surroundings has as many names, which lie in as many shards.
